@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The extraction is a batch computation over a finished score history and a
+finished event log: a global top-N over averages and a "newest K per
+repository" sample must see all of their input before emitting a result, and
+nothing in the reproduced behaviour streams. There is therefore no streaming
+operator here; the batch operators run unchanged on any Spark table.
+"""
