@@ -1,14 +1,15 @@
-"""Semi joins against key sets whose size has been checked.
+"""Materialised intermediates and semi joins against key sets of checked size.
 
 A key set (candidate repositories, sampled actors, sampled repositories) is
-broadcast only when it has been materialised and counted and the count is
-under the configured limit; otherwise the semi join is left to a shuffle
-(sort-merge, with adaptive skew splitting of the big side). Nothing is
-collected to the driver: only the row count is.
+broadcast only when its row count is known - counted after it was written, or
+bounded by a counted parent - and under the configured limit; otherwise the
+semi join is left to a shuffle (sort-merge, with adaptive skew splitting of
+the big side). Nothing is collected to the driver: only the row count is.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,25 +17,43 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+INTERMEDIATE_PREFIX = "cohortgraph"
+
 
 @dataclass(frozen=True)
 class Sized:
-    """A DataFrame with an upper bound on its row count (counted after a checkpoint, or derived)."""
+    """A DataFrame with an upper bound on its row count (counted after a write, or derived)."""
 
     df: DataFrame
     rows: int
+    path: str | None = None
 
 
 def materialize(df: DataFrame) -> Sized:
-    """Write ``df`` to the session's checkpoint folder and count it.
+    """Write ``df`` as a parquet table under the session's checkpoint folder, read it back, count it.
 
-    A reliable checkpoint (not a local one) survives executor loss and keeps
-    later plans from re-running the upstream scan; the count comes from the
-    written files.
+    This cuts the lineage the way a reliable checkpoint does - the files live
+    in the shared folder named by ``spark.checkpoint.dir``, so losing an
+    executor later does not re-run the upstream scan - while keeping the data
+    columnar, giving the planner its real size, and making the count a
+    metadata read.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    saved = df.checkpoint(eager=True)
-    return Sized(saved, saved.count())
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/{INTERMEDIATE_PREFIX}/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    saved = spark.read.parquet(path)
+    return Sized(saved, saved.count(), path)
+
+
+def drop_materialized(spark, items) -> None:
+    """Delete the files of materialised intermediates (Hadoop FileSystem API)."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    for it in items:
+        if isinstance(it, Sized) and it.path:
+            p = jvm.org.apache.hadoop.fs.Path(it.path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def as_frame(x: DataFrame | Sized) -> DataFrame:

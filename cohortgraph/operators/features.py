@@ -96,14 +96,18 @@ def actor_features(events: DataFrame, cfg: ExtractConfig, how: str = "inner") ->
 
     Both arrays are sorted ascending. With ``how='inner'`` only actors having
     both a ranked language and a topic are kept. Each side is reduced to one
-    row per actor before the join, instead of joining languages x topics.
-    Topics are de-duplicated per (actor, topic) before collection, so a
-    buffer holds each topic once.
+    row per actor before the join, instead of joining languages x topics; the
+    two sides leave their aggregations hash-partitioned on actor_id, so the
+    join adds no shuffle.
     """
     langs = (actor_language_ranks(events, cfg).groupBy("actor_id")
              .agg(sorted_set(F.collect_set("repo_language")).alias("languages")))
-    topics = (actor_topics(events).groupBy("actor_id")
-              .agg(F.array_sort(F.collect_list("topic")).alias("topics")))
+    exploded = (events.filter(non_empty("repo_topics"))
+                .select("actor_id", F.explode("repo_topics").alias("topic"))
+                .filter(F.col("topic").isNotNull()))
+    # collect_set de-duplicates map-side: one shuffle on actor_id, and each
+    # task ships an actor's topics at most once
+    topics = exploded.groupBy("actor_id").agg(sorted_set(F.collect_set("topic")).alias("topics"))
     return langs.join(topics, "actor_id", how).select("actor_id", "languages", "topics")
 
 

@@ -139,6 +139,18 @@ def fixture_config(sf_dir: str) -> ExtractConfig:
     )
 
 
+_INPUTS: dict[tuple[int, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def fixture_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, ExtractConfig]:
-    """(rank_scores, activity, config) for one driver scale-factor folder."""
-    return fixture_scores(spark, sf_dir), fixture_activity(spark, sf_dir), fixture_config(sf_dir)
+    """(rank_scores, activity, config) for one driver scale-factor folder.
+
+    The two input definitions are lazy plans (nothing is cached); they are
+    kept per session and folder so repeated queries skip re-resolving the
+    parquet footers and schemas.
+    """
+    key = (id(spark), os.path.abspath(sf_dir))
+    if key not in _INPUTS:
+        _INPUTS[key] = (fixture_scores(spark, sf_dir), fixture_activity(spark, sf_dir))
+    scores, act = _INPUTS[key]
+    return scores, act, fixture_config(sf_dir)
