@@ -12,7 +12,7 @@ repository holding a third of a 100 TB log, that is one straggling task.
 survivors per group; its map side again keeps k rows per group and task, so
 its reducer merges at most ``k * fan_in`` rows. Both rounds are bounded by
 ``k * max(map_tasks / fan_in, fan_in)``; the default fan-in is
-``sqrt(map_tasks)``. The result is exact whatever the buckets are, because the
+``sqrt(map_tasks)``, with ``map_tasks`` estimated from plan statistics. The result is exact whatever the buckets are, because the
 top k of a union is the top k of the union of per-part top k, provided the
 order is total (callers pass a unique tie-break such as ``event_id``).
 """
@@ -30,11 +30,41 @@ from ..session import ensure_group_limit
 _BUCKET = "__topk_bucket"
 
 
-def _input_tasks(df: DataFrame) -> int:
+_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30,
+          "t": 1 << 40, "tb": 1 << 40}
+
+
+def _bytes(text: str) -> int:
+    t = text.strip().lower()
+    num = t.rstrip("abcdefghijklmnopqrstuvwxyz")
+    return int(float(num) * _UNITS.get(t[len(num):] or "b", 1))
+
+
+def estimated_input_tasks(df: DataFrame) -> int:
+    """Scan tasks of the stage that evaluates the bucket, from plan statistics.
+
+    Only planning happens (no job). The bucket is computed in the stage that
+    streams the largest input (small sides arrive as broadcasts), so the
+    estimate is the largest leaf's ``sizeInBytes`` - the file size for a
+    parquet table - over ``spark.sql.files.maxPartitionBytes``. Leaves of
+    unknown size are ignored; with none known the default parallelism is used.
+    """
+    spark = df.sparkSession
+    fallback = max(1, spark.sparkContext.defaultParallelism)
     try:
-        return max(1, df.rdd.getNumPartitions())
-    except Exception:  # e.g. a Connect session without RDD access
-        return 1
+        split = max(1, _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+        largest = 0
+        while leaves.hasNext():
+            raw = leaves.next().stats().sizeInBytes()  # scala BigInt, or int via py4j
+            size = raw if isinstance(raw, int) else int(raw.toString())
+            if size < 1 << 62:
+                largest = max(largest, size)
+    except Exception:
+        return fallback
+    if largest <= 0:
+        return fallback
+    return max(1, -(-largest // split))
 
 
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], k: int,
@@ -44,7 +74,7 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     group_cols = list(group_cols)
     order_cols = list(order_cols)
     if fan_in is None:
-        fan_in = int(math.isqrt(_input_tasks(df)))
+        fan_in = int(math.isqrt(estimated_input_tasks(df)))
     if fan_in > 1:
         bucketed = df.withColumn(_BUCKET, F.spark_partition_id() % F.lit(fan_in))
         w1 = Window.partitionBy(*group_cols, _BUCKET).orderBy(*order_cols)

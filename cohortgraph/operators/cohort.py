@@ -45,12 +45,20 @@ def top_entities(scores: DataFrame, cfg: ExtractConfig) -> DataFrame:
 
 def pinned_entities(scores: DataFrame, cfg: ExtractConfig) -> DataFrame:
     """Average score in the window of the pinned organisations / repository names."""
-    pinned = F.col("org_login").isin(list(cfg.pinned_orgs)) | F.col("repo_name").isin(list(cfg.pinned_names))
-    return _average(_scores_in_window(scores, cfg).filter(pinned))
+    return _average(_scores_in_window(scores, cfg).filter(_pinned_row(cfg)))
+
+
+def _pinned_row(cfg: ExtractConfig):
+    return F.col("org_login").isin(list(cfg.pinned_orgs)) | F.col("repo_name").isin(list(cfg.pinned_names))
 
 
 def candidates(scores: DataFrame, cfg: ExtractConfig) -> DataFrame:
-    """Distinct repo_id of the ranked slice together with the pinned repositories."""
+    """Distinct repo_id of the ranked slice together with the pinned repositories.
+
+    The pinned branch keeps its own filter: its ``IN`` predicates on
+    org_login / repo_name reach the parquet scan, so it reads only the row
+    groups that can hold pinned rows instead of the whole window.
+    """
     ranked = top_entities(scores, cfg).select("repo_id")
     pinned = pinned_entities(scores, cfg).select("repo_id")
     return ranked.union(pinned).distinct()

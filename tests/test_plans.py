@@ -40,6 +40,13 @@ def test_window_bounds_reach_the_scan(spark):
     assert "ReadSchema: struct<repo_id:bigint,repo_name:string,platform:string,openrank:double," in plan
 
 
+def test_pinned_filter_reaches_the_scan(spark):
+    scores, _ = _parquet_inputs(spark)
+    plan = physical_plan(C.pinned_entities(scores, ExtractConfig.for_years(2022, 2023, top_n=3)))
+    pushed = " ".join(pushed_filters(plan))
+    assert "Or(In(org_login" in pushed and "In(repo_name" in pushed
+
+
 def test_candidates_have_no_full_sort(spark):
     scores, _ = _parquet_inputs(spark)
     plan = physical_plan(C.candidates(scores, ExtractConfig.for_years(2022, 2023, top_n=3)), "simple")
