@@ -24,4 +24,5 @@ def count_nodes(plan: str, name: str) -> int:
 
 
 def pushed_filters(plan: str) -> list[str]:
-    return re.findall(r"PushedFilters: \[([^\]]*)\]", plan)
+    """The PushedFilters text of every scan (up to the next scan attribute or line end)."""
+    return [m.strip() for m in re.findall(r"PushedFilters: \[(.*?)\](?:, ReadSchema|\n|$)", plan)]
