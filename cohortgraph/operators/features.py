@@ -91,24 +91,50 @@ def actor_topics(events: DataFrame) -> DataFrame:
             .distinct())
 
 
+_JOIN_KEEPS = {
+    "inner": lambda has_l, has_t: has_l & has_t,
+    "left": lambda has_l, has_t: has_l,
+    "right": lambda has_l, has_t: has_t,
+    "outer": lambda has_l, has_t: has_l | has_t,
+    "full": lambda has_l, has_t: has_l | has_t,
+}
+
+
 def actor_features(events: DataFrame, cfg: ExtractConfig, how: str = "inner") -> DataFrame:
     """actor_id, languages (top languages), topics (all distinct topics).
 
     Both arrays are sorted ascending. With ``how='inner'`` only actors having
-    both a ranked language and a topic are kept. Each side is reduced to one
-    row per actor before the join, instead of joining languages x topics; the
-    two sides leave their aggregations hash-partitioned on actor_id, so the
-    join adds no shuffle.
+    both a ranked language and a topic are kept; ``left`` / ``right`` /
+    ``outer`` keep actors with languages / topics / either, the missing side
+    being NULL - the rows a join of the two per-actor tables would give.
+
+    One scan and two shuffles: the events are aggregated per (actor,
+    language) into an event count and the set of topic arrays; languages are
+    ranked per actor (blank ones last and never kept); a final per-actor fold,
+    on the partitioning the ranking already produced, keeps the top languages
+    and flattens the topic sets. No actor group is larger than the number of
+    distinct languages plus one.
     """
-    langs = (actor_language_ranks(events, cfg).groupBy("actor_id")
-             .agg(sorted_set(F.collect_set("repo_language")).alias("languages")))
-    exploded = (events.filter(non_empty("repo_topics"))
-                .select("actor_id", F.explode("repo_topics").alias("topic"))
-                .filter(F.col("topic").isNotNull()))
-    # collect_set de-duplicates map-side: one shuffle on actor_id, and each
-    # task ships an actor's topics at most once
-    topics = exploded.groupBy("actor_id").agg(sorted_set(F.collect_set("topic")).alias("topics"))
-    return langs.join(topics, "actor_id", how).select("actor_id", "languages", "topics")
+    if how not in _JOIN_KEEPS:
+        raise ValueError(f"how must be one of {sorted(_JOIN_KEEPS)}")
+    lang = F.col("repo_language")
+    per_lang = events.groupBy("actor_id", "repo_language").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.collect_set(F.when(non_empty("repo_topics"), F.col("repo_topics"))).alias("topic_sets"))
+    blank = F.when(non_blank("repo_language"), F.lit(0)).otherwise(F.lit(1))
+    w = Window.partitionBy("actor_id").orderBy(blank.asc(), F.col("n").desc(), lang.asc())
+    ranked = per_lang.withColumn("rank", F.row_number().over(w))
+    keep_lang = non_blank("repo_language") & (F.col("rank") <= cfg.top_languages)
+    folded = ranked.groupBy("actor_id").agg(
+        F.collect_set(F.when(keep_lang, lang)).alias("languages"),
+        F.flatten(F.flatten(F.collect_list("topic_sets"))).alias("topics"))
+    topics = F.array_sort(F.array_distinct(F.filter("topics", lambda t: t.isNotNull())))
+    out = folded.select("actor_id", F.array_sort("languages").alias("languages"), topics.alias("topics"))
+    has_l, has_t = F.size("languages") > 0, F.size("topics") > 0
+    out = out.filter(_JOIN_KEEPS[how](has_l, has_t))
+    return out.select("actor_id",
+                      F.when(has_l, F.col("languages")).alias("languages"),
+                      F.when(has_t, F.col("topics")).alias("topics"))
 
 
 def actor_history(act: DataFrame, actor_id: int, cfg: ExtractConfig) -> DataFrame:

@@ -1,8 +1,8 @@
 """One extraction run: every graph table from one shared cohort.
 
-The candidate set, the star samples, the in-window edge events of the node
-sets and the node actors' feature events are each written once to the
-session's checkpoint folder and counted; every output table reads those
+The candidate set, the star samples and the in-window edge events of the
+node sets are each written once to the session's checkpoint folder and
+counted; every output table reads those
 instead of re-running the ranking, the per-repository top-k or the big scan.
 Counts decide which key sets are broadcast (``ExtractConfig.broadcast_max_rows``).
 """
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..config import ExtractConfig
 from ..functions.columns import in_window
-from ..functions.joins import Sized, materialize, restrict_to
+from ..functions.joins import Sized, drop_materialized, materialize, restrict_to
 from ..operators import cohort as C
 from ..operators import edges as E
 from ..operators import features as FT
@@ -71,8 +71,22 @@ def edge_slice(act: DataFrame, cohorts: list[Cohort], cfg: ExtractConfig) -> Siz
     return materialize(ev)
 
 
+class GraphTables(dict):
+    """Table name -> DataFrame, plus the materialised intermediates the tables read."""
+
+    def __init__(self, tables: dict[str, DataFrame], intermediates: list[Sized]):
+        super().__init__(tables)
+        self.intermediates = intermediates
+
+    def release(self) -> None:
+        """Delete the intermediate tables; the DataFrames are unusable afterwards."""
+        if self.intermediates:
+            drop_materialized(self.intermediates[0].df.sparkSession, self.intermediates)
+            self.intermediates = []
+
+
 def extract_graph(scores: DataFrame, act: DataFrame, cfg: ExtractConfig,
-                  consistent: bool = False) -> dict[str, DataFrame]:
+                  consistent: bool = False) -> GraphTables:
     """Every graph table, keyed by table name.
 
     With ``consistent=False`` the node sets, PR/issue edges and features use the
@@ -84,11 +98,12 @@ def extract_graph(scores: DataFrame, act: DataFrame, cfg: ExtractConfig,
     windowed = build_cohort(scores, act, cfg, windowed=True, cand=cand)
     base = windowed if consistent else build_cohort(scores, act, cfg, windowed=False, cand=cand)
     cohorts = [base] if consistent else [base, windowed]
-    edges = edge_slice(act, cohorts, cfg).df
+    slice_ = edge_slice(act, cohorts, cfg)
+    edges = slice_.df
     pr = E.pr_events(edges, base.actors, base.repos, cfg)
     issue = E.issue_events(edges, base.actors, base.repos, cfg)
-    actor_events = materialize(FT.actor_feature_events(act, base.actors, cfg)).df
-    return {
+    actor_events = FT.actor_feature_events(act, base.actors, cfg)
+    tables = {
         "actor": C.actor_nodes(base.sample),
         "repo": C.repo_nodes(base.sample),
         "actor_star_repo": E.star_edges(windowed.sample),
@@ -102,6 +117,8 @@ def extract_graph(scores: DataFrame, act: DataFrame, cfg: ExtractConfig,
         "repo_with_feature": FT.repo_features(act, base.repos, cfg),
         "actor_with_feature": FT.actor_features(actor_events, cfg),
     }
+    intermediates = [cand, windowed.sample, slice_] + ([] if consistent else [base.sample])
+    return GraphTables(tables, intermediates)
 
 
 def _csv_ready(df: DataFrame) -> DataFrame:
@@ -112,8 +129,11 @@ def _csv_ready(df: DataFrame) -> DataFrame:
 
 
 def write_graph(graph: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
-                mode: str = "overwrite") -> dict[str, str]:
-    """Write every table to ``out_dir/<name>`` (parquet by default, or csv with a header)."""
+                mode: str = "overwrite", release: bool = False) -> dict[str, str]:
+    """Write every table to ``out_dir/<name>`` (parquet by default, or csv with a header).
+
+    ``release=True`` deletes the run's intermediate tables after the writes.
+    """
     paths = {}
     for name, df in graph.items():
         path = os.path.join(out_dir, name)
@@ -122,4 +142,6 @@ def write_graph(graph: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
         else:
             df.write.mode(mode).format(fmt).save(path)
         paths[name] = path
+    if release and isinstance(graph, GraphTables):
+        graph.release()
     return paths

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import render_arrays
+from ..functions.joins import materialize
 from ..operators import cohort as C
 from ..operators import edges as E
 from ..operators import explore as X
@@ -73,7 +74,7 @@ def cohort_counts(spark, sf_dir):
 
 def star_pairs_unsampled(spark, sf_dir):
     scores, act, cfg = FX.fixture_inputs(spark, sf_dir)
-    return C.star_pairs_unsampled(act, C.candidates(scores, cfg), cfg)
+    return C.star_pairs_unsampled(act, materialize(C.candidates(scores, cfg)), cfg)
 
 
 def cohort_counts_unsampled(spark, sf_dir):
@@ -153,7 +154,7 @@ def types_with_topics(spark, sf_dir):
 
 def stars_per_actor(spark, sf_dir):
     scores, act, cfg = FX.fixture_inputs(spark, sf_dir)
-    return E.stars_per_actor(act, C.candidates(scores, cfg), cfg)
+    return E.stars_per_actor(act, materialize(C.candidates(scores, cfg)), cfg)
 
 
 def graph_table(name: str) -> Query:

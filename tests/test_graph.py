@@ -62,6 +62,15 @@ def test_write_graph_parquet_and_csv(spark, graph):
     assert feat.first()["languages"].startswith("[")
 
 
+def test_release_removes_intermediates(spark):
+    scores, act, cfg = fixture_inputs(spark, SF001)
+    g = extract_graph(scores, act, cfg)
+    paths = [m.path for m in g.intermediates]
+    assert len(paths) == 4 and all(os.path.exists(p.replace("file:", "")) for p in paths)
+    write_graph(g, os.path.join(tempfile.mkdtemp(prefix="cg-graph-"), "out"), release=True)
+    assert not any(os.path.exists(p.replace("file:", "")) for p in paths)
+
+
 def test_nested_topic_shapes_are_normalised(spark):
     nested = spark.createDataFrame(
         [(1, 2, 3, [("a",), ("b",)])],
