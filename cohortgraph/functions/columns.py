@@ -11,7 +11,13 @@ from ..config import ITEM_KEY_SEPARATOR
 
 
 def ts_literal(value: datetime) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
+    """A ``timestamp_ntz`` literal built from its ISO text.
+
+    Going through a string keeps the value independent of the Python and
+    session time zones (a ``datetime`` literal is first read as a zoned
+    timestamp).
+    """
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def in_window(col: str | Column, start: datetime, end: datetime) -> Column:

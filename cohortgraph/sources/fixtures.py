@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
+from ..functions.columns import ts_literal
 from .tables import normalise_activity, normalise_scores
 
 # Fixed values of the fixture mapping (FIXTURES.md).
@@ -107,7 +108,7 @@ def fixture_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = li.join(_part_keys_below(part, SCORE_PART_MODULUS),
                      F.col("p_partkey") == F.col("l_partkey") % SCORE_PART_MODULUS, "inner")
     repo_id = F.col("l_partkey") % SCORE_PART_MODULUS
-    renamed = (repo_id % 5 == 0) & (F.col("l_shipdate") < F.lit(RENAME_BEFORE).cast("timestamp_ntz"))
+    renamed = (repo_id % 5 == 0) & (F.col("l_shipdate") < ts_literal(RENAME_BEFORE))
     raw = joined.select(
         repo_id.alias("repo_id"),
         F.concat(F.col("p_brand"), F.lit("/"), F.col("p_name"),
@@ -122,7 +123,7 @@ def fixture_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scale_factor(sf_dir: str) -> float | None:
-    m = re.search(r"sf([0-9.]+)", os.path.basename(os.path.normpath(sf_dir)))
+    m = re.search(r"sf[_-]?([0-9]*\.?[0-9]+)", os.path.basename(os.path.normpath(sf_dir)))
     return float(m.group(1)) if m else None
 
 

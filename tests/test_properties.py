@@ -8,11 +8,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cohortgraph.functions.topk import top_k_per_group
+from cohortgraph.functions.joins import materialize
+from cohortgraph.functions.topk import estimated_input_tasks, top_k_per_group
 from cohortgraph.operators import cohort as C
 from cohortgraph.operators import edges as E
 from cohortgraph.plans.graph import build_cohort, extract_graph
 from cohortgraph.sources.fixtures import fixture_inputs
+from cohortgraph.sources.tables import read_activity
 from tests.conftest import SF01
 
 
@@ -75,3 +77,25 @@ def test_consistent_graph_endpoints_are_nodes(spark):
         t = g[name]
         assert t.join(actors, "actor_id", "left_anti").count() == 0, name
         assert t.join(repos, "repo_id", "left_anti").count() == 0, name
+
+
+def test_two_round_sample_on_many_input_tasks(spark, tmp_path):
+    # the fixture activity spread over 16 files, read with small splits: the
+    # estimated fan-in is > 1, so the sample takes the two-round path
+    scores, act, cfg = fixture_inputs(spark, SF01)
+    path = str(tmp_path / "activity")
+    act.repartition(16).write.parquet(path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        many = read_activity(spark, path)
+        assert estimated_input_tasks(many) >= 4
+        cand = materialize(C.candidates(scores, cfg))
+        two_round = C.sample_recent(many, cand, cfg)
+        assert "SPARK_PARTITION_ID" in two_round._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted(tuple(r) for r in two_round.select("repo_id", "event_id", "rn").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    one_round = C.sample_recent(act, cand, cfg.with_(topk_fan_in=1))
+    want = sorted(tuple(r) for r in one_round.select("repo_id", "event_id", "rn").collect())
+    assert got == want and len(got) == 280
