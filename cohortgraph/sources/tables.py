@@ -23,8 +23,9 @@ def _topics_column(df: DataFrame) -> F.Column | None:
     """The topic names as ``array<string>`` whatever shape the source uses.
 
     Accepted shapes: ``repo_topics array<string>``; ``repo_topics
-    array<struct<name: string>>`` (nested field, read as ``repo_topics.name``);
-    a flat column literally named ``repo_topics.name``.
+    array<struct<name: string>>`` or ``struct<name: array<string>>`` (nested
+    field, read as ``repo_topics.name``); a flat column literally named
+    ``repo_topics.name``.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     if "repo_topics.name" in fields:
@@ -34,6 +35,8 @@ def _topics_column(df: DataFrame) -> F.Column | None:
         return None
     if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StructType):
         return F.col("repo_topics.name")
+    if isinstance(dt, T.StructType) and "name" in dt.fieldNames():
+        return F.col("repo_topics.name")
     return F.col("repo_topics")
 
 

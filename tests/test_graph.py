@@ -80,3 +80,6 @@ def test_nested_topic_shapes_are_normalised(spark):
                                                         "`repo_topics.name` array<string>")
     row = normalise_activity(dotted).first()
     assert row["repo_topics"] == ["x"] and row["platform"] is None
+    struct = spark.createDataFrame([(1, 2, 3, (["p", "q"],))], "event_id bigint, actor_id bigint, repo_id bigint, "
+                                                              "repo_topics struct<name:array<string>>")
+    assert normalise_activity(struct).first()["repo_topics"] == ["p", "q"]
