@@ -65,8 +65,9 @@ class ExtractConfig:
     # restrict score rows to one entity type ('Repo'); None keeps every row
     entity_type: str | None = None
     # semi-join key sets with at most this many rows (counted after they are
-    # materialised) are broadcast; bigger ones go through a shuffle join
-    broadcast_max_rows: int = 4_000_000
+    # materialised) are broadcast - 2M bigint ids are about 16 MB, built once
+    # on the driver; bigger ones go through a shuffle join
+    broadcast_max_rows: int = 2_000_000
     # fan-in of the two-round per-repository top-k; None = sqrt(input tasks)
     topk_fan_in: int | None = None
 

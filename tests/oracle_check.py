@@ -2,7 +2,7 @@
 
 Usable from tests and as a script: ``python -m tests.oracle_check [sf_dir] [name ...]``.
 Comparison: row count, column names, and the multiset of rows (values
-normalised to text, arrays as lists, floats to 9 significant digits).
+normalised to text, arrays as lists, floats exactly).
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return f"{v:.9g}"
+        return repr(v)
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(_norm(x) for x in v) + "]"
     if isinstance(v, _dt.datetime):
