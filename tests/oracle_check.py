@@ -41,6 +41,22 @@ def _norm(v):
     return str(v)
 
 
+_SPARK_KIND = {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8", "double": "float64",
+               "float": "float32", "string": "text", "timestamp_ntz": "timestamp", "timestamp": "timestamp",
+               "boolean": "bool", "date": "date"}
+_DUCK_KIND = {"BIGINT": "int64", "INTEGER": "int32", "SMALLINT": "int16", "TINYINT": "int8", "DOUBLE": "float64",
+              "FLOAT": "float32", "VARCHAR": "text", "TIMESTAMP": "timestamp", "BOOLEAN": "bool", "DATE": "date"}
+
+
+def spark_kinds(df) -> dict[str, str]:
+    return {f.name: _SPARK_KIND.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+
+
+def duck_kinds(con, sql) -> dict[str, str]:
+    rel = con.sql(sql)
+    return {c: _DUCK_KIND.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+
+
 def rows_of_spark(df):
     cols = df.columns
     return cols, [tuple(_norm(r[c]) for c in cols) for r in df.collect()]
@@ -61,12 +77,16 @@ def compare(spark, sf_dir: str, names=None) -> dict[str, dict]:
     out = {}
     for name in names or sorted(qs):
         res = {"oracle": name in oracle}
-        scols, srows = rows_of_spark(qs[name](spark, sf_dir))
+        sdf = qs[name](spark, sf_dir)
+        scols, srows = rows_of_spark(sdf)
         res["rows"] = len(srows)
         if name in oracle:
             dcols, drows = rows_of_duck(con, oracle[name])
             res["oracle_rows"] = len(drows)
             res["columns_match"] = sorted(scols) == sorted(dcols)
+            res["types_match"] = spark_kinds(sdf) == duck_kinds(con, oracle[name])
+            if not res["types_match"]:
+                res["types"] = (spark_kinds(sdf), duck_kinds(con, oracle[name]))
             order = [dcols.index(c) for c in scols] if res["columns_match"] else None
             if order is not None:
                 drows = [tuple(r[i] for i in order) for r in drows]
@@ -88,7 +108,7 @@ if __name__ == "__main__":
     results = compare(spark, sf, names)
     bad = 0
     for n, r in results.items():
-        ok = r.get("values_match", True)
+        ok = r.get("values_match", True) and r.get("types_match", True)
         bad += not ok
         print(("OK  " if ok else "BAD ") + n, {k: v for k, v in r.items() if k not in ("oracle",)})
     print(f"{len(results) - bad}/{len(results)} match")
