@@ -71,21 +71,34 @@ def star_events(act: DataFrame, cfg: ExtractConfig, windowed: bool = False) -> D
     return act.filter(cond)
 
 
-def sample_recent(act: DataFrame, cand: DataFrame | Sized, cfg: ExtractConfig,
-                  windowed: bool = False) -> DataFrame:
-    """The ``sample_per_repo`` newest star events of each candidate repository.
+def candidate_stars(act: DataFrame, cand: DataFrame | Sized, cfg: ExtractConfig,
+                    windowed: bool = False) -> DataFrame:
+    """Star events of the candidate repositories: actor_id, repo_id, created_at, event_id."""
+    stars = star_events(act, cfg, windowed).select("actor_id", "repo_id", "created_at", "event_id")
+    return restrict_to(stars, cand, "repo_id", cfg.broadcast_max_rows)
+
+
+def newest_per_repo(stars: DataFrame, cfg: ExtractConfig) -> DataFrame:
+    """The ``sample_per_repo`` newest rows of each repository (adds ``rn``).
 
     Ties on ``created_at`` are broken by ``event_id`` (newest id first) so the
-    sample is deterministic. The cap counts events, not actors: an actor who
-    starred twice takes two places. ``windowed`` restricts the star events to
-    the config window first (the star/fork edge tables use that variant).
+    sample is deterministic.
     """
-    stars = restrict_to(star_events(act, cfg, windowed).select("actor_id", "repo_id", "created_at", "event_id"),
-                        cand, "repo_id", cfg.broadcast_max_rows)
     return top_k_per_group(stars, ["repo_id"], [F.col("created_at").desc(), F.col("event_id").desc()],
                            cfg.sample_per_repo, rank_col="rn", fan_in=cfg.topk_fan_in)
 
 
+def sample_recent(act: DataFrame, cand: DataFrame | Sized, cfg: ExtractConfig,
+                  windowed: bool = False) -> DataFrame:
+    """The ``sample_per_repo`` newest star events of each candidate repository.
+
+    The cap counts events, not actors: an actor who starred twice takes two
+    places. ``windowed`` restricts the star events to the config window first
+    (the star/fork edge tables use that variant).
+    """
+    return newest_per_repo(candidate_stars(act, cand, cfg, windowed), cfg)
+
+
 def actor_set(sample: DataFrame | Sized) -> DataFrame:
     return as_frame(sample).select("actor_id").distinct()
 

@@ -1,10 +1,23 @@
-"""One extraction run: every graph table from one shared cohort.
-
-The candidate set, the star samples and the in-window edge events of the
-node sets are each written once to the session's checkpoint folder and
-counted; every output table reads those
-instead of re-running the ranking, the per-repository top-k or the big scan.
-Counts decide which key sets are broadcast (``ExtractConfig.broadcast_max_rows``).
+"""One extraction run: every graph table from one shared cohort, in two passes.
+
+The activity log is the big input, so the run reads it twice, not once per
+output table:
+
+1. the star events of the candidate repositories (all time) are written once;
+   both the in-window and the all-time sample are ranked from that table;
+2. once the node sets are known, every event that any output table needs -
+   fork / pull-request / issue events and the feature event types, whose
+   repository OR actor is a node - is written once; each edge and feature
+   table then applies its own exact filter to that superset.
+
+An OR of two key sets is not a semi join; it is expressed as two left joins
+against broadcast key sets carrying a flag, so pass 2 needs both node sets to
+be under the broadcast limit. Otherwise the run falls back to one pass for
+the edge events (both ends in the node sets) and direct scans for the two
+feature tables.
+
+Intermediates are parquet tables under ``spark.checkpoint.dir`` (see
+``functions.joins.materialize``); their counted sizes decide the broadcasts.
 """
 
 from __future__ import annotations
@@ -23,6 +36,9 @@ from ..operators import cohort as C
 from ..operators import edges as E
 from ..operators import features as FT
 
+NODE_EVENT_COLUMNS = ("event_id", "actor_id", "repo_id", "created_at", "platform", "type", "issue_number",
+                      "repo_language", "repo_topics", "repo_description")
+
 
 @dataclass(frozen=True)
 class Cohort:
@@ -45,6 +61,7 @@ class Cohort:
 
 def build_cohort(scores: DataFrame, act: DataFrame, cfg: ExtractConfig, windowed: bool = False,
                  cand: Sized | None = None) -> Cohort:
+    """Candidates (materialised unless given) and one materialised star sample."""
     cand = cand if cand is not None else materialize(C.candidates(scores, cfg))
     sample = materialize(C.sample_recent(act, cand, cfg, windowed=windowed))
     return Cohort(cfg, cand, sample, windowed)
@@ -56,16 +73,41 @@ def _union_keys(a: Sized, b: Sized, key: str) -> Sized:
     return Sized(a.df.select(key).union(b.df.select(key)).distinct(), a.rows + b.rows)
 
 
+def _node_keys(cohorts: list[Cohort]) -> tuple[Sized, Sized]:
+    repos, actors = cohorts[0].repos, cohorts[0].actors
+    for c in cohorts[1:]:
+        repos = _union_keys(repos, c.repos, "repo_id")
+        actors = _union_keys(actors, c.actors, "actor_id")
+    return repos, actors
+
+
+def node_events(act: DataFrame, cohorts: list[Cohort], cfg: ExtractConfig) -> Sized | None:
+    """Pass 2: events of the needed types whose repository or actor is a node.
+
+    Returns None when a node set is too big to broadcast (the OR cannot be a
+    shuffle semi join); the caller then takes the fallback passes.
+    """
+    repos, actors = _node_keys(cohorts)
+    if repos.rows > cfg.broadcast_max_rows or actors.rows > cfg.broadcast_max_rows:
+        return None
+    types = list(dict.fromkeys([*cfg.fork_types, *cfg.pr_types, *cfg.issue_types,
+                                *cfg.repo_feature_types, *cfg.actor_feature_types]))
+    ev = act.filter((F.col("platform") == cfg.platform) & F.col("type").isin(types)).select(*NODE_EVENT_COLUMNS)
+    repo_flag = F.broadcast(repos.df.select("repo_id").withColumn("_node_repo", F.lit(True)))
+    actor_flag = F.broadcast(actors.df.select("actor_id").withColumn("_node_actor", F.lit(True)))
+    ev = (ev.join(repo_flag, "repo_id", "left").join(actor_flag, "actor_id", "left")
+          .filter(F.col("_node_repo").isNotNull() | F.col("_node_actor").isNotNull())
+          .select(*NODE_EVENT_COLUMNS))
+    return materialize(ev)
+
+
 def edge_slice(act: DataFrame, cohorts: list[Cohort], cfg: ExtractConfig) -> Sized:
-    """In-window fork/PR/issue events whose actor and repository are nodes of any cohort."""
+    """Fallback pass: in-window fork/PR/issue events whose actor and repository are nodes."""
     types = list(dict.fromkeys([*cfg.fork_types, *cfg.pr_types, *cfg.issue_types]))
     ev = act.filter((F.col("platform") == cfg.platform) & F.col("type").isin(types)
                     & in_window("created_at", cfg.start, cfg.end))
     ev = ev.select("actor_id", "repo_id", "issue_number", "type", "platform", "created_at")
-    repos, actors = cohorts[0].repos, cohorts[0].actors
-    for c in cohorts[1:]:
-        repos = _union_keys(repos, c.repos, "repo_id")
-        actors = _union_keys(actors, c.actors, "actor_id")
+    repos, actors = _node_keys(cohorts)
     ev = restrict_to(ev, repos, "repo_id", cfg.broadcast_max_rows)
     ev = restrict_to(ev, actors, "actor_id", cfg.broadcast_max_rows)
     return materialize(ev)
@@ -95,29 +137,38 @@ def extract_graph(scores: DataFrame, act: DataFrame, cfg: ExtractConfig,
     node list. ``consistent=True`` uses the in-window sample everywhere.
     """
     cand = materialize(C.candidates(scores, cfg))
-    windowed = build_cohort(scores, act, cfg, windowed=True, cand=cand)
-    base = windowed if consistent else build_cohort(scores, act, cfg, windowed=False, cand=cand)
+    stars = materialize(C.candidate_stars(act, cand, cfg))                    # pass 1
+    in_window_stars = stars.df.filter(in_window("created_at", cfg.start, cfg.end))
+    windowed = Cohort(cfg, cand, materialize(C.newest_per_repo(in_window_stars, cfg)), True)
+    base = windowed if consistent else Cohort(cfg, cand, materialize(C.newest_per_repo(stars.df, cfg)), False)
     cohorts = [base] if consistent else [base, windowed]
-    slice_ = edge_slice(act, cohorts, cfg)
-    edges = slice_.df
-    pr = E.pr_events(edges, base.actors, base.repos, cfg)
-    issue = E.issue_events(edges, base.actors, base.repos, cfg)
-    actor_events = FT.actor_feature_events(act, base.actors, cfg)
+    intermediates = [cand, stars] + [c.sample for c in cohorts]
+
+    nodes_ev = node_events(act, cohorts, cfg)                                 # pass 2
+    if nodes_ev is not None:
+        intermediates.append(nodes_ev)
+        edge_src = feature_src = nodes_ev.df
+    else:
+        slice_ = edge_slice(act, cohorts, cfg)
+        intermediates.append(slice_)
+        edge_src, feature_src = slice_.df, act
+
+    pr = E.pr_events(edge_src, base.actors, base.repos, cfg)
+    issue = E.issue_events(edge_src, base.actors, base.repos, cfg)
     tables = {
         "actor": C.actor_nodes(base.sample),
         "repo": C.repo_nodes(base.sample),
         "actor_star_repo": E.star_edges(windowed.sample),
-        "actor_fork_repo": E.fork_edges(edges, windowed.actors, windowed.repos, cfg),
+        "actor_fork_repo": E.fork_edges(edge_src, windowed.actors, windowed.repos, cfg),
         "actor_contribute_pr": E.weighted_edges(pr, E.PR_KEY, with_repo=False),
         "actor_contribute_pr_belong_repo": E.weighted_edges(pr, E.PR_KEY, with_repo=True),
         "actor_discussion_issue": E.weighted_edges(issue, E.ISSUE_KEY, with_repo=False),
         "actor_discussion_issue_belong_repo": E.weighted_edges(issue, E.ISSUE_KEY, with_repo=True),
         "pr_belong_repo": E.membership(pr, E.PR_KEY),
         "issue_belong_repo": E.membership(issue, E.ISSUE_KEY),
-        "repo_with_feature": FT.repo_features(act, base.repos, cfg),
-        "actor_with_feature": FT.actor_features(actor_events, cfg),
+        "repo_with_feature": FT.repo_features(feature_src, base.repos, cfg),
+        "actor_with_feature": FT.actor_features(FT.actor_feature_events(feature_src, base.actors, cfg), cfg),
     }
-    intermediates = [cand, windowed.sample, slice_] + ([] if consistent else [base.sample])
     return GraphTables(tables, intermediates)
 
 

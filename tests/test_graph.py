@@ -26,8 +26,16 @@ def graph(spark):
     return scores, act, cfg, extract_graph(scores, act, cfg)
 
 
-def test_graph_tables_equal_standalone_operators(spark, graph):
+@pytest.mark.parametrize("two_pass", [True, False])
+def test_graph_tables_equal_standalone_operators(spark, graph, two_pass):
     scores, act, cfg, g = graph
+    if not two_pass:
+        # node sets over the broadcast limit: edge slice + direct feature scans
+        cfg = cfg.with_(broadcast_max_rows=1)
+        g = extract_graph(scores, act, cfg)
+    assert len(g.intermediates) == 5
+    # the last intermediate is the node-event table (two passes) or the edge slice
+    assert (g.intermediates[-1].df.columns[0] == "event_id") is two_pass
     base = build_cohort(scores, act, cfg)
     win = build_cohort(scores, act, cfg, windowed=True)
     expected = {
@@ -66,7 +74,7 @@ def test_release_removes_intermediates(spark):
     scores, act, cfg = fixture_inputs(spark, SF001)
     g = extract_graph(scores, act, cfg)
     paths = [m.path for m in g.intermediates]
-    assert len(paths) == 4 and all(os.path.exists(p.replace("file:", "")) for p in paths)
+    assert len(paths) == 5 and all(os.path.exists(p.replace("file:", "")) for p in paths)
     write_graph(g, os.path.join(tempfile.mkdtemp(prefix="cg-graph-"), "out"), release=True)
     assert not any(os.path.exists(p.replace("file:", "")) for p in paths)
 
