@@ -5,10 +5,11 @@ output table:
 
 1. the star events of the candidate repositories (all time) are written once;
    both the in-window and the all-time sample are ranked from that table;
-2. once the node sets are known, every event that any output table needs -
-   fork / pull-request / issue events and the feature event types, whose
-   repository OR actor is a node - is written once; each edge and feature
-   table then applies its own exact filter to that superset.
+2. once the node sets are known, every event that any output table needs is
+   written once - in-window fork / pull-request / issue events between nodes,
+   all-time repository-feature events of node repositories, all-time
+   actor-feature events of node actors; each edge and feature table then
+   applies its own exact filter to that superset.
 
 An OR of two key sets is not a semi join; it is expressed as two left joins
 against broadcast key sets carrying a flag, so pass 2 needs both node sets to
@@ -82,7 +83,7 @@ def _node_keys(cohorts: list[Cohort]) -> tuple[Sized, Sized]:
 
 
 def node_events(act: DataFrame, cohorts: list[Cohort], cfg: ExtractConfig) -> Sized | None:
-    """Pass 2: events of the needed types whose repository or actor is a node.
+    """Pass 2: the union of the rows every edge and feature table reads.
 
     Returns None when a node set is too big to broadcast (the OR cannot be a
     shuffle semi join); the caller then takes the fallback passes.
@@ -90,14 +91,18 @@ def node_events(act: DataFrame, cohorts: list[Cohort], cfg: ExtractConfig) -> Si
     repos, actors = _node_keys(cohorts)
     if repos.rows > cfg.broadcast_max_rows or actors.rows > cfg.broadcast_max_rows:
         return None
-    types = list(dict.fromkeys([*cfg.fork_types, *cfg.pr_types, *cfg.issue_types,
-                                *cfg.repo_feature_types, *cfg.actor_feature_types]))
+    edge_types = list(dict.fromkeys([*cfg.fork_types, *cfg.pr_types, *cfg.issue_types]))
+    types = list(dict.fromkeys([*edge_types, *cfg.repo_feature_types, *cfg.actor_feature_types]))
     ev = act.filter((F.col("platform") == cfg.platform) & F.col("type").isin(types)).select(*NODE_EVENT_COLUMNS)
     repo_flag = F.broadcast(repos.df.select("repo_id").withColumn("_node_repo", F.lit(True)))
     actor_flag = F.broadcast(actors.df.select("actor_id").withColumn("_node_actor", F.lit(True)))
+    is_repo, is_actor = F.col("_node_repo").isNotNull(), F.col("_node_actor").isNotNull()
+    typ = F.col("type")
+    needed = ((typ.isin(edge_types) & in_window("created_at", cfg.start, cfg.end) & is_repo & is_actor)
+              | (typ.isin(list(cfg.repo_feature_types)) & is_repo)
+              | (typ.isin(list(cfg.actor_feature_types)) & is_actor))
     ev = (ev.join(repo_flag, "repo_id", "left").join(actor_flag, "actor_id", "left")
-          .filter(F.col("_node_repo").isNotNull() | F.col("_node_actor").isNotNull())
-          .select(*NODE_EVENT_COLUMNS))
+          .filter(needed).select(*NODE_EVENT_COLUMNS))
     return materialize(ev)
 
 
