@@ -91,3 +91,14 @@ def test_nested_topic_shapes_are_normalised(spark):
     struct = spark.createDataFrame([(1, 2, 3, (["p", "q"],))], "event_id bigint, actor_id bigint, repo_id bigint, "
                                                               "repo_topics struct<name:array<string>>")
     assert normalise_activity(struct).first()["repo_topics"] == ["p", "q"]
+
+
+def test_output_tables_never_rescan_the_activity_log(spark, graph):
+    # both passes over the activity log happen inside extract_graph; every
+    # output table reads only the materialised intermediates
+    from cohortgraph.plans.checks import physical_plan
+    _, _, _, g = graph
+    for name, df in g.items():
+        plan = physical_plan(df, "simple")
+        assert "events.parquet" not in plan, name
+        assert "lineitem.parquet" not in plan, name
