@@ -109,26 +109,32 @@ def actor_features(events: DataFrame, cfg: ExtractConfig, how: str = "inner") ->
     being NULL - the rows a join of the two per-actor tables would give.
 
     One scan and two shuffles: the events are aggregated per (actor,
-    language) into an event count and the set of topic arrays; languages are
+    language) into an event count and the set of distinct topics (buffers
+    bounded by the topic vocabulary, de-duplicated map-side); languages are
     ranked per actor (blank ones last and never kept); a final per-actor fold,
     on the partitioning the ranking already produced, keeps the top languages
-    and flattens the topic sets. No actor group is larger than the number of
+    and merges the topic sets. No actor group is larger than the number of
     distinct languages plus one.
     """
     if how not in _JOIN_KEEPS:
         raise ValueError(f"how must be one of {sorted(_JOIN_KEEPS)}")
     lang = F.col("repo_language")
-    per_lang = events.groupBy("actor_id", "repo_language").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.collect_set(F.when(non_empty("repo_topics"), F.col("repo_topics"))).alias("topic_sets"))
+    # one row per (event, topic); an event without topics keeps one row with a
+    # NULL position, so "position NULL or 0" counts each event exactly once
+    exploded = events.select("actor_id", "repo_language",
+                             F.posexplode_outer("repo_topics").alias("pos", "topic"))
+    first_of_event = F.col("pos").isNull() | (F.col("pos") == 0)
+    per_lang = exploded.groupBy("actor_id", "repo_language").agg(
+        F.count(F.when(first_of_event, F.lit(1))).alias("n"),
+        F.collect_set("topic").alias("topic_set"))
     blank = F.when(non_blank("repo_language"), F.lit(0)).otherwise(F.lit(1))
     w = Window.partitionBy("actor_id").orderBy(blank.asc(), F.col("n").desc(), lang.asc())
     ranked = per_lang.withColumn("rank", F.row_number().over(w))
     keep_lang = non_blank("repo_language") & (F.col("rank") <= cfg.top_languages)
     folded = ranked.groupBy("actor_id").agg(
         F.collect_set(F.when(keep_lang, lang)).alias("languages"),
-        F.flatten(F.flatten(F.collect_list("topic_sets"))).alias("topics"))
-    topics = F.array_sort(F.array_distinct(F.filter("topics", lambda t: t.isNotNull())))
+        F.flatten(F.collect_list("topic_set")).alias("topics"))
+    topics = F.array_sort(F.array_distinct("topics"))
     out = folded.select("actor_id", F.array_sort("languages").alias("languages"), topics.alias("topics"))
     has_l, has_t = F.size("languages") > 0, F.size("topics") > 0
     out = out.filter(_JOIN_KEEPS[how](has_l, has_t))
