@@ -21,7 +21,7 @@ from ..operators import edges as E
 from ..operators import explore as X
 from ..operators import features as FT
 from ..sources import fixtures as FX
-from .graph import build_cohort, extract_graph
+from .graph import build_cohort
 
 SCORE_DIGITS = 6
 
@@ -157,16 +157,6 @@ def stars_per_actor(spark, sf_dir):
     return E.stars_per_actor(act, materialize(C.candidates(scores, cfg)), cfg)
 
 
-def graph_table(name: str) -> Query:
-    """One table of the full ``extract_graph`` run (shared cohort)."""
-    def q(spark, sf_dir):
-        scores, act, cfg = FX.fixture_inputs(spark, sf_dir)
-        df = extract_graph(scores, act, cfg)[name]
-        arrays = [f.name for f in df.schema.fields if f.dataType.typeName() == "array"]
-        return render_arrays(df, *arrays)
-    return q
-
-
 QUERIES: dict[str, Query] = {
     "top_entities": top_entities,
     "pinned_entities": pinned_entities,
