@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import weakref
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -140,18 +141,21 @@ def fixture_config(sf_dir: str) -> ExtractConfig:
     )
 
 
-_INPUTS: dict[tuple[int, str], tuple[DataFrame, DataFrame]] = {}
+_INPUTS: "weakref.WeakKeyDictionary[SparkSession, dict[str, tuple[DataFrame, DataFrame]]]" = \
+    weakref.WeakKeyDictionary()
 
 
 def fixture_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, ExtractConfig]:
     """(rank_scores, activity, config) for one driver scale-factor folder.
 
     The two input definitions are lazy plans (nothing is cached); they are
-    kept per session and folder so repeated queries skip re-resolving the
-    parquet footers and schemas.
+    kept per live session and folder so repeated queries skip re-resolving the
+    parquet footers and schemas. A stopped or collected session never hands
+    its plans to another one.
     """
-    key = (id(spark), os.path.abspath(sf_dir))
-    if key not in _INPUTS:
-        _INPUTS[key] = (fixture_scores(spark, sf_dir), fixture_activity(spark, sf_dir))
-    scores, act = _INPUTS[key]
+    per_session = _INPUTS.setdefault(spark, {})
+    key = os.path.abspath(sf_dir)
+    if key not in per_session or per_session[key][0].sparkSession is not spark:
+        per_session[key] = (fixture_scores(spark, sf_dir), fixture_activity(spark, sf_dir))
+    scores, act = per_session[key]
     return scores, act, fixture_config(sf_dir)

@@ -105,3 +105,15 @@ def test_materialized_intermediate_is_a_parquet_table(spark):
     checkpoint_dir = spark.sparkContext.getCheckpointDir()
     assert m.path.startswith(checkpoint_dir)
     assert "FileScan parquet" in physical_plan(m.df, "simple")
+
+
+def test_registered_queries_stay_in_the_jvm(spark):
+    # no Python evaluation anywhere: every expression is a built-in
+    import __spark_entry__ as entry_module
+    from tests.conftest import SF001
+
+    python_nodes = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
+                    "PythonUDF", "MapInArrow", "AggregateInPandas", "WindowInPandas")
+    for name, q in entry_module.queries().items():
+        plan = physical_plan(q(spark, SF001), "extended")
+        assert not any(n in plan for n in python_nodes), name
