@@ -1,9 +1,9 @@
 """Input readers (rank_scores, activity) and the driver-table fixture mapping."""
 
 from .fixtures import fixture_activity, fixture_config, fixture_inputs, fixture_scores
-from .tables import normalise_activity, normalise_scores, read_activity, read_scores
+from .tables import normalise_activity, normalise_scores, read_activity, read_scores, write_activity
 
 __all__ = [
     "fixture_activity", "fixture_config", "fixture_inputs", "fixture_scores",
-    "normalise_activity", "normalise_scores", "read_activity", "read_scores",
+    "normalise_activity", "normalise_scores", "read_activity", "read_scores", "write_activity",
 ]

@@ -95,3 +95,26 @@ def read_scores(spark: SparkSession, path_or_table: str, fmt: str = "parquet") -
     if fmt == "table":
         return normalise_scores(spark.table(path_or_table))
     return normalise_scores(spark.read.format(fmt).load(path_or_table))
+
+
+def write_activity(act: DataFrame, path: str, num_partitions: int | None = None,
+                   mode: str = "error") -> None:
+    """Store the activity log in the layout the extraction reads fastest.
+
+    Folders are partitioned by ``platform`` and ``type``: every operator filters
+    on both, so a scan only lists the folders of the event types it needs
+    (partition pruning). Rows are range-partitioned on (platform, type,
+    repo_id, created_at) before the write, so a hot event type is spread over
+    many tasks instead of one, and every file holds a narrow range of
+    repositories and times: parquet row-group statistics then skip on the
+    time window and on repository ids.
+    """
+    spark = act.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["platform", "type", "repo_id", "created_at"]
+    (normalise_activity(act)
+     .repartitionByRange(n, *keys)
+     .sortWithinPartitions(*keys)
+     .write.mode(mode)
+     .partitionBy("platform", "type")
+     .parquet(path))

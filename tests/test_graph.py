@@ -102,3 +102,21 @@ def test_output_tables_never_rescan_the_activity_log(spark, graph):
         plan = physical_plan(df, "simple")
         assert "events.parquet" not in plan, name
         assert "lineitem.parquet" not in plan, name
+
+
+def test_partitioned_activity_layout_prunes_and_matches(spark, tmp_path):
+    from cohortgraph.operators import cohort as C_
+    from cohortgraph.plans.checks import physical_plan
+    from cohortgraph.sources.tables import read_activity, write_activity
+
+    scores, act, cfg = fixture_inputs(spark, SF001)
+    path = str(tmp_path / "activity")
+    write_activity(act, path, num_partitions=4)
+    stored = read_activity(spark, path)
+    assert stored.count() == act.count()
+    plan = physical_plan(C_.star_events(stored, cfg), "simple")
+    assert "PartitionFilters: [isnotnull(platform" in plan and "(type#" in plan
+    cand = C_.candidates(scores, cfg)
+    got = sorted(map(tuple, C_.sample_recent(stored, cand, cfg).collect()), key=repr)
+    want = sorted(map(tuple, C_.sample_recent(act, cand, cfg).collect()), key=repr)
+    assert got == want
