@@ -1,9 +1,11 @@
-"""Input readers (rank_scores, activity) and the driver-table fixture mapping."""
+"""Input readers (rank_scores, activity), the storage layout, and the driver-table fixture mapping."""
 
 from .fixtures import fixture_activity, fixture_config, fixture_inputs, fixture_scores
-from .tables import normalise_activity, normalise_scores, read_activity, read_scores, write_activity
+from .tables import (normalise_activity, normalise_scores, read_activity, read_scores, register_inputs,
+                     write_activity)
 
 __all__ = [
     "fixture_activity", "fixture_config", "fixture_inputs", "fixture_scores",
-    "normalise_activity", "normalise_scores", "read_activity", "read_scores", "write_activity",
+    "normalise_activity", "normalise_scores", "read_activity", "read_scores", "register_inputs",
+    "write_activity",
 ]

@@ -118,3 +118,15 @@ def write_activity(act: DataFrame, path: str, num_partitions: int | None = None,
      .write.mode(mode)
      .partitionBy("platform", "type")
      .parquet(path))
+
+
+def register_inputs(scores: DataFrame, act: DataFrame, scores_view: str = "rank_scores",
+                    activity_view: str = "activity") -> None:
+    """Expose the two inputs to Spark SQL as temporary views (session scoped).
+
+    ``spark.sql`` over these views is planned by the same optimizer as the
+    DataFrame operators; the default names avoid clashing with a raw
+    ``events`` table.
+    """
+    scores.createOrReplaceTempView(scores_view)
+    act.createOrReplaceTempView(activity_view)

@@ -120,3 +120,28 @@ def test_partitioned_activity_layout_prunes_and_matches(spark, tmp_path):
     got = sorted(map(tuple, C_.sample_recent(stored, cand, cfg).collect()), key=repr)
     want = sorted(map(tuple, C_.sample_recent(act, cand, cfg).collect()), key=repr)
     assert got == want
+
+
+def test_sql_views_plan_like_the_dataframe_operators(spark):
+    # the same candidate query written in Spark SQL over the registered views
+    from cohortgraph.operators import cohort as C_
+    from cohortgraph.sources.tables import register_inputs
+
+    scores, act, cfg = fixture_inputs(spark, SF001)
+    register_inputs(scores, act)
+    sql = f"""
+        SELECT repo_id FROM (
+            (SELECT repo_id, repo_name, avg(openrank) AS s FROM rank_scores
+             WHERE platform = 'GitHub' AND created_at >= TIMESTAMP_NTZ '1998-01-01 00:00:00'
+               AND created_at < TIMESTAMP_NTZ '1999-01-01 00:00:00'
+             GROUP BY repo_id, repo_name ORDER BY s DESC, repo_id, repo_name LIMIT {cfg.top_n})
+            UNION
+            (SELECT repo_id, repo_name, avg(openrank) AS s FROM rank_scores
+             WHERE platform = 'GitHub' AND created_at >= TIMESTAMP_NTZ '1998-01-01 00:00:00'
+               AND created_at < TIMESTAMP_NTZ '1999-01-01 00:00:00'
+               AND (org_login IN ('Brand#1', 'Brand#2') OR repo_name IN ('Brand#3/cold rod'))
+             GROUP BY repo_id, repo_name)) t
+        GROUP BY repo_id"""
+    via_sql = sorted(r[0] for r in spark.sql(sql).collect())
+    assert via_sql == sorted(r[0] for r in C_.candidates(scores, cfg).collect())
+    assert spark.sql("SELECT count(*) FROM activity").first()[0] == act.count()
