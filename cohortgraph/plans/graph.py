@@ -24,6 +24,7 @@ Intermediates are parquet tables under ``spark.checkpoint.dir`` (see
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -144,8 +145,11 @@ def extract_graph(scores: DataFrame, act: DataFrame, cfg: ExtractConfig,
     cand = materialize(C.candidates(scores, cfg))
     stars = materialize(C.candidate_stars(act, cand, cfg))                    # pass 1
     in_window_stars = stars.df.filter(in_window("created_at", cfg.start, cfg.end))
-    windowed = Cohort(cfg, cand, materialize(C.newest_per_repo(in_window_stars, cfg)), True)
-    base = windowed if consistent else Cohort(cfg, cand, materialize(C.newest_per_repo(stars.df, cfg)), False)
+    samples = [C.newest_per_repo(in_window_stars, cfg)] + ([] if consistent else [C.newest_per_repo(stars.df, cfg)])
+    with ThreadPoolExecutor(max_workers=len(samples)) as pool:   # independent jobs, run side by side
+        written = list(pool.map(materialize, samples))
+    windowed = Cohort(cfg, cand, written[0], True)
+    base = windowed if consistent else Cohort(cfg, cand, written[1], False)
     cohorts = [base] if consistent else [base, windowed]
     intermediates = [cand, stars] + [c.sample for c in cohorts]
 
@@ -185,19 +189,30 @@ def _csv_ready(df: DataFrame) -> DataFrame:
 
 
 def write_graph(graph: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
-                mode: str = "overwrite", release: bool = False) -> dict[str, str]:
+                mode: str = "overwrite", release: bool = False, parallel_jobs: int = 4) -> dict[str, str]:
     """Write every table to ``out_dir/<name>`` (parquet by default, or csv with a header).
 
-    ``release=True`` deletes the run's intermediate tables after the writes.
+    The tables are independent jobs over the shared intermediates; up to
+    ``parallel_jobs`` of them are submitted at once (Spark runs jobs from
+    different threads concurrently), so small tables do not leave the
+    cluster idle. ``release=True`` deletes the run's intermediate tables
+    after all writes finished.
     """
-    paths = {}
-    for name, df in graph.items():
+    def write_one(item):
+        name, df = item
         path = os.path.join(out_dir, name)
         if fmt == "csv":
             _csv_ready(df).write.mode(mode).option("header", "true").csv(path)
         else:
             df.write.mode(mode).format(fmt).save(path)
-        paths[name] = path
+        return name, path
+
+    items = list(graph.items())
+    if parallel_jobs > 1:
+        with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
+            paths = dict(pool.map(write_one, items))
+    else:
+        paths = dict(map(write_one, items))
     if release and isinstance(graph, GraphTables):
         graph.release()
     return paths
