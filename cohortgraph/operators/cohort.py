@@ -2,7 +2,7 @@
 
 scores = rank_scores, act = activity, cfg = ExtractConfig. Every function is
 lazy and returns a DataFrame; key-set arguments may be a plain DataFrame or a
-``Sized`` (checkpointed and counted), in which case small ones are broadcast.
+``Sized`` (materialised and counted), in which case small ones are broadcast.
 """
 
 from __future__ import annotations

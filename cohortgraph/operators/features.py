@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
-from ..functions.columns import in_window, non_blank, non_empty, sorted_set
+from ..functions.columns import in_window, non_blank, non_empty
 from ..functions.joins import Sized, restrict_to
 from ..functions.topk import top_k_per_group
 
