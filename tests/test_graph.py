@@ -145,3 +145,22 @@ def test_sql_views_plan_like_the_dataframe_operators(spark):
     via_sql = sorted(r[0] for r in spark.sql(sql).collect())
     assert via_sql == sorted(r[0] for r in C_.candidates(scores, cfg).collect())
     assert spark.sql("SELECT count(*) FROM activity").first()[0] == act.count()
+
+
+def test_command_line_job(spark, tmp_path):
+    from cohortgraph.__main__ import main
+
+    scores, act, cfg = fixture_inputs(spark, SF001)
+    scores.write.parquet(str(tmp_path / "scores"))
+    act.write.parquet(str(tmp_path / "activity"))
+    out = str(tmp_path / "out")
+    paths = main(["--scores", str(tmp_path / "scores"), "--activity", str(tmp_path / "activity"),
+                  "--out", out, "--format", "csv", "--start-year", "1998", "--end-year", "1999",
+                  "--top-n", str(cfg.top_n), "--sample", str(cfg.sample_per_repo),
+                  "--pinned-org", "Brand#1", "--pinned-org", "Brand#2", "--pinned-name", "Brand#3/cold rod",
+                  "--tables", "actor,actor_contribute_pr,actor_with_feature"], spark=spark)
+    assert sorted(paths) == ["actor", "actor_contribute_pr", "actor_with_feature"]
+    read = spark.read.option("header", "true").csv
+    assert read(paths["actor"]).count() == 15
+    assert read(paths["actor_contribute_pr"]).count() == 28
+    assert read(paths["actor_with_feature"]).count() == 15
