@@ -1,11 +1,13 @@
 """Command-line job: extract the graph tables and write them.
 
-    spark-submit -m cohortgraph --scores PATH --activity PATH --out DIR \\
+    spark-submit --py-files cohortgraph.zip cohortgraph/__main__.py \\
+        --scores PATH --activity PATH --out DIR \\
         --start-year 2022 --end-year 2023 --top-n 10000 --sample 500 --format csv
 
-(or ``python -m cohortgraph ...`` with pyspark installed). The session comes
-from ``SparkSession.builder.getOrCreate()``, so cluster settings - including
-``spark.checkpoint.dir`` for the intermediates - come from spark-submit.
+(or ``python -m cohortgraph ...`` where pyspark is installed). The session
+comes from ``SparkSession.builder.getOrCreate()``, so cluster settings -
+including ``spark.checkpoint.dir`` for the intermediates - come from the
+submission.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .config import ExtractConfig, PINNED_NAMES, PINNED_ORGS
-from .plans.graph import extract_graph, write_graph
-from .session import DEFAULT_CONF
-from .sources.tables import read_activity, read_scores
+from cohortgraph.config import PINNED_NAMES, PINNED_ORGS, ExtractConfig
+from cohortgraph.plans.graph import extract_graph, write_graph
+from cohortgraph.session import DEFAULT_CONF
+from cohortgraph.sources.tables import read_activity, read_scores
 
 
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
