@@ -83,11 +83,11 @@ def _node_keys(cohorts: list[Cohort]) -> tuple[Sized, Sized]:
     return repos, actors
 
 
-def node_events(act: DataFrame, cohorts: list[Cohort], cfg: ExtractConfig) -> Sized | None:
-    """Pass 2: the union of the rows every edge and feature table reads.
+def node_events_plan(act: DataFrame, cohorts: list[Cohort], cfg: ExtractConfig) -> DataFrame | None:
+    """Pass 2, lazily: the union of the rows every edge and feature table reads.
 
-    Returns None when a node set is too big to broadcast (the OR cannot be a
-    shuffle semi join); the caller then takes the fallback passes.
+    None when a node set is too big to broadcast (the OR cannot be a shuffle
+    semi join); the caller then takes the fallback passes.
     """
     repos, actors = _node_keys(cohorts)
     if repos.rows > cfg.broadcast_max_rows or actors.rows > cfg.broadcast_max_rows:
@@ -102,9 +102,14 @@ def node_events(act: DataFrame, cohorts: list[Cohort], cfg: ExtractConfig) -> Si
     needed = ((typ.isin(edge_types) & in_window("created_at", cfg.start, cfg.end) & is_repo & is_actor)
               | (typ.isin(list(cfg.repo_feature_types)) & is_repo)
               | (typ.isin(list(cfg.actor_feature_types)) & is_actor))
-    ev = (ev.join(repo_flag, "repo_id", "left").join(actor_flag, "actor_id", "left")
-          .filter(needed).select(*NODE_EVENT_COLUMNS))
-    return materialize(ev)
+    return (ev.join(repo_flag, "repo_id", "left").join(actor_flag, "actor_id", "left")
+            .filter(needed).select(*NODE_EVENT_COLUMNS))
+
+
+def node_events(act: DataFrame, cohorts: list[Cohort], cfg: ExtractConfig) -> Sized | None:
+    """Pass 2, written once (see ``node_events_plan``)."""
+    plan = node_events_plan(act, cohorts, cfg)
+    return None if plan is None else materialize(plan)
 
 
 def edge_slice(act: DataFrame, cohorts: list[Cohort], cfg: ExtractConfig) -> Sized:

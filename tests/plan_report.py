@@ -61,6 +61,28 @@ def main() -> None:
         print("\n".join(condense(plan)))
         print("```\n")
 
+    from cohortgraph.functions.joins import materialize
+    from cohortgraph.operators import cohort as C
+    from cohortgraph.plans.graph import build_cohort, node_events_plan
+    from cohortgraph.sources.fixtures import fixture_inputs
+
+    scores, act, cfg = fixture_inputs(spark, sf)
+    cand = materialize(C.candidates(scores, cfg))
+    base = build_cohort(scores, act, cfg, cand=cand)
+    win = build_cohort(scores, act, cfg, windowed=True, cand=cand)
+    extra = {
+        "computation of the star sample (one round: few input tasks)": C.sample_recent(act, cand, cfg),
+        "computation of the star sample (two rounds, fan-in 4, as on many input tasks)":
+            C.sample_recent(act, cand, cfg.with_(topk_fan_in=4)),
+        "extract_graph pass 1: star events of the candidates (written once)": C.candidate_stars(act, cand, cfg),
+        "extract_graph pass 2: node events (written once; every edge and feature table reads it)":
+            node_events_plan(act, [base, win], cfg),
+    }
+    for title, df in extra.items():
+        print(f"## {title}\n\n```")
+        print("\n".join(condense(physical_plan(df, "simple"))))
+        print("```\n")
+
 
 if __name__ == "__main__":
     main()
