@@ -130,3 +130,22 @@ def register_inputs(scores: DataFrame, act: DataFrame, scores_view: str = "rank_
     """
     scores.createOrReplaceTempView(scores_view)
     act.createOrReplaceTempView(activity_view)
+
+
+def write_scores(scores: DataFrame, path: str, num_partitions: int | None = None,
+                 mode: str = "error") -> None:
+    """Store the score history partitioned by ``platform`` and clustered on time.
+
+    Range partitioning on (platform, created_at, repo_id) before the write
+    gives every file a narrow time range, so the window predicate skips whole
+    files and row groups; the platform equality prunes folders.
+    """
+    spark = scores.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["platform", "created_at", "repo_id"]
+    (normalise_scores(scores)
+     .repartitionByRange(n, *keys)
+     .sortWithinPartitions(*keys)
+     .write.mode(mode)
+     .partitionBy("platform")
+     .parquet(path))

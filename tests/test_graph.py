@@ -164,3 +164,18 @@ def test_command_line_job(spark, tmp_path):
     assert read(paths["actor"]).count() == 15
     assert read(paths["actor_contribute_pr"]).count() == 28
     assert read(paths["actor_with_feature"]).count() == 15
+
+
+def test_partitioned_scores_layout(spark, tmp_path):
+    from cohortgraph.operators import cohort as C_
+    from cohortgraph.plans.checks import physical_plan
+    from cohortgraph.sources.tables import read_scores, write_scores
+
+    scores, act, cfg = fixture_inputs(spark, SF001)
+    path = str(tmp_path / "scores")
+    write_scores(scores, path, num_partitions=4)
+    stored = read_scores(spark, path)
+    plan = physical_plan(C_.top_entities(stored, cfg), "simple")
+    assert "PartitionFilters: [isnotnull(platform" in plan
+    assert sorted(map(tuple, C_.candidates(stored, cfg).collect())) == \
+        sorted(map(tuple, C_.candidates(scores, cfg).collect()))
