@@ -179,3 +179,13 @@ def test_partitioned_scores_layout(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(platform" in plan
     assert sorted(map(tuple, C_.candidates(stored, cfg).collect())) == \
         sorted(map(tuple, C_.candidates(scores, cfg).collect()))
+
+
+def test_empty_window_gives_empty_tables(spark, tmp_path):
+    scores, act, cfg = fixture_inputs(spark, SF001)
+    empty_cfg = cfg.with_(start=cfg.start.replace(year=1980), end=cfg.end.replace(year=1981), pinned_orgs=(),
+                          pinned_names=())
+    g = extract_graph(scores, act, empty_cfg)
+    assert g.intermediates[0].rows == 0  # no candidates
+    paths = write_graph(g, str(tmp_path / "out"), release=True)
+    assert all(spark.read.parquet(p).count() == 0 for p in paths.values())
