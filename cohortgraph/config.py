@@ -70,6 +70,11 @@ class ExtractConfig:
     broadcast_max_rows: int = 2_000_000
     # fan-in of the two-round per-repository top-k; None = sqrt(input tasks)
     topk_fan_in: int | None = None
+    # global top-N: above this many rows in the final merge ((offset + top_n)
+    # x aggregate partitions) a first round per bucket of partitions runs;
+    # topn_fan_in forces the bucket count (1 = single round)
+    topn_merge_max_rows: int = 2_000_000
+    topn_fan_in: int | None = None
 
     def __post_init__(self) -> None:
         if self.top_n < 0 or self.offset < 0:

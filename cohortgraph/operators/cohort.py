@@ -7,13 +7,16 @@ lazy and returns a DataFrame; key-set arguments may be a plain DataFrame or a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
 from ..functions.columns import in_window
 from ..functions.joins import Sized, as_frame, restrict_to
 from ..functions.topk import top_k_per_group
+from ..session import ensure_group_limit
 
 SCORE_COLUMN = "avg_score"
 
@@ -30,14 +33,36 @@ def _average(scores: DataFrame) -> DataFrame:
     return scores.groupBy("repo_id", "repo_name").agg(F.avg("openrank").alias(SCORE_COLUMN))
 
 
+def _topn_fan_in(spark, keep: int, cfg: ExtractConfig) -> int:
+    if cfg.topn_fan_in is not None:
+        return cfg.topn_fan_in
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return math.isqrt(partitions) if partitions * keep > cfg.topn_merge_max_rows else 1
+
+
 def top_entities(scores: DataFrame, cfg: ExtractConfig) -> DataFrame:
     """Repositories ranked ``offset .. offset+top_n-1`` by average score in the window.
 
     Sort + offset + limit is planned as one TakeOrderedAndProject: each task
-    keeps its best ``offset + top_n`` rows, so no full sort happens.
+    keeps its best ``offset + top_n`` rows, so no full sort happens, and one
+    task merges those lists. When that merge would exceed
+    ``cfg.topn_merge_max_rows`` rows, a first round keeps the best
+    ``offset + top_n`` per bucket of aggregate partitions (bucket = partition
+    id modulo ``sqrt(partitions)``, cut map-side by WindowGroupLimit) so both
+    the bucket tasks and the final merge see about ``sqrt(partitions)`` lists.
+    The result is the same: the order is total (score, repo_id, repo_name).
     """
-    ranked = _average(_scores_in_window(scores, cfg)).orderBy(
-        F.col(SCORE_COLUMN).desc(), F.col("repo_id").asc(), F.col("repo_name").asc())
+    order = [F.col(SCORE_COLUMN).desc(), F.col("repo_id").asc(), F.col("repo_name").asc()]
+    averaged = _average(_scores_in_window(scores, cfg))
+    keep = cfg.offset + cfg.top_n
+    fan_in = _topn_fan_in(scores.sparkSession, keep, cfg)
+    if fan_in > 1 and keep > 0:
+        ensure_group_limit(scores.sparkSession, keep)
+        bucketed = averaged.withColumn("_bucket", F.spark_partition_id() % F.lit(fan_in))
+        w = Window.partitionBy("_bucket").orderBy(*order)
+        averaged = (bucketed.withColumn("_rank", F.row_number().over(w))
+                    .filter(F.col("_rank") <= keep).drop("_bucket", "_rank"))
+    ranked = averaged.orderBy(*order)
     if cfg.offset:
         ranked = ranked.offset(cfg.offset)
     return ranked.limit(cfg.top_n)

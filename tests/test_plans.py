@@ -117,3 +117,21 @@ def test_registered_queries_stay_in_the_jvm(spark):
     for name, q in entry_module.queries().items():
         plan = physical_plan(q(spark, SF001), "extended")
         assert not any(n in plan for n in python_nodes), name
+
+
+def test_global_top_n_two_rounds_is_exact(spark):
+    from cohortgraph.sources.fixtures import fixture_inputs
+    from tests.conftest import SF01
+
+    scores, _, cfg = fixture_inputs(spark, SF01)
+    single = C.top_entities(scores, cfg.with_(topn_fan_in=1))
+    assert "Window" not in physical_plan(single, "simple")
+    for fan_in, offset in ((3, 0), (4, 2)):
+        c = cfg.with_(topn_fan_in=fan_in, offset=offset)
+        two = C.top_entities(scores, c)
+        plan = physical_plan(two, "simple")
+        assert "WindowGroupLimit" in plan and "TakeOrderedAndProject" in plan
+        want = [tuple(r) for r in C.top_entities(scores, cfg.with_(topn_fan_in=1, offset=offset)).collect()]
+        assert [tuple(r) for r in two.collect()] == want
+    # the automatic switch: the final merge would exceed the row limit
+    assert "WindowGroupLimit" in physical_plan(C.top_entities(scores, cfg.with_(topn_merge_max_rows=10)), "simple")
