@@ -12,9 +12,10 @@ repository holding a third of a 100 TB log, that is one straggling task.
 survivors per group; its map side again keeps k rows per group and task, so
 its reducer merges at most ``k * fan_in`` rows. Both rounds are bounded by
 ``k * max(map_tasks / fan_in, fan_in)``; the default fan-in is
-``sqrt(map_tasks)``, with ``map_tasks`` estimated from plan statistics. The result is exact whatever the buckets are, because the
-top k of a union is the top k of the union of per-part top k, provided the
-order is total (callers pass a unique tie-break such as ``event_id``).
+``sqrt(map_tasks)``, with ``map_tasks`` estimated from plan statistics. The
+result is exact whatever the buckets are, because the top k of a union is the
+top k of the union of per-part top k, provided the order is total (callers
+pass a unique tie-break such as ``event_id``).
 """
 
 from __future__ import annotations
