@@ -14,12 +14,18 @@ checks.
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortgraph.plans.registry import QUERIES
-from cohortgraph.sources import fixtures as FX
+# the package sits next to this file; make it importable however this module is loaded
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
+from cohortgraph.plans.registry import QUERIES  # noqa: E402
+from cohortgraph.sources import fixtures as FX  # noqa: E402
 
 FLAGSHIP_SF_DIR = "/root/testdata/sf0.001"
 ORACLE_SF = 0.01
