@@ -64,6 +64,8 @@ class ExtractConfig:
     top_languages: int = DEFAULT_TOP_LANGUAGES
     # restrict score rows to one entity type ('Repo'); None keeps every row
     entity_type: str | None = None
+    # drop PR/issue events without a number instead of keying them NULL
+    drop_null_items: bool = False
     # semi-join key sets with at most this many rows (counted after they are
     # materialised) are broadcast - 2M bigint ids are about 16 MB, built once
     # on the driver; bigger ones go through a shuffle join

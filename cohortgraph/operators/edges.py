@@ -52,8 +52,14 @@ def fork_edges(act: DataFrame, actors: DataFrame | Sized, repos: DataFrame | Siz
 
 def item_events(act: DataFrame, actors: DataFrame | Sized, repos: DataFrame | Sized,
                 types: Sequence[str], cfg: ExtractConfig, key: str) -> DataFrame:
-    """In-window events of one family between the node sets, keyed ``repo_id#issue_number``."""
+    """In-window events of one family between the node sets, keyed ``repo_id#issue_number``.
+
+    An event without a number gets a NULL key (such events group together),
+    unless ``cfg.drop_null_items`` drops them.
+    """
     ev = _edge_events(act, types, cfg).select("actor_id", "repo_id", "issue_number")
+    if cfg.drop_null_items:
+        ev = ev.filter(F.col("issue_number").isNotNull())
     ev = _between_nodes(ev, actors, repos, cfg)
     return ev.select("actor_id", "repo_id", item_key().alias(key))
 

@@ -115,6 +115,8 @@ def test_null_issue_number_gives_null_key(spark):
     c = cfg(sample_per_repo=5)
     got = sorted(((r["pr_id"] or ""), r["weight"]) for r in E.pr_edges(a, co.actors, co.repos, c).collect())
     assert got == [("", 2), ("1#4", 1)]
+    dropped = E.pr_edges(a, co.actors, co.repos, c.with_(drop_null_items=True)).collect()
+    assert [(r["pr_id"], r["weight"]) for r in dropped] == [("1#4", 1)]
 
 
 def test_feature_gaps_drop_actors_from_inner_join(spark):
