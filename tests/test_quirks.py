@@ -145,6 +145,8 @@ def test_repo_features_ignore_the_window(spark):
                              .add(7, 1, ts(2024, 5), "PullRequestReviewEvent", lang="Zig", desc="new"))
     row = FT.repo_features(a, co.repos, cfg()).first()
     assert (row["repo_language"], row["repo_description"]) == ("Zig", "new")
+    # the optional window keeps the newest event inside the window instead
+    assert FT.repo_features(a, co.repos, cfg(), window=True).first()["repo_language"] == "Go"
     # non_blank_only filters before the ranking
     a2, co2 = _two_node_cohort(spark, lambda x: x.add(7, 1, ts(2022, 5), "PullRequestEvent", lang="Go")
                                .add(7, 1, ts(2024, 5), "PullRequestEvent", lang=""))
