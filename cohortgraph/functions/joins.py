@@ -49,6 +49,19 @@ def materialize(df: DataFrame) -> Sized:
     return Sized(saved, rows, path)
 
 
+def tighten(keys: Sized, key: str, max_rows: int) -> Sized:
+    """An exact count for a key set whose derived bound alone would block a broadcast.
+
+    A bound such as "actors <= sampled events" can be several times the real
+    number of distinct keys; when it exceeds ``max_rows`` the distinct keys
+    are materialised and counted, so a key set that does fit is still
+    broadcast. Key sets already under the limit (or already exact) are kept.
+    """
+    if keys.rows <= max_rows or keys.path is not None:
+        return keys
+    return materialize(keys.df.select(key).distinct())
+
+
 def drop_materialized(spark, items) -> None:
     """Delete the files of materialised intermediates (Hadoop FileSystem API)."""
     jvm = spark._jvm

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..config import ExtractConfig
 from ..functions.columns import in_window
-from ..functions.joins import Sized, drop_materialized, materialize, restrict_to
+from ..functions.joins import Sized, drop_materialized, materialize, restrict_to, tighten
 from ..operators import cohort as C
 from ..operators import edges as E
 from ..operators import features as FT
@@ -44,52 +44,63 @@ NODE_EVENT_COLUMNS = ("event_id", "actor_id", "repo_id", "created_at", "platform
 
 @dataclass(frozen=True)
 class Cohort:
-    """Candidates and one star sample, both materialised."""
+    """Candidates, one star sample and its node key sets, with checked sizes."""
 
     cfg: ExtractConfig
     candidates: Sized
     sample: Sized
     windowed: bool
+    actors: Sized
+    repos: Sized
 
     @property
-    def actors(self) -> Sized:
-        # at most one actor per sampled event
-        return Sized(C.actor_set(self.sample), self.sample.rows)
+    def materialized(self) -> list[Sized]:
+        """The intermediate tables this cohort wrote (candidates excluded)."""
+        return [s for s in (self.sample, self.actors, self.repos) if s.path is not None]
 
-    @property
-    def repos(self) -> Sized:
-        return Sized(C.repo_set(self.sample), min(self.sample.rows, self.candidates.rows))
+
+def make_cohort(cfg: ExtractConfig, cand: Sized, sample: Sized, windowed: bool) -> Cohort:
+    """Node key sets of a materialised sample, with bounds tight enough to broadcast.
+
+    Actors are at most the sampled events and repositories at most the
+    candidates; when such a bound exceeds the broadcast limit the distinct
+    keys are counted exactly (``tighten``).
+    """
+    limit = cfg.broadcast_max_rows
+    actors = tighten(Sized(C.actor_set(sample), sample.rows), "actor_id", limit)
+    repos = tighten(Sized(C.repo_set(sample), min(sample.rows, cand.rows)), "repo_id", limit)
+    return Cohort(cfg, cand, sample, windowed, actors, repos)
 
 
 def build_cohort(scores: DataFrame, act: DataFrame, cfg: ExtractConfig, windowed: bool = False,
                  cand: Sized | None = None) -> Cohort:
-    """Candidates (materialised unless given) and one materialised star sample."""
+    """Candidates (materialised unless given), one materialised star sample, its node sets."""
     cand = cand if cand is not None else materialize(C.candidates(scores, cfg))
     sample = materialize(C.sample_recent(act, cand, cfg, windowed=windowed))
-    return Cohort(cfg, cand, sample, windowed)
+    return make_cohort(cfg, cand, sample, windowed)
 
 
-def _union_keys(a: Sized, b: Sized, key: str) -> Sized:
+def _union_keys(a: Sized, b: Sized, key: str, limit: int) -> Sized:
     if a is b or a.df is b.df:
         return a
-    return Sized(a.df.select(key).union(b.df.select(key)).distinct(), a.rows + b.rows)
+    return tighten(Sized(a.df.select(key).union(b.df.select(key)).distinct(), a.rows + b.rows), key, limit)
 
 
-def _node_keys(cohorts: list[Cohort]) -> tuple[Sized, Sized]:
+def node_keys(cohorts: list[Cohort]) -> tuple[Sized, Sized]:
     repos, actors = cohorts[0].repos, cohorts[0].actors
+    limit = cohorts[0].cfg.broadcast_max_rows
     for c in cohorts[1:]:
-        repos = _union_keys(repos, c.repos, "repo_id")
-        actors = _union_keys(actors, c.actors, "actor_id")
+        repos = _union_keys(repos, c.repos, "repo_id", limit)
+        actors = _union_keys(actors, c.actors, "actor_id", limit)
     return repos, actors
 
 
-def node_events_plan(act: DataFrame, cohorts: list[Cohort], cfg: ExtractConfig) -> DataFrame | None:
+def node_events_plan(act: DataFrame, repos: Sized, actors: Sized, cfg: ExtractConfig) -> DataFrame | None:
     """Pass 2, lazily: the union of the rows every edge and feature table reads.
 
     None when a node set is too big to broadcast (the OR cannot be a shuffle
     semi join); the caller then takes the fallback passes.
     """
-    repos, actors = _node_keys(cohorts)
     if repos.rows > cfg.broadcast_max_rows or actors.rows > cfg.broadcast_max_rows:
         return None
     edge_types = list(dict.fromkeys([*cfg.fork_types, *cfg.pr_types, *cfg.issue_types]))
@@ -106,19 +117,18 @@ def node_events_plan(act: DataFrame, cohorts: list[Cohort], cfg: ExtractConfig)
             .filter(needed).select(*NODE_EVENT_COLUMNS))
 
 
-def node_events(act: DataFrame, cohorts: list[Cohort], cfg: ExtractConfig) -> Sized | None:
+def node_events(act: DataFrame, repos: Sized, actors: Sized, cfg: ExtractConfig) -> Sized | None:
     """Pass 2, written once (see ``node_events_plan``)."""
-    plan = node_events_plan(act, cohorts, cfg)
+    plan = node_events_plan(act, repos, actors, cfg)
     return None if plan is None else materialize(plan)
 
 
-def edge_slice(act: DataFrame, cohorts: list[Cohort], cfg: ExtractConfig) -> Sized:
+def edge_slice(act: DataFrame, repos: Sized, actors: Sized, cfg: ExtractConfig) -> Sized:
     """Fallback pass: in-window fork/PR/issue events whose actor and repository are nodes."""
     types = list(dict.fromkeys([*cfg.fork_types, *cfg.pr_types, *cfg.issue_types]))
     ev = act.filter((F.col("platform") == cfg.platform) & F.col("type").isin(types)
                     & in_window("created_at", cfg.start, cfg.end))
     ev = ev.select("actor_id", "repo_id", "issue_number", "type", "platform", "created_at")
-    repos, actors = _node_keys(cohorts)
     ev = restrict_to(ev, repos, "repo_id", cfg.broadcast_max_rows)
     ev = restrict_to(ev, actors, "actor_id", cfg.broadcast_max_rows)
     return materialize(ev)
@@ -153,17 +163,19 @@ def extract_graph(scores: DataFrame, act: DataFrame, cfg: ExtractConfig,
     samples = [C.newest_per_repo(in_window_stars, cfg)] + ([] if consistent else [C.newest_per_repo(stars.df, cfg)])
     with ThreadPoolExecutor(max_workers=len(samples)) as pool:   # independent jobs, run side by side
         written = list(pool.map(materialize, samples))
-    windowed = Cohort(cfg, cand, written[0], True)
-    base = windowed if consistent else Cohort(cfg, cand, written[1], False)
+    windowed = make_cohort(cfg, cand, written[0], True)
+    base = windowed if consistent else make_cohort(cfg, cand, written[1], False)
     cohorts = [base] if consistent else [base, windowed]
-    intermediates = [cand, stars] + [c.sample for c in cohorts]
+    intermediates = [cand, stars] + [m for c in cohorts for m in c.materialized]
 
-    nodes_ev = node_events(act, cohorts, cfg)                                 # pass 2
+    node_repos, node_actors = node_keys(cohorts)
+    intermediates += [k for k in (node_repos, node_actors) if k.path is not None and k not in intermediates]
+    nodes_ev = node_events(act, node_repos, node_actors, cfg)                 # pass 2
     if nodes_ev is not None:
         intermediates.append(nodes_ev)
         edge_src = feature_src = nodes_ev.df
     else:
-        slice_ = edge_slice(act, cohorts, cfg)
+        slice_ = edge_slice(act, node_repos, node_actors, cfg)
         intermediates.append(slice_)
         edge_src, feature_src = slice_.df, act
 

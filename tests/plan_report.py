@@ -63,7 +63,7 @@ def main() -> None:
 
     from cohortgraph.functions.joins import materialize
     from cohortgraph.operators import cohort as C
-    from cohortgraph.plans.graph import build_cohort, node_events_plan
+    from cohortgraph.plans.graph import node_keys, build_cohort, node_events_plan
     from cohortgraph.sources.fixtures import fixture_inputs
 
     scores, act, cfg = fixture_inputs(spark, sf)
@@ -76,7 +76,7 @@ def main() -> None:
             C.sample_recent(act, cand, cfg.with_(topk_fan_in=4)),
         "extract_graph pass 1: star events of the candidates (written once)": C.candidate_stars(act, cand, cfg),
         "extract_graph pass 2: node events (written once; every edge and feature table reads it)":
-            node_events_plan(act, [base, win], cfg),
+            node_events_plan(act, *node_keys([base, win]), cfg),
     }
     for title, df in extra.items():
         print(f"## {title}\n\n```")
