@@ -67,9 +67,11 @@ class ExtractConfig:
     # drop PR/issue events without a number instead of keying them NULL
     drop_null_items: bool = False
     # semi-join key sets with at most this many rows (counted after they are
-    # materialised) are broadcast - 2M bigint ids are about 16 MB, built once
-    # on the driver; bigger ones go through a shuffle join
-    broadcast_max_rows: int = 2_000_000
+    # materialised) are broadcast - 4M bigint ids are about 32 MB raw, a hash
+    # relation of a few times that, built once on the driver; this covers the
+    # union of both samples' actors at the documented production size (about
+    # 1.3M each). Bigger sets go through a shuffle join.
+    broadcast_max_rows: int = 4_000_000
     # fan-in of the two-round per-repository top-k; None = sqrt(input tasks)
     topk_fan_in: int | None = None
     # global top-N: above this many rows in the final merge ((offset + top_n)
