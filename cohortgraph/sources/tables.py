@@ -25,7 +25,7 @@ def _topics_column(df: DataFrame) -> F.Column | None:
     Accepted shapes: ``repo_topics array<string>``; ``repo_topics
     array<struct<name: string>>`` or ``struct<name: array<string>>`` (nested
     field, read as ``repo_topics.name``); a flat column literally named
-    ``repo_topics.name``.
+    ``repo_topics.name``; a JSON-text string (CSV and other text sources).
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     if "repo_topics.name" in fields:
@@ -37,6 +37,8 @@ def _topics_column(df: DataFrame) -> F.Column | None:
         return F.col("repo_topics.name")
     if isinstance(dt, T.StructType) and "name" in dt.fieldNames():
         return F.col("repo_topics.name")
+    if isinstance(dt, T.StringType):  # text formats: a JSON array such as ["db","web"]
+        return F.from_json(F.col("repo_topics"), T.ArrayType(T.StringType()))
     return F.col("repo_topics")
 
 
@@ -83,18 +85,18 @@ def normalise_scores(df: DataFrame) -> DataFrame:
     )
 
 
-def read_activity(spark: SparkSession, path_or_table: str, fmt: str = "parquet") -> DataFrame:
-    """Read the event log from a path (parquet/orc/json…) or a catalog table."""
+def read_activity(spark: SparkSession, path_or_table: str, fmt: str = "parquet", **options) -> DataFrame:
+    """Read the event log from a path (parquet/orc/json/csv…, reader ``options``) or a catalog table."""
     if fmt == "table":
         return normalise_activity(spark.table(path_or_table))
-    return normalise_activity(spark.read.format(fmt).load(path_or_table))
+    return normalise_activity(spark.read.format(fmt).options(**options).load(path_or_table))
 
 
-def read_scores(spark: SparkSession, path_or_table: str, fmt: str = "parquet") -> DataFrame:
-    """Read the score history from a path or a catalog table."""
+def read_scores(spark: SparkSession, path_or_table: str, fmt: str = "parquet", **options) -> DataFrame:
+    """Read the score history from a path (reader ``options``) or a catalog table."""
     if fmt == "table":
         return normalise_scores(spark.table(path_or_table))
-    return normalise_scores(spark.read.format(fmt).load(path_or_table))
+    return normalise_scores(spark.read.format(fmt).options(**options).load(path_or_table))
 
 
 def write_activity(act: DataFrame, path: str, num_partitions: int | None = None,

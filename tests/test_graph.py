@@ -210,3 +210,17 @@ def test_loose_bounds_are_tightened_to_keep_broadcasts(spark):
         assert _rows(g_tight[name]) == _rows(g[name]), name
     g.release()
     g_tight.release()
+
+
+def test_csv_inputs_round_trip(spark, tmp_path):
+    # the graph's own CSV form (arrays as JSON text) reads back as the same activity
+    from cohortgraph.plans.graph import _csv_ready
+    from cohortgraph.sources.tables import read_activity
+
+    _, act, _ = fixture_inputs(spark, SF001)
+    path = str(tmp_path / "act_csv")
+    _csv_ready(act).write.option("header", "true").csv(path)
+    back = read_activity(spark, path, "csv", header="true", inferSchema="true")
+    assert dict(back.dtypes)["repo_topics"] == "array<string>"
+    assert sorted(map(tuple, back.select("event_id", "repo_topics").collect())) == \
+        sorted(map(tuple, act.select("event_id", "repo_topics").collect()))
