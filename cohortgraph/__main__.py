@@ -30,6 +30,8 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--activity", required=True, help="event log: path, or table name with --activity-format table")
     p.add_argument("--scores-format", default="parquet")
     p.add_argument("--activity-format", default="parquet")
+    p.add_argument("--reader-option", action="append", default=[], metavar="KEY=VALUE",
+                   help="option for both readers, e.g. header=true for CSV inputs (repeatable)")
     p.add_argument("--out", required=True, help="output folder; one sub-folder per table")
     p.add_argument("--format", default="parquet", choices=["parquet", "csv", "orc", "json"])
     p.add_argument("--start-year", type=int, default=2022)
@@ -59,8 +61,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         pinned_orgs=tuple(args.pinned_org) if args.pinned_org is not None else PINNED_ORGS,
         pinned_names=tuple(args.pinned_name) if args.pinned_name is not None else PINNED_NAMES,
         entity_type=args.entity_type)
-    scores = read_scores(spark, args.scores, args.scores_format)
-    act = read_activity(spark, args.activity, args.activity_format)
+    options = dict(opt.split("=", 1) for opt in args.reader_option)
+    scores = read_scores(spark, args.scores, args.scores_format, **options)
+    act = read_activity(spark, args.activity, args.activity_format, **options)
     graph = extract_graph(scores, act, cfg, consistent=args.consistent)
     wanted = [t for t in args.tables.split(",") if t]
     unknown = set(wanted) - set(graph)
