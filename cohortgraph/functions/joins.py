@@ -36,7 +36,9 @@ def materialize(df: DataFrame) -> Sized:
     in the shared folder named by ``spark.checkpoint.dir``, so losing an
     executor later does not re-run the upstream scan - while keeping the data
     columnar and giving the planner its real size. The count is an observed
-    metric of the write itself.
+    metric of the write itself; it only feeds size decisions, where an
+    over-count (should a retried task ever be counted twice) errs on the safe
+    side.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
