@@ -2,8 +2,10 @@
 
 Random data with many ties (few distinct timestamps), NULL issue numbers,
 blank/NULL languages, empty/NULL topic arrays, a renamed repository, pinned
-rows and another platform. The pandas code below is a direct, row-by-row
-reading of the semantics; the Spark operators must agree with it exactly.
+rows and another platform; two cases put a third of all events on one
+repository, one of them with both two-round paths (top-k and top-N) forced.
+The pandas code below is a direct, row-by-row reading of the semantics; the
+Spark operators must agree with it exactly.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ WHEN = [ts(2021, 12, 31), ts(2022, 3, 1), ts(2022, 3, 1), ts(2022, 7, 9), ts(202
         ts(2023, 1, 1), ts(2023, 5, 2)]
 
 
-def make_data(seed, n_events=500):
+def make_data(seed, n_events=500, hot_share=0.0):
     rnd = random.Random(seed)
     acts = []
     for eid in range(1, n_events + 1):
-        acts.append((eid, rnd.randint(1, 15), rnd.randint(1, 9), "r", rnd.choice(WHEN),
+        repo = 1 if rnd.random() < hot_share else rnd.randint(1, 9)
+        acts.append((eid, rnd.randint(1, 15), repo, "r", rnd.choice(WHEN),
                      "Gitee" if rnd.random() < 0.1 else "GitHub", rnd.choice(TYPES),
                      rnd.choice([None, 1, 2, 3]), rnd.choice(LANGS), rnd.choice(TOPICS), f"d{eid % 4}"))
     scores = []
@@ -120,13 +123,17 @@ CONFIGS = [
     dict(top_n=3, sample_per_repo=3, pinned_orgs=("org1",), pinned_names=("o0/n3",)),
     dict(top_n=2, offset=1, sample_per_repo=1, pinned_orgs=(), pinned_names=("o2/n2-old",), entity_type="Repo"),
     dict(top_n=5, sample_per_repo=4, pinned_orgs=("org0", "org3"), pinned_names=(), broadcast_max_rows=0),
+    # both two-round paths forced (input spread over several tasks)
+    dict(top_n=4, offset=1, sample_per_repo=5, pinned_orgs=("org2",), pinned_names=(), topk_fan_in=3,
+         topn_fan_in=2),
 ]
 
 
-@pytest.mark.parametrize("seed,conf", [(s, c) for s in (11, 12) for c in range(len(CONFIGS))])
-def test_operators_match_pandas(spark, seed, conf):
+@pytest.mark.parametrize("seed,conf,hot", [(s, c, 0.0) for s in (11, 12) for c in range(len(CONFIGS))]
+                         + [(13, 3, 1 / 3), (14, 0, 1 / 3)])
+def test_operators_match_pandas(spark, seed, conf, hot):
     cfg = ExtractConfig.for_years(2022, 2023, **CONFIGS[conf])
-    acts, scores = make_data(seed)
+    acts, scores = make_data(seed, hot_share=hot)
     act, sc, pact, psc = frames(spark, acts, scores)
 
     cand = ref_candidates(psc, cfg)
