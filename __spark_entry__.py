@@ -6,9 +6,9 @@ whole driver tables (see ``cohortgraph.sources.fixtures``) and runs it.
 ``oracle_sql()`` gives, per key, DuckDB SQL computing the same result from the
 same driver tables, written independently of the Spark code: it re-derives
 ``activity`` / ``rank_scores`` with the FIXTURES.md rule in SQL and then
-applies the operator's semantics directly. The oracle is fixed to the sf0.01
-configuration (sample of 20 per repository), which is the scale the driver
-checks.
+applies the operator's semantics directly. By default the oracle uses the
+sf0.01 configuration (sample of 20 per repository), the scale the driver
+checks; ``oracle_sql(0.1)`` gives the same SQL for another scale factor.
 """
 
 from __future__ import annotations
@@ -48,8 +48,8 @@ def _sql_list(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-def _prefix() -> str:
-    cfg = FX.fixture_config(f"sf{ORACLE_SF}")
+def _prefix(sf: float) -> str:
+    cfg = FX.fixture_config(f"sf{sf}")
     start = cfg.start.strftime("%Y-%m-%d %H:%M:%S")
     end = cfg.end.strftime("%Y-%m-%d %H:%M:%S")
     win = f"created_at >= TIMESTAMP '{start}' AND created_at < TIMESTAMP '{end}'"
@@ -167,8 +167,8 @@ topic_pairs AS (
 """
 
 
-def _tail() -> dict[str, str]:
-    cfg = FX.fixture_config(f"sf{ORACLE_SF}")
+def _tail(sf: float) -> dict[str, str]:
+    cfg = FX.fixture_config(f"sf{sf}")
     start = cfg.start.strftime("%Y-%m-%d %H:%M:%S")
     end = cfg.end.strftime("%Y-%m-%d %H:%M:%S")
     win = f"created_at >= TIMESTAMP '{start}' AND created_at < TIMESTAMP '{end}'"
@@ -231,9 +231,10 @@ def _tail() -> dict[str, str]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    prefix = _prefix()
-    return {name: prefix + tail for name, tail in _tail().items()}
+def oracle_sql(sf: float = ORACLE_SF) -> dict[str, str]:
+    """DuckDB SQL per registered key, with the fixture parameters of scale factor ``sf``."""
+    prefix = _prefix(sf)
+    return {name: prefix + tail for name, tail in _tail(sf).items()}
 
 
 if __name__ == "__main__":  # pragma: no cover - manual smoke run

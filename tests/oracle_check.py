@@ -72,7 +72,10 @@ def compare(spark, sf_dir: str, names=None) -> dict[str, dict]:
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as E
 
-    qs, oracle = E.queries(), E.oracle_sql()
+    from cohortgraph.sources.fixtures import scale_factor
+
+    sf = scale_factor(sf_dir)
+    qs, oracle = E.queries(), (E.oracle_sql(sf) if sf in (0.001, 0.01, 0.1) else E.oracle_sql())
     con = duck(sf_dir)
     out = {}
     for name in names or sorted(qs):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
-from tests.conftest import SF01
+from tests.conftest import SF001, SF01
 from tests.oracle_check import compare
 
 
@@ -31,3 +31,10 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["actor_id", "pr_id", "weight"]
     assert df.count() == 28
+
+
+@pytest.mark.parametrize("name", ["star_sample", "actor_features", "pr_edges_with_repo", "repo_features"])
+def test_queries_match_oracle_at_sf001(spark, name):
+    # the same SQL with the sf0.001 parameters (sample of 5 per repository)
+    r = compare(spark, SF001, [name])[name]
+    assert r["types_match"] and r["values_match"], r
