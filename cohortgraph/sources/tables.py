@@ -109,7 +109,9 @@ def write_activity(act: DataFrame, path: str, num_partitions: int | None = None,
     repo_id, created_at) before the write, so a hot event type is spread over
     many tasks instead of one, and every file holds a narrow range of
     repositories and times: parquet row-group statistics then skip on the
-    time window and on repository ids.
+    time window and on repository ids. Pick ``num_partitions`` near the
+    data size over the target file size (e.g. 100 TB / 1 GB = 100k); the
+    default is the session's shuffle partition count.
     """
     spark = act.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
