@@ -224,3 +224,23 @@ def test_csv_inputs_round_trip(spark, tmp_path):
     assert dict(back.dtypes)["repo_topics"] == "array<string>"
     assert sorted(map(tuple, back.select("event_id", "repo_topics").collect())) == \
         sorted(map(tuple, act.select("event_id", "repo_topics").collect()))
+
+
+def test_command_line_job_on_csv_inputs(spark, tmp_path):
+    from cohortgraph.__main__ import main
+    from cohortgraph.plans.graph import _csv_ready
+
+    scores, act, cfg = fixture_inputs(spark, SF001)
+    _csv_ready(scores).write.option("header", "true").csv(str(tmp_path / "scores"))
+    _csv_ready(act).write.option("header", "true").csv(str(tmp_path / "activity"))
+    paths = main(["--scores", str(tmp_path / "scores"), "--activity", str(tmp_path / "activity"),
+                  "--scores-format", "csv", "--activity-format", "csv",
+                  "--reader-option", "header=true", "--reader-option", "inferSchema=true",
+                  "--out", str(tmp_path / "out"), "--start-year", "1998", "--end-year", "1999",
+                  "--top-n", str(cfg.top_n), "--sample", str(cfg.sample_per_repo),
+                  "--pinned-org", "Brand#1", "--pinned-org", "Brand#2", "--pinned-name", "Brand#3/cold rod",
+                  "--tables", "actor_contribute_pr_belong_repo,actor_with_feature"], spark=spark)
+    got = spark.read.parquet(paths["actor_contribute_pr_belong_repo"])
+    want = extract_graph(scores, act, cfg)["actor_contribute_pr_belong_repo"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert spark.read.parquet(paths["actor_with_feature"]).count() == 15
