@@ -28,6 +28,7 @@ def condense(plan: str) -> list[str]:
             continue
         indent = len(line) - len(line.lstrip(" :+-"))
         text = re.sub(r"#\d+L?", "", line[indent:])
+        text = re.sub(r", \[plan_id=\d+\]", "", text)
         if "Scan parquet" in text and "Location" in text:
             loc = re.search(r"\[file:[^\]]*/([^/\]]+)\]", text)
             pushed = re.search(r"PushedFilters: \[(.*?)\](?:, ReadSchema|$)", text)
