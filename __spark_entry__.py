@@ -27,6 +27,17 @@ if _HERE not in sys.path:
 from cohortgraph.plans.registry import QUERIES  # noqa: E402
 from cohortgraph.sources import fixtures as FX  # noqa: E402
 
+try:  # the training-data operators and their pipeline are an optional part
+    import corpus_pipeline
+    from cohortgraph.llm.queries import ORACLES as LLM_ORACLES
+    from cohortgraph.llm.queries import QUERIES as LLM_QUERIES
+except ImportError:
+    LLM_ORACLES, LLM_QUERIES = {}, {}
+else:
+    LLM_QUERIES = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
+    if corpus_pipeline.ORACLE_SQL:
+        LLM_ORACLES = {**LLM_ORACLES, "pipeline": corpus_pipeline.ORACLE_SQL}
+
 FLAGSHIP_SF_DIR = "/root/testdata/sf0.001"
 ORACLE_SF = 0.01
 
@@ -37,7 +48,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**QUERIES, **LLM_QUERIES}
 
 
 # ---------------------------------------------------------------------------
@@ -234,7 +245,7 @@ def _tail(sf: float) -> dict[str, str]:
 def oracle_sql(sf: float = ORACLE_SF) -> dict[str, str]:
     """DuckDB SQL per registered key, with the fixture parameters of scale factor ``sf``."""
     prefix = _prefix(sf)
-    return {name: prefix + tail for name, tail in _tail(sf).items()}
+    return {**{name: prefix + tail for name, tail in _tail(sf).items()}, **LLM_ORACLES}
 
 
 if __name__ == "__main__":  # pragma: no cover - manual smoke run
