@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -39,6 +42,7 @@ def arrow_rows(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iter
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession.sparkContext)
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +56,22 @@ def arrow_rows(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iter
     return df.mapInArrow(run, schema)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(sc) -> None:
+    """Give the Python workers this package (as ``--py-files`` would), once per application."""
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="py-files-"), f"{package.name}.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(to))
+    _SHIPPED.add(sc.applicationId)
+
+
 def as_arrow(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind, from_pandas=False)
 
