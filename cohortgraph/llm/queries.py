@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, minhash, toxicity
+from . import decontaminate, lattice, line_dedup, minhash, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op6_minhash": minhash.op6_minhash,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_sentencepiece": lattice.op9_sentencepiece,
 }
 
 ORACLES = {

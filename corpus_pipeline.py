@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import uuid
 
-from cohortgraph.llm import decontaminate, line_dedup, toxicity
+from cohortgraph.llm import decontaminate, lattice, line_dedup, minhash, toxicity
 from cohortgraph.session import ensure_checkpoint_dir
 
 STAGES = [
     ("toxicity", toxicity.stage),
     ("line_dedup", line_dedup.stage),
+    ("minhash", minhash.stage),
     ("decontamination", decontaminate.stage),
+    ("sentencepiece", lattice.stage),
 ]
 
 #: SQL can't express the network, the sketches or the encoder; tests hold the pipeline against brute force.
