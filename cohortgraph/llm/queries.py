@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lattice, line_dedup, minhash, toxicity
+from . import chat, decontaminate, lattice, line_dedup, minhash, sharding, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_chat_rotation": chat.op3_chat_rotation,
     "op6_minhash": minhash.op6_minhash,
+    "op7_sharding": sharding.op7_sharding,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_sentencepiece": lattice.op9_sentencepiece,
 }
 
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op3_chat_rotation": chat.ORACLE,
 }
