@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lattice, line_dedup, minhash, sharding, toxicity
+from . import chat, decontaminate, embeddings, lattice, line_dedup, minhash, sharding, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_sharding": sharding.op7_sharding,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_sentencepiece": lattice.op9_sentencepiece,
+    "op10_embeddings": embeddings.op10_embeddings,
 }
 
 ORACLES = {
