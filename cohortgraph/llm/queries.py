@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embeddings, lattice, line_dedup, minhash, sharding, token_blocks, toxicity
+from . import chat, decontaminate, embeddings, lattice, line_dedup, minhash, sharding, substring_dedup, token_blocks, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_chat_rotation": chat.op3_chat_rotation,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_token_blocks": token_blocks.op5_token_blocks,
     "op6_minhash": minhash.op6_minhash,
     "op7_sharding": sharding.op7_sharding,

@@ -89,7 +89,7 @@ class Encoder:
             (other if self.inner_space(u) or u == " " else plain).append(u)
         for u, e in zip(other, encode(other, add_special_tokens=False)):
             memory[u] = np.array(e.ids, "<u4").tobytes()
-        chunks = [plain[k:k + 1000] for k in range(0, len(plain), 1000)]
+        chunks = [plain[k:k + 20] for k in range(0, len(plain), 20)]
         for chunk, e in zip(chunks, encode(["\n".join(c) for c in chunks], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(ids == self.line_feed[0])
