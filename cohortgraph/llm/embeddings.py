@@ -246,3 +246,15 @@ def unit(x: np.ndarray) -> np.ndarray:
 def op10_embeddings(spark, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return links(vectors).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.c),
+m AS (SELECT a, min(c) AS c FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT m.a AS vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, m.a = m.c AS kept
+FROM m LEFT JOIN n ON n.a = m.a
+"""

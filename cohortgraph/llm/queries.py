@@ -20,4 +20,6 @@ QUERIES = {
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op3_chat_rotation": chat.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
+    "op10_embeddings": embeddings.ORACLE,
 }

@@ -330,3 +330,18 @@ def _cut(rows: DataFrame) -> DataFrame:
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), CAST([] AS VARCHAR[])) AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 13], ' ') AS k
+      FROM (SELECT doc_id, w, unnest(range(0, len(w) - 12)) AS i FROM d WHERE len(w) >= 13) t),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS low FROM g),
+c AS (SELECT DISTINCT doc_id, i + o AS i FROM f, range(0, 13) t(o) WHERE low < doc_id),
+p AS (SELECT doc_id, w[i + 1] AS word, i FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d) t),
+k AS (SELECT p.doc_id AS doc_id, count(*) AS n, string_agg(p.word, ' ' ORDER BY p.i) AS kept
+      FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.i = p.i WHERE c.doc_id IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

@@ -1,0 +1,91 @@
+"""Decontamination against the full edit-distance table."""
+
+from __future__ import annotations
+
+import random
+
+from cohortgraph.llm import decontaminate as D
+
+
+def least_distance(item: str, text: str) -> int:
+    """Of ``item`` and any substring of ``text``, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+def edited(rng, text, edits):
+    chars = list(text)
+    for _ in range(edits):
+        k = rng.randrange(len(chars))
+        chars[k:k + 1] = rng.choice([[], ["q"], [chars[k], "z"]])
+    return "".join(chars)
+
+
+def test_myers_is_the_edit_distance():
+    rng = random.Random(1)
+    for _ in range(200):
+        item = "".join(rng.choice("abc") for _ in range(rng.randint(1, 80)))
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))
+        bits = {}
+        for i, ch in enumerate(item):
+            bits[ch] = bits.get(ch, 0) | 1 << i
+        assert D.myers(bits, len(item), text)[0] == least_distance(item, text)
+
+
+def test_pieces_make_up_the_item():
+    for n, k in ((1, 0), (24, 1), (333, 19)):
+        parts = D.pieces("x" * n, k)
+        assert len(parts) == k + 1 and "".join(p for _, p in parts) == "x" * n
+
+
+def test_every_leak_within_the_budget_is_found_and_no_other(spark, documents):
+    rng = random.Random(2)
+    words = sorted({w for _, t in documents for w in t.split()})
+    items = [" ".join(rng.choice(words) for _ in range(rng.randint(8, 40))) for _ in range(12)]
+    texts = []
+    for n in range(120):
+        around = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(2)]
+        k = rng.randrange(len(items))
+        texts.append(f"{around[0]} {edited(rng, items[k], rng.randint(0, 30))}\n {around[1]}" if n % 3 else " ".join(around))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    want = {}
+    for d, t in enumerate(texts):
+        for k, item in enumerate(items):
+            norm = D.normal(item)
+            distance = least_distance(norm, D.normal(t))
+            if distance <= int(len(norm) * D.RATE):
+                want[d, k] = distance
+    assert len(want) > 10
+    for block in (D.BLOCK_CHARS, 400):  # the benchmark in one block, and in several
+        found = D.find_leaks(docs, bench, block_chars=block).collect()
+        assert {(r["doc_id"], x["item_id"]): x["distance"] for r in found for x in r["leaks"]} == want
+        assert len(found) == len(texts)
+
+
+def test_odd_cases(spark, odd, none):
+    passage = " ".join(f"shared{i}" for i in range(60))
+    bench = spark.createDataFrame([(1, passage), (1, passage), (2, None), (3, ""), (4, "one two"), (None, passage)],
+                                  "item_id bigint, text string")
+    found = D.find_leaks(odd, bench)
+    leaks = {}
+    for r in found.collect():
+        leaks.setdefault(r["doc_id"], set()).update(x["item_id"] for x in r["leaks"])
+    assert {d for d, x in leaks.items() if 1 in x} == {8, 9, 16, None}  # also in capitals
+    assert all(2 not in x and 3 not in x and 4 not in x for x in leaks.values())
+    assert found.count() == odd.count() and D.find_leaks(none, bench).count() == 0
+    assert D.find_leaks(odd, bench.limit(0)).where("size(leaks) > 0").count() == 0
+
+
+def test_stage_keeps_clean_rows_whole(spark, odd, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"shared{i}" for i in range(60)))], "item_id bigint, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    out = D.stage(spark, odd, str(tmp_path))
+    assert out.columns == odd.columns
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(
+        str(r["doc_id"]) for r in odd.collect() if "shared0" not in (r["text"] or "").lower())

@@ -1,0 +1,132 @@
+"""ProbMinHash clusters and embedding links against brute force."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from cohortgraph.llm import embeddings as V
+from cohortgraph.llm import minhash as M
+from cohortgraph.llm.components import components
+
+
+def similarity(a: str, b: str) -> float:
+    def weights(t):
+        w = M.WORD.findall(t)
+        grams = [tuple(w[i:i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
+        return {g: grams.count(g) / len(grams) for g in grams}
+
+    p, q = weights(a), weights(b)
+    both = set(p) | set(q)
+    return sum(1 / sum(max(p.get(y, 0) / p[x], q.get(y, 0) / q[x]) for y in both) for x in p if x in q)
+
+
+def least(nodes, links):
+    name = {n: n for n in nodes}
+
+    def find(n):
+        while name[n] != n:
+            n = name[n]
+        return n
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        name[b] = a
+    return {n: find(n) for n in nodes}
+
+
+def near_copies(rng):
+    """Groups of texts around the threshold, chains, copies, and texts that share a passage only."""
+    words = [f"v{i}" for i in range(400)]
+    texts, shared = [], " ".join(rng.choice(words) for _ in range(25))
+    for g in range(14):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 80, 150]))]
+        for _ in range(rng.randint(1, 6)):
+            t = list(base)
+            for _ in range(rng.randint(0, max(1, len(t) // 50))):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t))
+            if rng.random() < 0.4:
+                base = t  # a chain: the ends may be farther apart than the links
+    for _ in range(25):
+        texts.append(shared + " " + " ".join(rng.choice(words) for _ in range(20)))
+    return texts + texts[:5]
+
+
+def test_probability_jaccard_is_exact_and_estimated():
+    rng = random.Random(3)
+    for _ in range(20):
+        a = [str(rng.randrange(12)) for _ in range(60)]
+        b = list(a)
+        for _ in range(rng.randint(0, 8)):
+            b[rng.randrange(60)] = "z"
+        a, b = " ".join(a), " ".join(b)
+        sa, sb = M.shingles([a, b])
+        assert M.probability_jaccard(sa, sb) == pytest.approx(similarity(a, b))
+        s = M.sketches([sa, sb], 4096)
+        assert (s[0] == s[1]).mean() == pytest.approx(similarity(a, b), abs=0.04)
+
+
+def test_clusters_match_brute_force(spark):
+    texts = near_copies(random.Random(4))
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if similarity(texts[i], texts[j]) >= 0.8]
+    want = least(range(len(texts)), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["cluster_id"] for r in M.clusters(docs).collect()}
+    assert got == want and len(set(want.values())) < len(texts)
+
+
+def test_cluster_odd_cases(spark, odd, none):
+    got = [tuple(r) for r in M.clusters(odd).collect()]
+    cluster = {d: c for d, _, c in got}
+    assert len(got) == len(cluster) == len({r["doc_id"] for r in odd.collect()} - {None})
+    assert cluster[4] == cluster[5] == 4 and cluster[6] == cluster[7] == 6
+    assert all(cluster[d] == d for d in (1, 2, 3, 12, 13, 15, 16, 17))  # texts without words are like nothing
+    assert M.clusters(none).count() == 0
+    out = M.stage(spark, odd, "")
+    assert out.columns == odd.columns
+    kept = [r["doc_id"] for r in out.collect()]
+    # 8 and 9 share 56 of 64 shingles
+    assert kept.count(None) == 2 and kept.count(8) == 1 and not {5, 7, 9} & set(kept)
+
+
+def test_components_of_a_long_chain(spark):
+    rows = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(rows, "a bigint, b bigint"), "a", "b").collect()}
+    assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def brute_vectors(ids, x):
+    cos = V.unit(x) @ V.unit(x).T
+    pairs = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(len(ids)) if i != j and cos[i, j] >= 0.95]
+    name = least(ids, pairs)
+    return {i: (sum(1 for a, _ in pairs if a == i), name[i]) for i in ids}
+
+
+def test_links_match_brute_force_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "HOME_ROWS", 16)
+    monkeypatch.setattr(V, "VISIT_ROWS", 16)
+    rng = np.random.default_rng(5)
+    centers = rng.standard_normal((12, 32))
+    x = np.concatenate([c + s * rng.standard_normal((n, 32)) for c, s, n in zip(
+        centers, np.linspace(0.02, 0.3, 12), [60, 3, 40, 5, 30, 20, 9, 50, 20, 30, 40, 50])])
+    x = np.concatenate([x, x[:20], 3 * x[:5]])
+    ids = rng.permutation(len(x)).tolist()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>")
+    want = brute_vectors(ids, x)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in V.links(df).collect()}
+    found, there = sum(n for n, _ in got.values()), sum(n for n, _ in want.values())
+    assert found >= 0.995 * there and all(got[i][0] <= want[i][0] for i in ids)
+    assert sum(got[i][1] == want[i][1] for i in ids) >= 0.99 * len(ids)
+
+
+def test_vector_odd_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]),
+            (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [1.0, 0.0, 0.1]), (None, [1.0, 0.0]), (11, [1.0, 0.0]), (12, [-1.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "vec_id bigint, embedding array<double>, n int, k1 string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in V.links(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 11: (2, 1), 9: (1, 9), 10: (1, 9), **{i: (0, i) for i in (3, 4, 5, 6, 7, 8, 12)}}
+    assert V.links(df.limit(0)).count() == 0
