@@ -19,7 +19,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from cohortgraph.config import PINNED_NAMES, PINNED_ORGS, ExtractConfig
-from cohortgraph.plans.graph import extract_graph, write_graph
+from cohortgraph.plans.graph import checked_tables, extract_graph, write_graph
 from cohortgraph.session import DEFAULT_CONF
 from cohortgraph.sources.tables import read_activity, read_scores
 
@@ -34,6 +34,8 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
                    help="option for both readers, e.g. header=true for CSV inputs (repeatable)")
     p.add_argument("--out", required=True, help="output folder; one sub-folder per table")
     p.add_argument("--format", default="parquet", choices=["parquet", "csv", "orc", "json"])
+    p.add_argument("--mode", default="error", choices=["error", "overwrite", "append", "ignore"],
+                   help="what to do with an output folder that exists")
     p.add_argument("--start-year", type=int, default=2022)
     p.add_argument("--end-year", type=int, default=2023, help="exclusive")
     p.add_argument("--top-n", type=int, default=10000)
@@ -43,13 +45,17 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--pinned-name", action="append", help="pinned repository name (repeatable)")
     p.add_argument("--entity-type", default=None, help="keep only score rows of this type, e.g. Repo")
     p.add_argument("--consistent", action="store_true", help="use the in-window sample for every table")
-    p.add_argument("--tables", default="", help="comma-separated subset of the tables to write")
+    p.add_argument("--tables", default="", help="comma-separated subset of the tables; only what they need is computed")
     p.add_argument("--keep-intermediates", action="store_true")
     return p.parse_args(argv)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict[str, str]:
     args = parse_args(argv)
+    try:  # before any job runs
+        wanted = checked_tables([t for t in args.tables.split(",") if t] or None)
+    except ValueError as error:
+        raise SystemExit(str(error)) from None
     if spark is None:
         builder = SparkSession.builder.appName("cohortgraph")
         for k, v in DEFAULT_CONF.items():
@@ -64,16 +70,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     options = dict(opt.split("=", 1) for opt in args.reader_option)
     scores = read_scores(spark, args.scores, args.scores_format, **options)
     act = read_activity(spark, args.activity, args.activity_format, **options)
-    graph = extract_graph(scores, act, cfg, consistent=args.consistent)
-    wanted = [t for t in args.tables.split(",") if t]
-    unknown = set(wanted) - set(graph)
-    if unknown:
-        raise SystemExit(f"unknown tables: {sorted(unknown)}; choose from {sorted(graph)}")
-    if wanted:
-        for name in list(graph):
-            if name not in wanted:
-                del graph[name]
-    paths = write_graph(graph, args.out, fmt=args.format, release=not args.keep_intermediates)
+    graph = extract_graph(scores, act, cfg, consistent=args.consistent, tables=wanted)
+    paths = write_graph(graph, args.out, fmt=args.format, mode=args.mode, release=not args.keep_intermediates)
     print(json.dumps(paths))
     return paths
 

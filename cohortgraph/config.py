@@ -30,6 +30,9 @@ DEFAULT_SAMPLE_PER_REPO = 500
 DEFAULT_TOP_LANGUAGES = 3
 ITEM_KEY_SEPARATOR = "#"
 
+# folder level of the stored layouts: the year of ``created_at``
+YEAR_COLUMN = "event_year"
+
 
 def year_start(year: int) -> datetime:
     return datetime(year, 1, 1)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, time
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ITEM_KEY_SEPARATOR
+from ..config import ITEM_KEY_SEPARATOR, YEAR_COLUMN
 
 
 def ts_literal(value: datetime) -> Column:
@@ -31,6 +31,18 @@ def in_window(col: str | Column, start: datetime, end: datetime) -> Column:
     return (c >= ts_literal(start)) & (c < ts_literal(end))
 
 
+def windowed_rows(df: DataFrame, start: datetime, end: datetime) -> Column:
+    """``in_window`` on ``created_at``, and on the year folders of a stored table (``YEAR_COLUMN``).
+
+    The folder condition follows from the range, so it only prunes.
+    """
+    cond = in_window("created_at", start, end)
+    if YEAR_COLUMN in df.columns:
+        last = end.year if (end.month, end.day, end.time()) != (1, 1, time()) else end.year - 1
+        cond = cond & F.col(YEAR_COLUMN).between(start.year, last)
+    return cond
+
+
 def item_key(repo_id: str = "repo_id", number: str = "issue_number") -> Column:
     """Pull-request / issue key ``<repo_id>#<number>``.
 
@@ -50,12 +62,6 @@ def non_empty(col: str) -> Column:
     return F.size(F.col(col)) > 0
 
 
-def sorted_set(col: str | Column) -> Column:
-    """Distinct elements in ascending order: a deterministic array value."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.array_sort(F.array_distinct(c))
-
-
 def render_arrays(df, *names: str):
     """Arrays as JSON text (the form used for CSV cells and result hashing)."""
     out = df

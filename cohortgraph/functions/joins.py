@@ -29,7 +29,7 @@ class Sized:
     path: str | None = None
 
 
-def materialize(df: DataFrame) -> Sized:
+def materialize(df: DataFrame, partition_by: str | None = None) -> Sized:
     """Write ``df`` as a parquet table under the session's checkpoint folder, read it back, count it.
 
     This cuts the lineage the way a reliable checkpoint does - the files live
@@ -38,14 +38,15 @@ def materialize(df: DataFrame) -> Sized:
     columnar and giving the planner its real size. The count is an observed
     metric of the write itself; it only feeds size decisions, where an
     over-count (should a retried task ever be counted twice) errs on the safe
-    side.
+    side. With ``partition_by`` each value of that column is a folder.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/{INTERMEDIATE_PREFIX}/{uuid.uuid4().hex}"
     # the row count is observed while the write job runs: no second job
     seen = Observation(f"rows_{uuid.uuid4().hex[:8]}")
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("error").parquet(path)
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("error")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     rows = int(seen.get["rows"])
     saved = spark.read.schema(df.schema).parquet(path)
     return Sized(saved, rows, path)
@@ -65,7 +66,9 @@ def tighten(keys: Sized, key: str, max_rows: int) -> Sized:
 
 
 def drop_materialized(spark, items) -> None:
-    """Delete the files of materialised intermediates (Hadoop FileSystem API)."""
+    """Delete the files of materialised intermediates (Hadoop FileSystem API); nothing once the session has ended."""
+    if spark.sparkContext._jsc is None:
+        return
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
     for it in items:

@@ -26,8 +26,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_group_limit
-
 _BUCKET = "__topk_bucket"
 
 
@@ -71,7 +69,6 @@ def estimated_input_tasks(df: DataFrame) -> int:
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], k: int,
                     rank_col: str = "rn", fan_in: int | None = None) -> DataFrame:
     """Keep the first ``k`` rows of each group under ``order_cols``; adds ``rank_col`` (1..k)."""
-    ensure_group_limit(df.sparkSession, k)
     group_cols = list(group_cols)
     order_cols = list(order_cols)
     if fan_in is None:

@@ -13,16 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
-from ..functions.columns import in_window
+from ..functions.columns import in_window, windowed_rows
 from ..functions.joins import Sized, as_frame, restrict_to
 from ..functions.topk import top_k_per_group
-from ..session import ensure_group_limit
 
 SCORE_COLUMN = "avg_score"
 
 
 def _scores_in_window(scores: DataFrame, cfg: ExtractConfig) -> DataFrame:
-    cond = (F.col("platform") == cfg.platform) & in_window("created_at", cfg.start, cfg.end)
+    cond = (F.col("platform") == cfg.platform) & windowed_rows(scores, cfg.start, cfg.end)
     if cfg.entity_type is not None:
         cond = cond & (F.col("type") == cfg.entity_type)
     return scores.filter(cond)
@@ -57,7 +56,6 @@ def top_entities(scores: DataFrame, cfg: ExtractConfig) -> DataFrame:
     keep = cfg.offset + cfg.top_n
     fan_in = _topn_fan_in(scores.sparkSession, keep, cfg)
     if fan_in > 1 and keep > 0:
-        ensure_group_limit(scores.sparkSession, keep)
         bucketed = averaged.withColumn("_bucket", F.spark_partition_id() % F.lit(fan_in))
         w = Window.partitionBy("_bucket").orderBy(*order)
         averaged = (bucketed.withColumn("_rank", F.row_number().over(w))
@@ -92,7 +90,7 @@ def candidates(scores: DataFrame, cfg: ExtractConfig) -> DataFrame:
 def star_events(act: DataFrame, cfg: ExtractConfig, windowed: bool = False) -> DataFrame:
     cond = (F.col("platform") == cfg.platform) & F.col("type").isin(list(cfg.star_types))
     if windowed:
-        cond = cond & in_window("created_at", cfg.start, cfg.end)
+        cond = cond & windowed_rows(act, cfg.start, cfg.end)
     return act.filter(cond)
 
 
@@ -113,6 +111,18 @@ def newest_per_repo(stars: DataFrame, cfg: ExtractConfig) -> DataFrame:
                            cfg.sample_per_repo, rank_col="rn", fan_in=cfg.topk_fan_in)
 
 
+def newest_in_and_out(stars: DataFrame, cfg: ExtractConfig) -> DataFrame:
+    """The newest rows of each repository inside the window, and those outside (adds ``in_window``).
+
+    At most ``2 * sample_per_repo`` rows per repository, from which both samples
+    follow: the in-window sample is the in-window group, and the all-time
+    sample is the newest of both groups together.
+    """
+    flagged = stars.withColumn("in_window", in_window("created_at", cfg.start, cfg.end))
+    return top_k_per_group(flagged, ["repo_id", "in_window"], [F.col("created_at").desc(), F.col("event_id").desc()],
+                           cfg.sample_per_repo, rank_col="rn", fan_in=cfg.topk_fan_in)
+
+
 def sample_recent(act: DataFrame, cand: DataFrame | Sized, cfg: ExtractConfig,
                   windowed: bool = False) -> DataFrame:
     """The ``sample_per_repo`` newest star events of each candidate repository.

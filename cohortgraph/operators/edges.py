@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
-from ..functions.columns import in_window, item_key
+from ..functions.columns import item_key, windowed_rows
 from ..functions.joins import Sized, as_frame, restrict_to
 from .cohort import star_events
 
@@ -36,7 +36,7 @@ def _between_nodes(events: DataFrame, actors: DataFrame | Sized, repos: DataFram
 def _edge_events(act: DataFrame, types: Sequence[str], cfg: ExtractConfig) -> DataFrame:
     return act.filter((F.col("platform") == cfg.platform)
                       & F.col("type").isin(list(types))
-                      & in_window("created_at", cfg.start, cfg.end))
+                      & windowed_rows(act, cfg.start, cfg.end))
 
 
 def fork_edges(act: DataFrame, actors: DataFrame | Sized, repos: DataFrame | Sized,
@@ -64,19 +64,24 @@ def item_events(act: DataFrame, actors: DataFrame | Sized, repos: DataFrame | Si
     return ev.select("actor_id", "repo_id", item_key().alias(key))
 
 
-def weighted_edges(items: DataFrame, key: str, with_repo: bool) -> DataFrame:
+def item_weights(items: DataFrame, key: str) -> DataFrame:
     """Number of events per (actor, repo, item) as ``weight``.
 
     The count is aggregated map-side before the shuffle, so a hot actor or
     item costs one partial row per task.
     """
-    out = items.groupBy("actor_id", "repo_id", key).agg(F.count(F.lit(1)).alias("weight"))
-    cols = ["actor_id", "repo_id", key, "weight"] if with_repo else ["actor_id", key, "weight"]
-    return out.select(*cols)
+    return (items.groupBy("actor_id", "repo_id", key).agg(F.count(F.lit(1)).alias("weight"))
+            .select("actor_id", "repo_id", key, "weight"))
+
+
+def weighted_edges(items: DataFrame, key: str, with_repo: bool) -> DataFrame:
+    """``item_weights`` with or without the repository."""
+    out = item_weights(items, key)
+    return out if with_repo else out.drop("repo_id")
 
 
 def membership(items: DataFrame, key: str) -> DataFrame:
-    """Distinct (item, repo) pairs."""
+    """Distinct (item, repo) pairs, of item events or of their weights."""
     return items.select(key, "repo_id").distinct()
 
 

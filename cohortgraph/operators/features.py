@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
-from ..functions.columns import in_window, non_blank, non_empty
+from ..functions.columns import non_blank, non_empty, windowed_rows
 from ..functions.joins import Sized, restrict_to
 from ..functions.topk import top_k_per_group
 
@@ -20,7 +20,7 @@ from ..functions.topk import top_k_per_group
 def _typed(act: DataFrame, types, cfg: ExtractConfig, window: bool) -> DataFrame:
     cond = (F.col("platform") == cfg.platform) & F.col("type").isin(list(types))
     if window:
-        cond = cond & in_window("created_at", cfg.start, cfg.end)
+        cond = cond & windowed_rows(act, cfg.start, cfg.end)
     return act.filter(cond)
 
 
@@ -38,11 +38,13 @@ def repo_features(act: DataFrame, repos: DataFrame | Sized, cfg: ExtractConfig,
     ev = _typed(act, cfg.repo_feature_types, cfg, window)
     if non_blank_only:
         ev = ev.filter(_informative())
-    ev = restrict_to(ev.select("repo_id", "created_at", "event_id", "repo_language", "repo_topics",
-                               "repo_description"), repos, "repo_id", cfg.broadcast_max_rows)
-    newest = top_k_per_group(ev, ["repo_id"], [F.col("created_at").desc(), F.col("event_id").desc()], 1,
-                             fan_in=cfg.topk_fan_in)
-    return newest.select("repo_id", "repo_language", "repo_topics", "repo_description")
+    # rank narrow rows; the profile is fetched for the winners only, at most one per repository
+    keys = restrict_to(ev.select("repo_id", "created_at", "event_id"), repos, "repo_id", cfg.broadcast_max_rows)
+    newest = top_k_per_group(keys, ["repo_id"], [F.col("created_at").desc(), F.col("event_id").desc()], 1,
+                             fan_in=cfg.topk_fan_in).select("repo_id", "event_id")
+    return (ev.select("repo_id", "event_id", "repo_language", "repo_topics", "repo_description")
+            .join(newest, ["repo_id", "event_id"], "left_semi")
+            .select("repo_id", "repo_language", "repo_topics", "repo_description"))
 
 
 def repo_feature_count(act: DataFrame, repos: DataFrame | Sized, cfg: ExtractConfig,
@@ -113,8 +115,8 @@ def actor_features(events: DataFrame, cfg: ExtractConfig, how: str = "inner") ->
     bounded by the topic vocabulary, de-duplicated map-side); languages are
     ranked per actor (blank ones last and never kept); a final per-actor fold,
     on the partitioning the ranking already produced, keeps the top languages
-    and merges the topic sets. No actor group is larger than the number of
-    distinct languages plus one.
+    and merges the topic sets, each topic once. An actor's buffers hold at most
+    its distinct languages and distinct topics, however active it is.
     """
     if how not in _JOIN_KEEPS:
         raise ValueError(f"how must be one of {sorted(_JOIN_KEEPS)}")
@@ -131,11 +133,9 @@ def actor_features(events: DataFrame, cfg: ExtractConfig, how: str = "inner") ->
     w = Window.partitionBy("actor_id").orderBy(blank.asc(), F.col("n").desc(), lang.asc())
     ranked = per_lang.withColumn("rank", F.row_number().over(w))
     keep_lang = non_blank("repo_language") & (F.col("rank") <= cfg.top_languages)
-    folded = ranked.groupBy("actor_id").agg(
-        F.collect_set(F.when(keep_lang, lang)).alias("languages"),
-        F.flatten(F.collect_list("topic_set")).alias("topics"))
-    topics = F.array_sort(F.array_distinct("topics"))
-    out = folded.select("actor_id", F.array_sort("languages").alias("languages"), topics.alias("topics"))
+    merged = ranked.select("actor_id", F.when(keep_lang, lang).alias("language"), F.explode_outer("topic_set").alias("topic"))
+    folded = merged.groupBy("actor_id").agg(F.collect_set("language").alias("languages"), F.collect_set("topic").alias("topics"))
+    out = folded.select("actor_id", F.array_sort("languages").alias("languages"), F.array_sort("topics").alias("topics"))
     has_l, has_t = F.size("languages") > 0, F.size("topics") > 0
     out = out.filter(_JOIN_KEEPS[how](has_l, has_t))
     return out.select("actor_id",

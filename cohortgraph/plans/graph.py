@@ -1,29 +1,33 @@
 """One extraction run: every graph table from one shared cohort, in two passes.
 
 The activity log is the big input, so the run reads it twice, not once per
-output table:
-
-1. the star events of the candidate repositories (all time) are written once;
-   both the in-window and the all-time sample are ranked from that table;
-2. once the node sets are known, every event that any output table needs is
-   written once - in-window fork / pull-request / issue events between nodes,
-   all-time repository-feature events of node repositories, all-time
-   actor-feature events of node actors; each edge and feature table then
-   applies its own exact filter to that superset.
+output table, whatever the size of the node sets:
+
+1. The candidates' star events are cut to the newest ``sample_per_repo`` inside
+   and outside the window per repository and written: at most twice that many
+   rows per repository. Both star samples follow from this small table.
+2. Once the node sets are known, every event that an output table needs is
+   written once, in slices: ``edge`` (in-window fork / pull-request / issue events
+   between nodes: ids, number and type only), ``repo`` (feature events of node
+   repositories: profile columns) and ``actor`` (feature events of node actors:
+   language and topics). Each slice is a folder of its own and holds nulls
+   where it needs no payload, so a table reads only its slice.
 
 An OR of two key sets is not a semi join; it is expressed as two left joins
-against broadcast key sets carrying a flag, so pass 2 needs both node sets to
-be under the broadcast limit. Otherwise the run falls back to one pass for
-the edge events (both ends in the node sets) and direct scans for the two
-feature tables.
+against the key sets, carrying a flag. The joins are broadcast when the key
+set's counted size allows it, and shuffle joins otherwise.
+
+The pull-request and issue families are aggregated once per (actor, repository,
+item) and written; edges with and without the repository and the membership
+follow from that table.
 
 Intermediates are parquet tables under ``spark.checkpoint.dir`` (see
-``functions.joins.materialize``); their counted sizes decide the broadcasts.
+``functions.joins.materialize``); they are released if a step fails.
 """
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -32,14 +36,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ExtractConfig
-from ..functions.columns import in_window
-from ..functions.joins import Sized, drop_materialized, materialize, restrict_to, tighten
+from ..functions.columns import windowed_rows
+from ..functions.joins import Sized, drop_materialized, key_side, materialize, tighten
 from ..operators import cohort as C
 from ..operators import edges as E
 from ..operators import features as FT
 
-NODE_EVENT_COLUMNS = ("event_id", "actor_id", "repo_id", "created_at", "platform", "type", "issue_number",
-                      "repo_language", "repo_topics", "repo_description")
+EDGE, REPO, ACTOR = "edge", "repo", "actor"
+SLICE = "slice"
+
+# the tables of one run, and the slices each reads beside the star samples
+TABLES = {
+    "actor": (), "repo": (), "actor_star_repo": (), "actor_fork_repo": (EDGE,),
+    "actor_contribute_pr": (EDGE,), "actor_contribute_pr_belong_repo": (EDGE,),
+    "actor_discussion_issue": (EDGE,), "actor_discussion_issue_belong_repo": (EDGE,),
+    "pr_belong_repo": (EDGE,), "issue_belong_repo": (EDGE,),
+    "repo_with_feature": (REPO,), "actor_with_feature": (ACTOR,),
+}
 
 
 @dataclass(frozen=True)
@@ -95,43 +108,42 @@ def node_keys(cohorts: list[Cohort]) -> tuple[Sized, Sized]:
     return repos, actors
 
 
-def node_events_plan(act: DataFrame, repos: Sized, actors: Sized, cfg: ExtractConfig) -> DataFrame | None:
-    """Pass 2, lazily: the union of the rows every edge and feature table reads.
+def pass_one_plan(act: DataFrame, cand: Sized, cfg: ExtractConfig) -> DataFrame:
+    """Pass 1, lazily: the candidates' newest stars inside and outside the window."""
+    return C.newest_in_and_out(C.candidate_stars(act, cand, cfg), cfg).drop("rn")
 
-    None when a node set is too big to broadcast (the OR cannot be a shuffle
-    semi join); the caller then takes the fallback passes.
-    """
-    if repos.rows > cfg.broadcast_max_rows or actors.rows > cfg.broadcast_max_rows:
-        return None
-    edge_types = list(dict.fromkeys([*cfg.fork_types, *cfg.pr_types, *cfg.issue_types]))
-    types = list(dict.fromkeys([*edge_types, *cfg.repo_feature_types, *cfg.actor_feature_types]))
-    ev = act.filter((F.col("platform") == cfg.platform) & F.col("type").isin(types)).select(*NODE_EVENT_COLUMNS)
-    repo_flag = F.broadcast(repos.df.select("repo_id").withColumn("_node_repo", F.lit(True)))
-    actor_flag = F.broadcast(actors.df.select("actor_id").withColumn("_node_actor", F.lit(True)))
-    is_repo, is_actor = F.col("_node_repo").isNotNull(), F.col("_node_actor").isNotNull()
-    typ = F.col("type")
-    needed = ((typ.isin(edge_types) & in_window("created_at", cfg.start, cfg.end) & is_repo & is_actor)
-              | (typ.isin(list(cfg.repo_feature_types)) & is_repo)
-              | (typ.isin(list(cfg.actor_feature_types)) & is_actor))
-    return (ev.join(repo_flag, "repo_id", "left").join(actor_flag, "actor_id", "left")
-            .filter(needed).select(*NODE_EVENT_COLUMNS))
 
+def samples(newest: DataFrame, cfg: ExtractConfig) -> tuple[DataFrame, DataFrame]:
+    """(in-window sample, all-time sample) from the rows of pass 1."""
+    inside = C.newest_per_repo(newest.where("in_window").drop("in_window"), cfg)
+    return inside, C.newest_per_repo(newest.drop("in_window"), cfg)
 
-def node_events(act: DataFrame, repos: Sized, actors: Sized, cfg: ExtractConfig) -> Sized | None:
-    """Pass 2, written once (see ``node_events_plan``)."""
-    plan = node_events_plan(act, repos, actors, cfg)
-    return None if plan is None else materialize(plan)
 
+def node_events_plan(act: DataFrame, repos: Sized, actors: Sized, cfg: ExtractConfig,
+                     slices: Iterable[str] = (EDGE, REPO, ACTOR)) -> DataFrame:
+    """Pass 2, lazily: one row per event and slice that an output table reads."""
+    slices, typ = set(slices), F.col("type")
+    edge_types = list(dict.fromkeys([*cfg.fork_types, *cfg.pr_types, *cfg.issue_types]))
+    of = {EDGE: edge_types, REPO: list(cfg.repo_feature_types), ACTOR: list(cfg.actor_feature_types)}
+    types = list(dict.fromkeys(t for s in sorted(slices) for t in of[s]))
+    ev = act.filter((F.col("platform") == cfg.platform) & typ.isin(types))
+    limit = cfg.broadcast_max_rows
+    repo_flag = key_side(Sized(repos.df.select("repo_id").withColumn("_node_repo", F.lit(True)), repos.rows), limit)
+    actor_flag = key_side(Sized(actors.df.select("actor_id").withColumn("_node_actor", F.lit(True)), actors.rows), limit)
+    is_repo, is_actor = F.col("_node_repo").isNotNull(), F.col("_node_actor").isNotNull()
+    inside = windowed_rows(ev, cfg.start, cfg.end)
+    wanted = {EDGE: typ.isin(edge_types) & inside & is_repo & is_actor, REPO: typ.isin(of[REPO]) & is_repo,
+              ACTOR: typ.isin(of[ACTOR]) & is_actor}
+    marks = F.array_compact(F.array(*[F.when(wanted[s], F.lit(s)) for s in sorted(slices)]))
+    joined = (ev.join(repo_flag, "repo_id", "left").join(actor_flag, "actor_id", "left")
+              .withColumn(SLICE, F.explode(marks)))
 
-def edge_slice(act: DataFrame, repos: Sized, actors: Sized, cfg: ExtractConfig) -> Sized:
-    """Fallback pass: in-window fork/PR/issue events whose actor and repository are nodes."""
-    types = list(dict.fromkeys([*cfg.fork_types, *cfg.pr_types, *cfg.issue_types]))
-    ev = act.filter((F.col("platform") == cfg.platform) & F.col("type").isin(types)
-                    & in_window("created_at", cfg.start, cfg.end))
-    ev = ev.select("actor_id", "repo_id", "issue_number", "type", "platform", "created_at")
-    ev = restrict_to(ev, repos, "repo_id", cfg.broadcast_max_rows)
-    ev = restrict_to(ev, actors, "actor_id", cfg.broadcast_max_rows)
-    return materialize(ev)
+    def only(name: str, *where: str):
+        return F.when(F.col(SLICE).isin(list(where)), F.col(name)).alias(name)
+
+    return joined.select(
+        "event_id", "actor_id", "repo_id", "created_at", "platform", "type", only("issue_number", EDGE),
+        only("repo_language", REPO, ACTOR), only("repo_topics", REPO, ACTOR), only("repo_description", REPO), SLICE)
 
 
 class GraphTables(dict):
@@ -148,54 +160,80 @@ class GraphTables(dict):
             self.intermediates = []
 
 
-def extract_graph(scores: DataFrame, act: DataFrame, cfg: ExtractConfig,
-                  consistent: bool = False) -> GraphTables:
-    """Every graph table, keyed by table name.
+def checked_tables(tables: Iterable[str] | None) -> list[str]:
+    """The wanted table names in their fixed order; ValueError for an unknown one."""
+    wanted = set(TABLES) if tables is None else set(tables)
+    if unknown := wanted - set(TABLES):
+        raise ValueError(f"unknown tables: {sorted(unknown)}; choose from {sorted(TABLES)}")
+    return [t for t in TABLES if t in wanted]
+
+
+def extract_graph(scores: DataFrame, act: DataFrame, cfg: ExtractConfig, consistent: bool = False,
+                  tables: Iterable[str] | None = None) -> GraphTables:
+    """The graph tables (all, or those named), keyed by table name.
 
     With ``consistent=False`` the node sets, PR/issue edges and features use the
     all-time star sample while star and fork edges use the in-window sample,
     as the source scripts do; an edge endpoint can then be missing from the
-    node list. ``consistent=True`` uses the in-window sample everywhere.
+    node list. ``consistent=True`` uses the in-window sample everywhere. Only the
+    slices and aggregates that the named tables need are computed.
     """
-    cand = materialize(C.candidates(scores, cfg))
-    stars = materialize(C.candidate_stars(act, cand, cfg))                    # pass 1
-    in_window_stars = stars.df.filter(in_window("created_at", cfg.start, cfg.end))
-    samples = [C.newest_per_repo(in_window_stars, cfg)] + ([] if consistent else [C.newest_per_repo(stars.df, cfg)])
-    with ThreadPoolExecutor(max_workers=len(samples)) as pool:   # independent jobs, run side by side
-        written = list(pool.map(materialize, samples))
-    windowed = make_cohort(cfg, cand, written[0], True)
-    base = windowed if consistent else make_cohort(cfg, cand, written[1], False)
+    wanted = checked_tables(tables)
+    kept: list[Sized] = []
+
+    def keep(s: Sized) -> Sized:
+        if s.path is not None and s not in kept:
+            kept.append(s)
+        return s
+
+    try:
+        return GraphTables(_tables(scores, act, cfg, consistent, wanted, keep), kept)
+    except BaseException:
+        if kept:
+            drop_materialized(act.sparkSession, kept)
+        raise
+
+
+def _tables(scores, act, cfg, consistent, wanted, keep) -> dict[str, DataFrame]:
+    cand = keep(materialize(C.candidates(scores, cfg)))
+    newest = keep(materialize(pass_one_plan(act, cand, cfg)))
+    inside, all_time = samples(newest.df, cfg)
+    windowed = make_cohort(cfg, cand, keep(materialize(inside)), True)
+    base = windowed if consistent else make_cohort(cfg, cand, keep(materialize(all_time)), False)
     cohorts = [base] if consistent else [base, windowed]
-    intermediates = [cand, stars] + [m for c in cohorts for m in c.materialized]
-
-    node_repos, node_actors = node_keys(cohorts)
-    intermediates += [k for k in (node_repos, node_actors) if k.path is not None and k not in intermediates]
-    nodes_ev = node_events(act, node_repos, node_actors, cfg)                 # pass 2
-    if nodes_ev is not None:
-        intermediates.append(nodes_ev)
-        edge_src = feature_src = nodes_ev.df
-    else:
-        slice_ = edge_slice(act, node_repos, node_actors, cfg)
-        intermediates.append(slice_)
-        edge_src, feature_src = slice_.df, act
-
-    pr = E.pr_events(edge_src, base.actors, base.repos, cfg)
-    issue = E.issue_events(edge_src, base.actors, base.repos, cfg)
-    tables = {
-        "actor": C.actor_nodes(base.sample),
-        "repo": C.repo_nodes(base.sample),
-        "actor_star_repo": E.star_edges(windowed.sample),
-        "actor_fork_repo": E.fork_edges(edge_src, windowed.actors, windowed.repos, cfg),
-        "actor_contribute_pr": E.weighted_edges(pr, E.PR_KEY, with_repo=False),
-        "actor_contribute_pr_belong_repo": E.weighted_edges(pr, E.PR_KEY, with_repo=True),
-        "actor_discussion_issue": E.weighted_edges(issue, E.ISSUE_KEY, with_repo=False),
-        "actor_discussion_issue_belong_repo": E.weighted_edges(issue, E.ISSUE_KEY, with_repo=True),
-        "pr_belong_repo": E.membership(pr, E.PR_KEY),
-        "issue_belong_repo": E.membership(issue, E.ISSUE_KEY),
-        "repo_with_feature": FT.repo_features(feature_src, base.repos, cfg),
-        "actor_with_feature": FT.actor_features(FT.actor_feature_events(feature_src, base.actors, cfg), cfg),
+    for c in cohorts:
+        for s in c.materialized:
+            keep(s)
+
+    slices = {s for t in wanted for s in TABLES[t]}
+    of: dict[str, DataFrame] = {}
+    if slices:
+        node_repos, node_actors = (keep(k) for k in node_keys(cohorts))
+        written = keep(materialize(node_events_plan(act, node_repos, node_actors, cfg, slices), partition_by=SLICE))
+        of = {s: written.df.where(F.col(SLICE) == s).drop(SLICE) for s in slices}
+
+    def weights(kind: str) -> DataFrame:
+        """The family's events per (actor, repository, item), aggregated and written once."""
+        if kind not in of:
+            events, key = (E.pr_events, E.PR_KEY) if kind == "pr" else (E.issue_events, E.ISSUE_KEY)
+            of[kind] = keep(materialize(E.item_weights(events(of[EDGE], base.actors, base.repos, cfg), key))).df
+        return of[kind]
+
+    make = {
+        "actor": lambda: C.actor_nodes(base.sample),
+        "repo": lambda: C.repo_nodes(base.sample),
+        "actor_star_repo": lambda: E.star_edges(windowed.sample),
+        "actor_fork_repo": lambda: E.fork_edges(of[EDGE], windowed.actors, windowed.repos, cfg),
+        "actor_contribute_pr": lambda: weights("pr").drop("repo_id"),
+        "actor_contribute_pr_belong_repo": lambda: weights("pr"),
+        "actor_discussion_issue": lambda: weights("issue").drop("repo_id"),
+        "actor_discussion_issue_belong_repo": lambda: weights("issue"),
+        "pr_belong_repo": lambda: E.membership(weights("pr"), E.PR_KEY),
+        "issue_belong_repo": lambda: E.membership(weights("issue"), E.ISSUE_KEY),
+        "repo_with_feature": lambda: FT.repo_features(of[REPO], base.repos, cfg),
+        "actor_with_feature": lambda: FT.actor_features(FT.actor_feature_events(of[ACTOR], base.actors, cfg), cfg),
     }
-    return GraphTables(tables, intermediates)
+    return {t: make[t]() for t in wanted}
 
 
 def _csv_ready(df: DataFrame) -> DataFrame:
@@ -206,30 +244,28 @@ def _csv_ready(df: DataFrame) -> DataFrame:
 
 
 def write_graph(graph: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
-                mode: str = "overwrite", release: bool = False, parallel_jobs: int = 4) -> dict[str, str]:
+                mode: str = "error", release: bool = False, parallel_jobs: int = 4) -> dict[str, str]:
     """Write every table to ``out_dir/<name>`` (parquet by default, or csv with a header).
 
     The tables are independent jobs over the shared intermediates; up to
     ``parallel_jobs`` of them are submitted at once (Spark runs jobs from
     different threads concurrently), so small tables do not leave the
-    cluster idle. ``release=True`` deletes the run's intermediate tables
-    after all writes finished.
+    cluster idle. An existing folder is an error unless ``mode`` says otherwise.
+    ``release=True`` deletes the run's intermediate tables afterwards, also
+    when a write failed.
     """
     def write_one(item):
         name, df = item
-        path = os.path.join(out_dir, name)
+        path = f"{out_dir.rstrip('/')}/{name}"
         if fmt == "csv":
             _csv_ready(df).write.mode(mode).option("header", "true").csv(path)
         else:
             df.write.mode(mode).format(fmt).save(path)
         return name, path
 
-    items = list(graph.items())
-    if parallel_jobs > 1:
-        with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
-            paths = dict(pool.map(write_one, items))
-    else:
-        paths = dict(map(write_one, items))
-    if release and isinstance(graph, GraphTables):
-        graph.release()
-    return paths
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
+            return dict(pool.map(write_one, list(graph.items())))
+    finally:
+        if release and isinstance(graph, GraphTables):
+            graph.release()

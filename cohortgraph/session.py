@@ -8,8 +8,9 @@ from pyspark.sql import SparkSession
 
 # Session settings the operators rely on. Adaptive execution re-plans joins and
 # coalesces small shuffle partitions at runtime; skew-join splits hot keys of
-# shuffled semi joins; the window-group-limit threshold is raised by
-# ``ensure_group_limit`` when a sample size needs it.
+# shuffled joins; ``rn <= k`` is planned as a WindowGroupLimit, which cuts each
+# group before the shuffle, only while k is at most the threshold below
+# (Spark's default is 1000): raise it for samples of more than a million.
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -17,6 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 
@@ -53,16 +55,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for checkpoints")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="cohortgraph-ckpt-"))
     return sc.getCheckpointDir()
-
-
-def ensure_group_limit(spark: SparkSession, k: int) -> None:
-    """Let Catalyst cut each window group to ``k`` rows before the shuffle.
-
-    ``rn <= k`` is planned as a partial WindowGroupLimit only while ``k`` is at
-    most ``spark.sql.optimizer.windowGroupLimitThreshold`` (default 1000).
-    Beyond it every event of a hot repository would cross the shuffle.
-    """
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    current = int(spark.conf.get(key, "1000"))
-    if current != -1 and k > current:  # -1: switched off on purpose, leave it
-        spark.conf.set(key, str(k))

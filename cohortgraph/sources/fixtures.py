@@ -7,17 +7,14 @@ FIXTURES.md, so that every registered query reads whole driver tables and its
 work grows with them. The DuckDB oracle in ``__spark_entry__`` applies the same
 rule in SQL.
 
-Both joins look up ``part`` through a key computed modulo a constant (200 for
-events, 25 for lineitem), so only ``part`` rows with a key below that constant
-can match. Filtering ``part`` to that key range first gives the broadcast side
-a size bound that does not grow with the data (``p_partkey`` is the part key).
+Repository ids are ``part`` keys and range over the whole of ``part``; a third of
+the events falls on ``HOT_REPOS`` of them, the rest spreads over all. Both joins
+are plain equi-joins on the part key, whose physical form is left to the
+optimizer's size estimates.
 """
 
 from __future__ import annotations
 
-import os
-import re
-import weakref
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,17 +25,16 @@ from ..functions.columns import ts_literal
 from .tables import normalise_activity, normalise_scores
 
 # Fixed values of the fixture mapping (FIXTURES.md).
-EVENT_PART_MODULUS = 200
-SCORE_PART_MODULUS = 25
-REPO_MODULUS = 25
+HOT_REPOS = 25
 RENAME_BEFORE = datetime(1998, 7, 1)
 WINDOW_START = datetime(1998, 1, 1)
 WINDOW_END = datetime(1999, 1, 1)
-TOP_N = 12
+TOP_N = 20
 OFFSET = 0
 PINNED_ORGS = ("Brand#1", "Brand#2")
 PINNED_NAMES = ("Brand#3/cold rod",)
-SAMPLE_PER_REPO_BY_SF = {0.001: 5, 0.01: 20, 0.1: 200}
+SAMPLE_PER_REPO = 5  # hot repositories have more stars at every scale
+OFFSET_QUERY = 7  # offset of the registered offset query
 # drill-down arguments used by the registered exploration queries
 HISTORY_ACTOR_ID = 7
 PROFILE_REPO_NAME = "repo-7"
@@ -50,24 +46,21 @@ def _idiv(name: str, n: int):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def _part_keys_below(part: DataFrame, bound: int) -> DataFrame:
-    return F.broadcast(part.filter((F.col("p_partkey") >= 0) & (F.col("p_partkey") < bound)))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def fixture_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _table(spark, sf_dir, "events")
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     e = F.col("event_id")
+    parts = part.agg(F.max("p_partkey") + 1).scalar()  # an uncorrelated scalar subquery
     k = F.get_json_object("props", "$.k").cast("bigint")
     ev = ev.withColumn("_k", k)
-    joined = ev.join(
-        _part_keys_below(part, EVENT_PART_MODULUS),
-        F.col("p_partkey") == (F.col("_k") + 10 * F.dayofmonth("ts")) % EVENT_PART_MODULUS,
-        "inner",
-    )
+    ev = ev.withColumn("_repo", F.when(F.col("_k") % 3 == 0, F.col("_k") % HOT_REPOS)
+                       .otherwise((e * 31 + F.col("_k")) % parts))
+    # the profile of a repository changes from day to day
+    ev = ev.withColumn("_part", (F.col("_repo") + 10 * F.dayofmonth("ts")) % parts)
+    joined = ev.join(part, F.col("p_partkey") == F.col("_part"), "inner")
     family = _idiv("event_id", 3) % 3
     etype = F.col("event_type")
     typ = (
@@ -84,7 +77,7 @@ def fixture_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
               .otherwise(F.lit("IssueCommentEvent")))
         .otherwise(etype)
     )
-    repo_id = F.col("_k") % REPO_MODULUS
+    repo_id = F.col("_repo")
     raw = joined.select(
         e.alias("event_id"),
         F.col("user_id").alias("actor_id"),
@@ -106,9 +99,8 @@ def fixture_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_returnflag", "l_linestatus", "l_extendedprice", "l_shipdate")
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    joined = li.join(_part_keys_below(part, SCORE_PART_MODULUS),
-                     F.col("p_partkey") == F.col("l_partkey") % SCORE_PART_MODULUS, "inner")
-    repo_id = F.col("l_partkey") % SCORE_PART_MODULUS
+    joined = li.join(part, F.col("p_partkey") == F.col("l_partkey"), "inner")
+    repo_id = F.col("l_partkey")
     renamed = (repo_id % 5 == 0) & (F.col("l_shipdate") < ts_literal(RENAME_BEFORE))
     raw = joined.select(
         repo_id.alias("repo_id"),
@@ -117,45 +109,20 @@ def fixture_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("org_login"),
         F.when(F.col("l_returnflag") == "R", F.lit("Gitee")).otherwise(F.lit("GitHub")).alias("platform"),
         F.when(F.col("l_linestatus") == "F", F.lit("Repo")).otherwise(F.lit("User")).alias("type"),
-        F.col("l_extendedprice").alias("openrank"),
+        (F.col("l_extendedprice") * F.when(repo_id < HOT_REPOS, 2.0).otherwise(1.0)).alias("openrank"),
         F.col("l_shipdate").alias("created_at"),
     )
     return normalise_scores(raw)
 
 
-def scale_factor(sf_dir: str) -> float | None:
-    m = re.search(r"sf[_-]?([0-9]*\.?[0-9]+)", os.path.basename(os.path.normpath(sf_dir)))
-    return float(m.group(1)) if m else None
-
-
-def fixture_config(sf_dir: str) -> ExtractConfig:
-    """The test configuration of FIXTURES.md; the sample size follows the scale factor."""
-    sf = scale_factor(sf_dir)
-    if sf in SAMPLE_PER_REPO_BY_SF:
-        k = SAMPLE_PER_REPO_BY_SF[sf]
-    else:
-        k = SAMPLE_PER_REPO_BY_SF[0.1]
+def fixture_config() -> ExtractConfig:
+    """The test configuration of FIXTURES.md, the same for every folder."""
     return ExtractConfig(
-        top_n=TOP_N, offset=OFFSET, start=WINDOW_START, end=WINDOW_END, sample_per_repo=k,
+        top_n=TOP_N, offset=OFFSET, start=WINDOW_START, end=WINDOW_END, sample_per_repo=SAMPLE_PER_REPO,
         pinned_orgs=PINNED_ORGS, pinned_names=PINNED_NAMES,
     )
 
 
-_INPUTS: "weakref.WeakKeyDictionary[SparkSession, dict[str, tuple[DataFrame, DataFrame]]]" = \
-    weakref.WeakKeyDictionary()
-
-
 def fixture_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, ExtractConfig]:
-    """(rank_scores, activity, config) for one driver scale-factor folder.
-
-    The two input definitions are lazy plans (nothing is cached); they are
-    kept per live session and folder so repeated queries skip re-resolving the
-    parquet footers and schemas. A stopped or collected session never hands
-    its plans to another one.
-    """
-    per_session = _INPUTS.setdefault(spark, {})
-    key = os.path.abspath(sf_dir)
-    if key not in per_session or per_session[key][0].sparkSession is not spark:
-        per_session[key] = (fixture_scores(spark, sf_dir), fixture_activity(spark, sf_dir))
-    scores, act = per_session[key]
-    return scores, act, fixture_config(sf_dir)
+    """(rank_scores, activity, config) for one folder of driver tables; lazy plans, built anew on every call."""
+    return fixture_scores(spark, sf_dir), fixture_activity(spark, sf_dir), fixture_config()

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import YEAR_COLUMN
+
 SCORE_COLUMNS = ("repo_id", "repo_name", "org_login", "platform", "type", "openrank", "created_at")
 ACTIVITY_COLUMNS = ("event_id", "actor_id", "repo_id", "repo_name", "created_at", "platform", "type",
                     "issue_number", "repo_language", "repo_topics", "repo_description")
@@ -56,7 +58,9 @@ def normalise_activity(df: DataFrame) -> DataFrame:
             raise ValueError("activity needs an event_id column (the sample's tie-break)")
         else:
             cols.append(F.lit(None).alias(name))
-    out = df.select(*cols)
+    # the year folders of a stored table stay, so that a window prunes them
+    year = [F.col(YEAR_COLUMN)] if YEAR_COLUMN in df.columns else []
+    out = df.select(*cols, *year)
     return out.select(
         F.col("event_id").cast("bigint"),
         F.col("actor_id").cast("bigint"),
@@ -69,6 +73,7 @@ def normalise_activity(df: DataFrame) -> DataFrame:
         F.col("repo_language").cast("string"),
         F.col("repo_topics"),
         F.col("repo_description").cast("string"),
+        *year,
     )
 
 
@@ -103,24 +108,25 @@ def write_activity(act: DataFrame, path: str, num_partitions: int | None = None,
                    mode: str = "error") -> None:
     """Store the activity log in the layout the extraction reads fastest.
 
-    Folders are partitioned by ``platform`` and ``type``: every operator filters
-    on both, so a scan only lists the folders of the event types it needs
-    (partition pruning). Rows are range-partitioned on (platform, type,
-    repo_id, created_at) before the write, so a hot event type is spread over
-    many tasks instead of one, and every file holds a narrow range of
-    repositories and times: parquet row-group statistics then skip on the
-    time window and on repository ids. Pick ``num_partitions`` near the
-    data size over the target file size (e.g. 100 TB / 1 GB = 100k); the
-    default is the session's shuffle partition count.
+    Folders are ``platform`` / ``event_year`` / ``type``: every operator filters on
+    platform and type, and the in-window ones on the years of the window
+    (``windowed_rows`` adds that folder condition to the time range), so a scan
+    lists only the folders it needs. Rows are range-partitioned on these
+    columns, repository and time before the write, so a hot event type is
+    spread over many tasks instead of one, and a file holds a narrow range of
+    repositories, which row-group statistics can skip on. Pick
+    ``num_partitions`` near the data size over the target file size (e.g.
+    100 TB / 1 GB = 100k); the default is the session's shuffle partition count.
     """
     spark = act.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["platform", "type", "repo_id", "created_at"]
-    (normalise_activity(act)
+    folders = ["platform", YEAR_COLUMN, "type"]
+    keys = [*folders, "repo_id", "created_at"]
+    (normalise_activity(act).withColumn(YEAR_COLUMN, F.year("created_at"))
      .repartitionByRange(n, *keys)
      .sortWithinPartitions(*keys)
      .write.mode(mode)
-     .partitionBy("platform", "type")
+     .partitionBy(*folders)
      .parquet(path))
 
 
