@@ -45,7 +45,7 @@ def condense(plan: str) -> list[str]:
 
 
 def main() -> None:
-    import __spark_entry__ as E
+    from cohortgraph.plans.registry import QUERIES
     from cohortgraph.plans.checks import physical_plan
     from cohortgraph.session import local_session
 
@@ -53,10 +53,9 @@ def main() -> None:
     spark = local_session()
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `python -m tests.plan_report {sf}` (local[*], 8 shuffle partitions). "
-          "Cohort-based queries read the materialised candidate set and star sample (parquet under "
-          "`spark.checkpoint.dir`, shown as scans of the checkpoint folder); the fixture's `part` lookups "
-          "are bounded broadcasts.\n")
-    for name, q in sorted(E.queries().items()):
+          "The `graph_*` queries read the intermediates of `extract_graph` (parquet under "
+          "`spark.checkpoint.dir`, shown as scans of the checkpoint folder); all others are one plan.\n")
+    for name, q in sorted(QUERIES.items()):
         plan = physical_plan(q(spark, sf), "simple")
         print(f"## {name}\n\n```")
         print("\n".join(condense(plan)))
@@ -64,7 +63,7 @@ def main() -> None:
 
     from cohortgraph.functions.joins import materialize
     from cohortgraph.operators import cohort as C
-    from cohortgraph.plans.graph import node_keys, build_cohort, node_events_plan
+    from cohortgraph.plans.graph import build_cohort, node_events_plan, node_keys, pass_one_plan
     from cohortgraph.sources.fixtures import fixture_inputs
 
     scores, act, cfg = fixture_inputs(spark, sf)
@@ -75,7 +74,7 @@ def main() -> None:
         "computation of the star sample (one round: few input tasks)": C.sample_recent(act, cand, cfg),
         "computation of the star sample (two rounds, fan-in 4, as on many input tasks)":
             C.sample_recent(act, cand, cfg.with_(topk_fan_in=4)),
-        "extract_graph pass 1: star events of the candidates (written once)": C.candidate_stars(act, cand, cfg),
+        "extract_graph pass 1: newest stars of the candidates (written once)": pass_one_plan(act, cand, cfg),
         "extract_graph pass 2: node events (written once; every edge and feature table reads it)":
             node_events_plan(act, *node_keys([base, win]), cfg),
     }

