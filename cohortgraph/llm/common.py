@@ -32,7 +32,7 @@ def text_key(col: Column) -> list[Column]:
 
 
 def arrow_rows(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterable[dict] | dict],
-               batch_chars: int = 4_000_000) -> DataFrame:
+               batch_chars: int = 1_000_000) -> DataFrame:
     """``mapInArrow`` with a function from one batch to one dict of columns (or several).
 
     The text batches that Spark sends are bounded by rows, not bytes, so each

@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ from .common import arrow_rows, fresh
 
 BLANK = "▁"
 LONGEST = 62  # borders of a unit fit one bigint
-DICTIONARY = 300_000
+DICTIONARY, MEMORY = 150_000, 100_000
 
 
 class Model:
@@ -62,6 +63,8 @@ class Model:
         self.kind, self.unknown, self.byte_ids = kind, unknown, byte_ids
         self.ids = {p: i for (p, _), i in zip(pieces, ids or range(first_id, first_id + len(pieces)))}
         self.score = dict(pieces)
+        self.costs = {p: -s for p, s in pieces}
+        self.cost = self.costs.get
         self.longest = max((len(p) for p in self.ids), default=1)
         inside = {c for p in self.ids if len(p) > 1 for c in p}
         # with a unit for every other character the pattern stays short: only blanks and inner characters join
@@ -104,18 +107,19 @@ class Model:
         return [self.byte_ids[b] for b in part.encode()] if self.byte_ids else [self.unknown]
 
     def merged(self, unit: str) -> list[str]:
-        parts, score = list(unit), self.score
+        parts, cost = list(unit), self.cost
         if len(parts) > 32:
             return self.merged_long(parts)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
+        none = float("inf")
+        pairs = [cost(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) != none:
+            at = pairs.index(best)  # the leftmost
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = cost(parts[at] + parts[at + 1], none)
+            if at:
+                pairs[at - 1] = cost(parts[at - 1] + parts[at], none)
         return parts
 
     def merged_long(self, parts: list[str]) -> list[str]:
@@ -285,7 +289,7 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
             state["units"] = re.compile(sent.value[0].pattern).findall
             state["memory"] = {}
         (rule, frequent), memory, units = sent.value, state["memory"], state["units"]
-        if len(memory) > 200_000:
+        if len(memory) > MEMORY:
             memory.clear()
         out, offsets, absent = [], [0], []
         for text in batch.column(at).to_pylist():
@@ -293,7 +297,7 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
             for u in units(BLANK + text.replace(" ", BLANK)) if text else ():
                 ids = frequent.get(u) or memory.get(u)
                 if ids is None:
-                    ids = np.asarray(rule.encode_unit(u), np.int32).tobytes()
+                    ids = array("i", rule.encode_unit(u)).tobytes()
                     if len(u) <= LONGEST:
                         memory[u] = ids
                 parts.append(ids)
@@ -308,19 +312,12 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
 
 
 def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of ``ids_col`` in ``out_col``."""
-    sent = encoded.sparkSession.sparkContext.broadcast(model.bytes_of)
-    names = encoded.columns
-    at = [n.lower() for n in names].index(ids_col.lower())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{out_col}` string"
-
-    def work(batch):
-        piece = sent.value.__getitem__
-        texts = [None if ids is None else b"".join(map(piece, ids.values.to_pylist())).decode("utf-8", "replace")
-                 for ids in batch.column(at)]
-        return {**{n: batch.column(i) for i, n in enumerate(names)}, out_col: [t and t[1:] for t in texts]}
-
-    return arrow_rows(encoded, schema, work)
+    """``encoded`` with the text of ``ids_col`` in ``out_col``: the pieces' bytes, joined, without the leading blank."""
+    # one constant array for the whole vocabulary; a piece may be part of a character, so bytes are joined in hex
+    pieces = F.split(F.lit(" ".join(b.hex() or "-" for b in model.bytes_of)), " ")
+    joined = F.replace(F.array_join(F.transform(F.col(f"`{ids_col}`"), lambda i: F.get(pieces, i)), ""), F.lit("-"))
+    text = F.make_valid_utf8(F.unhex(joined).cast("string"))
+    return encoded.withColumn(out_col, F.substring(text, F.lit(2), F.length(text)))
 
 
 def default_model() -> Model:

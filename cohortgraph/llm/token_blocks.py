@@ -173,7 +173,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             return out
 
         for batch in batches:
-            for piece in cut(batch, 4_000_000):
+            for piece in cut(batch, 1_000_000):
                 encoded = encoder.encode(piece.column(1).to_pylist())
                 for doc_id, ids in zip(piece.column(0).to_pylist(), encoded):
                     docs_.append((doc_id, ids + end))
