@@ -17,7 +17,7 @@ Defined cases
     * items shorter than ``min_chars`` after normalisation match nothing: they
       are too short to tell a leak from chance.
     * rows that share a doc_id are judged row by row; the same item twice in
-      the benchmark is reported once per item_id.
+      the benchmark is reported once per row; an item without id has a null id.
     * ties: the leftmost end with the least distance is reported.
     * extra columns are not looked at (``find_leaks``) or kept (``clean``).
 """
@@ -114,7 +114,7 @@ class Matcher:
                     best = (distance, a + end)
             if best:
                 found.append({"item_id": item_id, "distance": best[0], "end": best[1]})
-        return sorted(found, key=lambda x: x["item_id"])
+        return sorted(found, key=lambda x: (x["item_id"] is None, x["item_id"] or 0))
 
     @staticmethod
     def spans(starts: list[int], m: int, budget: int, length: int):

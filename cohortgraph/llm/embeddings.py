@@ -188,7 +188,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     if found is None:
         found = rows.limit(0).select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("linked"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    joined = components(found.where("linked is not null").select("id", "linked"), "id", "linked")
+    joined = components(found.where("linked is not null").select("id", "linked"), "id", "linked").df
     whole = (rows.select("id", "good", "k1", "k2").join(copies, ["k1", "k2"], "left")
              .select("id", F.when(F.col("good"), F.col("rep")).otherwise(F.col("id")).alias("rep"),
                      F.when(F.col("good"), F.col("weight") - 1).otherwise(F.lit(0)).alias("same")))

@@ -46,12 +46,12 @@ def test_pieces_make_up_the_item():
 def test_every_leak_within_the_budget_is_found_and_no_other(spark, documents):
     rng = random.Random(2)
     words = sorted({w for _, t in documents for w in t.split()})
-    items = [" ".join(rng.choice(words) for _ in range(rng.randint(8, 40))) for _ in range(12)]
+    items = [" ".join(rng.choice(words) for _ in range(rng.randint(5, 14))) for _ in range(6)]
     texts = []
-    for n in range(120):
-        around = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(2)]
+    for n in range(60):
+        around = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(2)]
         k = rng.randrange(len(items))
-        texts.append(f"{around[0]} {edited(rng, items[k], rng.randint(0, 30))}\n {around[1]}" if n % 3 else " ".join(around))
+        texts.append(f"{around[0]} {edited(rng, items[k], rng.randint(0, 9))}\n {around[1]}" if n % 3 else " ".join(around))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     want = {}
