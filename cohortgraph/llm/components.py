@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import materialize
+from ..functions.joins import Sized, materialize
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+BROADCAST_ROWS = 1_000_000
+
+
+def small(table: Sized) -> DataFrame:
+    """A counted table, broadcast if it is small; beyond that the join shuffles."""
+    return F.broadcast(table.df) if table.rows <= BROADCAST_ROWS else table.df
+
+
+def components(links: DataFrame, a: str, b: str) -> Sized:
     """(node, component): the least node reachable, for every node that has a link.
 
     Each round every node takes the least label among its neighbours' and its
@@ -18,19 +26,15 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     the number of changed labels comes to the driver.
     """
     both = links.select(F.col(a).alias("src"), F.col(b).alias("dst"))
-    edges = materialize(both.union(both.select("dst", "src")).distinct()).df
-    labels = materialize(edges.groupBy("src").agg(F.min("dst").alias("low"))
-                         .select(F.col("src").alias("node"), F.least("src", "low").alias("component"))).df
+    both = both.union(both.select("dst", "src"))
+    edges = materialize(both.union(both.select("src", F.col("src").alias("dst"))).distinct()).df  # and each node with itself
+    labels = materialize(edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component")))
     while True:
-        near = (edges.join(labels, edges["dst"] == labels["node"]).groupBy("src")
-                .agg(F.min("component").alias("low")).withColumnRenamed("src", "near_node"))
-        step = materialize(labels.join(near, labels["node"] == near["near_node"], "left")
-                           .select("node", F.col("component").alias("old"),
-                                   F.least("component", "low").alias("component"))).df
-        up = step.select(F.col("node").alias("up"), F.col("component").alias("far"))
-        after = materialize(step.join(up, step["component"] == up["up"], "left")
-                            .select("node", "old", F.coalesce("far", "component").alias("component"))).df
-        changed = after.where("old <> component").limit(1).count()
-        labels = after.select("node", "component")
-        if not changed:
+        old = small(labels).select(F.col("node").alias("dst"), "component")
+        near = materialize(edges.join(old, "dst").groupBy("src").agg(
+            F.min("component").alias("near"), F.min(F.when(F.col("src") == F.col("dst"), F.col("component"))).alias("old")))
+        up = small(near).select(F.col("src").alias("near"), F.col("near").alias("far"))
+        step = materialize(near.df.join(up, "near").select(F.col("src").alias("node"), "old", F.col("far").alias("component")))
+        labels = Sized(step.df.select("node", "component"), step.rows, step.path)
+        if not step.df.where("old <> component").limit(1).count():
             return labels

@@ -15,13 +15,16 @@ Steps
     2. Exact copies collapse onto their least doc_id (map-side aggregate).
     3. Different texts that share a band key form a bucket. All members are
        verified against the bucket's least member, and the links' components
-       found. Members that are then in different components are verified
-       further: up to ``PIVOTS`` members outside the largest component serve
-       as pivots at a time, until every pair of different components in the
-       bucket has been compared or ruled out. The distance 1 - similarity is a
-       metric, so a pair whose distances to the first pivot differ by more
-       than 0.2 needs no comparison. No bucket is cut or sampled, and a bucket
-       of n copies of one another costs n comparisons, not n * n.
+       found: a bucket of n near copies costs n verifications, not n * n. Where
+       members of a bucket are then in different components, those outside its
+       largest component are compared with all members, block by block: pairs
+       of different components whose signatures agree in at least ``LIKELY`` of the
+       registers (more than four standard errors below 0.8) are compared by
+       their shingles, each pair in the first band that it shares. A block returns
+       a spanning forest of the links it found, never more rows than members.
+       The distance 1 - similarity is a metric, so a pair whose distances to the
+       bucket's least member differ by more than 0.2 needs no comparison.
+       No bucket is cut or sampled.
     4. Verification computes the probability Jaccard similarity of the full
        shingle sets; links have 0.8 or more.
 
@@ -38,23 +41,25 @@ Defined cases
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import materialize, restrict_to
-from .common import WORD, arrow_rows, hash_words, mix64, ngram_hashes, text_key
-from .components import components
+from ..functions.joins import Sized, materialize, restrict_to
+from .common import WORD, arrow_rows, hash_words, mix64, ngram_hashes, ship, text_key
+from .components import components, small
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 6, 32
-PIVOTS = 16
+LIKELY = 0.68
+PIVOT_ROWS, MEMBER_ROWS = 512, 2048
 BROADCAST_IDS = 2_000_000
 
 
 # ------------------------------------------------------- shingles and sketches
 
 def shingles(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(distinct shingle hashes, their counts) of each text; a short text is one shingle."""
+    """(distinct shingle hashes in rising order, their counts) of each text; a short text is one shingle."""
     words = [WORD.findall(t) if t else [] for t in texts]
     hashed = hash_words([w for ws in words for w in ws])
     out, at = [], 0
@@ -62,7 +67,7 @@ def shingles(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         mine = hashed[at:at + len(ws)]
         at += len(ws)
         grams = ngram_hashes(mine, SHINGLE) if len(mine) >= SHINGLE else ngram_hashes(mine, max(1, len(mine)))
-        out.append(np.unique(grams, return_counts=True))
+        out.append(np.unique(grams.view(np.int64), return_counts=True))
     return out
 
 
@@ -71,7 +76,7 @@ def sketches(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.nd
     sizes = [len(h) for h, _ in sets]
     first = np.zeros(len(sets) * registers) + np.inf
     winner = np.zeros(len(sets) * registers, np.uint64)
-    element = np.concatenate([h for h, _ in sets] or [np.zeros(0, np.uint64)])
+    element = np.concatenate([h for h, _ in sets] or [np.zeros(0, np.int64)]).view(np.uint64)
     rate = np.concatenate([c for _, c in sets] or [np.zeros(0)]).astype(np.float64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     seed, time = element.copy(), np.zeros(len(element))
@@ -102,7 +107,11 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     (ha, ca), (hb, cb) = a, b
     if not len(ha) or not len(hb):
         return 0.0
-    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    if len(ha) > len(hb):
+        (ha, ca), (hb, cb) = (hb, cb), (ha, ca)  # the similarity is symmetric
+    to = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
+    ia = np.flatnonzero(hb[to] == ha)
+    ib = to[ia]
     if not len(ia):
         return 0.0
     p, q = ca / ca.sum(), cb / cb.sum()
@@ -127,12 +136,13 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
              .select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *text_key(F.col(text_col))))
 
     def work(batch):
-        sigs = band_keys(sketches(shingles(batch.column(1).to_pylist()), BANDS * ROWS))
+        signatures = sketches(shingles(batch.column(1).to_pylist()), BANDS * ROWS)
+        short = (mix64(signatures) & np.uint64(255)).astype(np.uint8)
         has = [bool(t and WORD.search(t)) for t in batch.column(1).to_pylist()]
         return {"doc_id": batch.column(0), "k1": batch.column(2), "k2": batch.column(3),
-                "bands": [list(s) if h else None for s, h in zip(sigs, has)]}
+                "bands": [k if h else None for k, h in zip(band_keys(signatures), has)], "sig": [r.tobytes() for r in short]}
 
-    sketched = materialize(arrow_rows(keyed, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>", work)).df
+    sketched = materialize(arrow_rows(keyed, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>, sig binary", work)).df
     texts = materialize(sketched.where("bands is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"))).df
     member = (sketched.select("doc_id", "k1", "k2").join(texts, ["k1", "k2"], "left")
               .select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of")).groupBy("doc_id")
@@ -140,71 +150,142 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes = texts.groupBy(F.col("copy_of").alias("doc_id")).agg(F.min(F.struct("k1", "k2")).alias("k")).select("doc_id", "k.*")
     banded = materialize(sketched.where("bands is not null").join(nodes, ["doc_id", "k1", "k2"], "left_semi")
                          .select(F.explode("bands").alias("band"), F.col("doc_id").alias("x"))).df
-    joined = components(link_texts(banded, keyed, nodes), "x", "p")
+    joined = linked_texts(banded, keyed, nodes, sketched)
+    joined = small(joined)
     return (member.join(joined, member["copy_of"] == joined["node"], "left")
             .select("doc_id", "copy_of", F.coalesce("component", "copy_of").alias("cluster_id")))
 
 
-def link_texts(banded: DataFrame, keyed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(x, p): verified links that hold every component of similar texts together."""
+def linked_texts(banded: DataFrame, keyed: DataFrame, nodes: DataFrame, sketched: DataFrame) -> Sized:
+    """(node, component): the components of verified links between texts."""
     buckets = materialize(banded.groupBy("band").agg(F.min("x").alias("first"), F.max("x").alias("last"))
-                          .where("first < last").select("band", "first")).df
-    state = materialize(banded.join(buckets, "band")).df
+                          .where("first < last").select("band", "first"))
+    state = materialize(banded.join(small(buckets), "band")).df
     ids = materialize(state.select(F.col("x").alias("doc_id")).distinct())
-    wanted = nodes.join(ids.df, "doc_id", "left_semi")
+    wanted = nodes.join(small(ids), "doc_id", "left_semi")
     texts = restrict_to(keyed, ids, "doc_id", BROADCAST_IDS)
-    texts = materialize(texts.join(wanted, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"])
-                        .select("doc_id", "text")).df
-    seen = materialize(similarity(state.where("x <> first").select("x", F.col("first").alias("p")).distinct(), texts)).df
-    links = seen.where(F.col("s") >= THRESHOLD).select("x", "p")
-    # what is left of a bucket: its members but the first, with their similarity to it
-    state = (state.where("x <> first").join(seen.select("x", F.col("p").alias("first"), "s"), ["x", "first"])
-             .select("band", "x", "s"))
-    while True:
-        joined = components(links, "x", "p")
-        named = state.join(joined, state["x"] == joined["node"], "left").select(
-            "band", "x", "s", F.coalesce("component", "x").alias("component"))
-        named = materialize(named).df
-        sizes = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-        open_ = materialize(sizes.groupBy("band").agg(
-            F.max(F.struct("n", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low < high").select("band", F.col("top.component").alias("top")))
-        if not open_.rows:
-            return links
-        named = materialize(named.join(open_.df, "band")).df
-        pivots = materialize(named.where("component <> top").groupBy("band", F.pmod("x", F.lit(PIVOTS)).alias("part"))
-                             .agg(F.min(F.struct("x", "component", "s")).alias("v"))
-                             .select("band", F.col("v.x").alias("p"), F.col("v.component").alias("p_component"),
-                                     F.col("v.s").alias("p_s"))).df
-        near = (F.col("component") != F.col("p_component")) & (F.abs(F.col("s") - F.col("p_s")) <= 1 - THRESHOLD + 1e-9)
-        pairs = (named.join(pivots, (named["band"] == pivots["band"]) & near)
-                 .select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
-                 .join(seen.select("x", "p"), ["x", "p"], "left_anti"))
-        pairs = materialize(pairs)
-        state = materialize(named.join(pivots.select("band", F.col("p").alias("x")), ["band", "x"], "left_anti")
-                            .select("band", "x", "s")).df
-        if pairs.rows:
-            more = materialize(similarity(pairs.df, texts)).df
-            seen = materialize(seen.union(more)).df
-            links = seen.where(F.col("s") >= THRESHOLD).select("x", "p")
-
-
-def similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(x, p, s): the probability Jaccard similarity of each pair of texts."""
-    with_x = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x")), "x")
-    both = with_x.join(texts.select(F.col("doc_id").alias("p"), F.col("text").alias("text_p")), "p")
+    sets = materialize(shingle_sets(texts.join(wanted, ["doc_id", "k1", "k2"], "left_semi").select("doc_id", "text"))
+                       .dropDuplicates(["doc_id"])).df
+    seen = materialize(similarity(state.where("x <> first").select("x", F.col("first").alias("p")).distinct(), sets))
+    links = seen.df.where(F.col("s") >= THRESHOLD).select("x", "p")
+    # of each bucket: its members with their similarity to the first
+    state = (state.join(small(seen).select("x", F.col("p").alias("first"), "s"), ["x", "first"], "left")
+             .select("band", "x", F.coalesce("s", F.lit(1.0)).alias("s")))
+    joined = components(links, "x", "p")
+    label = small(joined)
+    named = materialize(state.join(label, state["x"] == label["node"], "left").select(
+        "band", "x", "s", F.coalesce("component", "x").alias("component"))).df
+    sizes = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = materialize(sizes.groupBy("band").agg(
+        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"),
+        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        .select("band", F.col("top.component").alias("top"),
+                F.ceil((F.col("all") - F.col("top.n")) / PIVOT_ROWS).cast("int").alias("n_pb"),
+                F.ceil(F.col("all") / MEMBER_ROWS).cast("int").alias("n_mb")))
+    if not mixed.rows:
+        return joined
+    members = named.join(small(mixed), "band")
+    ids = materialize(members.select(F.col("x").alias("doc_id")).distinct())
+    known = (sketched.join(small(ids), "doc_id", "left_semi").join(nodes, ["doc_id", "k1", "k2"], "left_semi")
+             .select("doc_id", "sig", "bands").dropDuplicates(["doc_id"])
+             .join(sets.select("doc_id", F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int")).alias("h"),
+                               F.col("counts").alias("c")), "doc_id").withColumnRenamed("doc_id", "x"))
+    more = materialize(_links_between(members.join(known, "x")))
+    if not more.rows:
+        return joined
+    verified = similarity(more.df, sets).where(F.col("s") >= THRESHOLD).select("x", "p")
+    return components(links.union(verified), "x", "p")
+
+
+def _links_between(members: DataFrame) -> DataFrame:
+    """(x, p): links that span the components which the members of each bucket still fall into."""
+    def deal(parts: str):
+        return F.pmod(F.xxhash64(F.lit(1), "x"), F.col(parts)).cast("int")
+
+    def every(parts: str):
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    columns = ["band", "pb", "mb", "pivot", "x", "component", "s", "sig", "bands", "h", "c"]
+    pivots = (members.where("component <> top").withColumn("pb", deal("n_pb")).withColumn("mb", every("n_mb"))
+              .withColumn("pivot", F.lit(True)))
+    rest = members.withColumn("mb", deal("n_mb")).withColumn("pb", every("n_pb")).withColumn("pivot", F.lit(False))
+    ship(members.sparkSession.sparkContext)
+
+    def work(table: pa.Table) -> pa.Table:
+        x, p = compare(table)
+        return pa.table({"x": pa.array(np.maximum(x, p)), "p": pa.array(np.minimum(x, p))})
+
+    return (pivots.select(*columns).union(rest.select(*columns)).groupBy("band", "pb", "mb")
+            .applyInArrow(work, "x bigint, p bigint").distinct())
+
+
+def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between different components in one block of a bucket.
+
+    Shingles are compared by the upper halves of their hashes here; the links
+    are verified once more afterwards.
+    """
+    pivot = np.array(table.column("pivot").to_pylist(), bool)
+    ids, component, s = (table.column(c).to_numpy() for c in ("x", "component", "s"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    band, hashes, counts = table.column("band")[0].as_py(), table.column("h"), table.column("c")
+    ps, ms = np.flatnonzero(pivot), np.flatnonzero(~pivot)
+    found = [np.zeros((3, 0))]
+    for at in range(0, len(ps), 16):
+        rows = ps[at:at + 16]
+        agree = (sig[rows][:, None, :] == sig[ms][None]).mean(axis=2)
+        alike = (agree - 1 / 256) / (1 - 1 / 256)  # registers are compared by one byte
+        on = (alike >= LIKELY) & (component[rows][:, None] != component[ms]) & (
+            np.abs(s[rows][:, None] - s[ms]) <= 1 - THRESHOLD + 1e-9)
+        i, j = np.nonzero(on)
+        both = bands[rows[i]] == bands[ms[j]]
+        here = bands[rows[i], both.argmax(axis=1)] == band  # the first band they share
+        i, j = i[here], j[here]
+        found.append(np.stack([alike[i, j], rows[i], ms[j]]))
+    pairs = np.concatenate(found, axis=1)
+    pairs = pairs[1:, np.argsort(-pairs[0], kind="stable")].astype(np.int64)
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    used = {k: (hashes[k].values.to_numpy(), counts[k].values.to_numpy()) for k in np.unique(pairs).tolist()}
+    group, keep = component.tolist(), []
+    for k, (i, j) in enumerate(zip(*pairs)):
+        a, b = find(group[i]), find(group[j])
+        if a != b and probability_jaccard(used[i], used[j]) >= THRESHOLD - 1e-3:
+            root[a] = b
+            keep.append(k)
+    return ids[pairs[0, keep]], ids[pairs[1, keep]]
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(doc_id, hashes, counts) of (doc_id, text): each text's distinct shingles and how often it has them."""
+    def work(batch):
+        sets = shingles(batch.column(1).to_pylist())
+        return {"doc_id": batch.column(0), "hashes": [h for h, _ in sets], "counts": [c for _, c in sets]}
+
+    return arrow_rows(texts.select("doc_id", "text"), "doc_id bigint, hashes array<bigint>, counts array<int>", work)
+
+
+def similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, p, s): the probability Jaccard similarity of each pair of shingle sets."""
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("doc_id").alias(name), F.col("hashes").alias(f"h_{name}"), F.col("counts").alias(f"c_{name}"))
+
+    both = pairs.join(side("x"), "x").join(side("p"), "p")
 
     def work(batch):
-        x, p, text_x, text_p = (batch.column(i) for i in range(4))
-        pivot = {}
-        ids = p.to_pylist()
-        for k, key in enumerate(ids):
-            pivot.setdefault(key, k)
-        sets = dict(zip(pivot, shingles([text_p[k].as_py() for k in pivot.values()])))
-        s = [probability_jaccard(a, sets[key]) for a, key in zip(shingles(text_x.to_pylist()), ids)]
-        return {"x": x, "p": p, "s": s}
+        h_x, c_x, h_p, c_p = (batch.column(i) for i in range(2, 6))
+        s = [probability_jaccard((hx.values.to_numpy(), cx.values.to_numpy()), (hp.values.to_numpy(), cp.values.to_numpy()))
+             for hx, cx, hp, cp in zip(h_x, c_x, h_p, c_p)]
+        return {"x": batch.column(0), "p": batch.column(1), "s": s}
 
-    return arrow_rows(both.select("x", "p", "text_x", "text_p"), "x bigint, p bigint, s double", work)
+    return arrow_rows(both.select("x", "p", "h_x", "c_x", "h_p", "c_p"), "x bigint, p bigint, s double", work)
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
@@ -215,5 +296,4 @@ def op6_minhash(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each cluster: the one with the least doc_id."""
     gone = materialize(clusters(docs).where("doc_id <> cluster_id").select("doc_id"))
-    side = F.broadcast(gone.df) if gone.rows <= BROADCAST_IDS else gone.df
-    return docs.join(side, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(small(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -94,7 +94,7 @@ def test_cluster_odd_cases(spark, odd, none):
 
 def test_components_of_a_long_chain(spark):
     rows = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(rows, "a bigint, b bigint"), "a", "b").collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(rows, "a bigint, b bigint"), "a", "b").df.collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
 
 
