@@ -242,9 +242,12 @@ class Network:
         return g, loss
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 48, rate: float = 0.01,
+def train(texts: list[str], labels: list[int], epochs: int = 6, least_steps: int = 300, batch: int = 48, rate: float = 0.01,
           train_windows: int = 16, seed: int = 11, **sizes) -> Network:
-    """A network that has learnt from each document's worst window (Adam, cross-entropy)."""
+    """A network that has learnt from each document's worst window (Adam, cross-entropy).
+
+    There are ``epochs`` epochs, or as many as ``least_steps`` steps need.
+    """
     net, y = Network(**sizes), np.asarray(labels, np.float32)
     if len(y) == 0 or y.min() == y.max():
         net.constant = float(y.mean()) if len(y) else 0.0
@@ -258,7 +261,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 48,
     known = joined([features(listed[k:k + 20_000]) for k in range(0, len(listed), 20_000)])
     rng = np.random.default_rng(seed)
     moments = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in net.p.items()}
-    step, total = 0, epochs * -(-len(docs) // batch)
+    per_epoch = -(-len(docs) // batch)
+    epochs = max(epochs, -(-least_steps // per_epoch))
+    step, total = 0, epochs * per_epoch
     for _ in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(docs), batch):

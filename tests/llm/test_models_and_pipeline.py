@@ -31,7 +31,7 @@ def insults(n, rng):
 
 def test_network_learns_and_reads_every_window():
     texts, labels = insults(500, random.Random(10))
-    net = toxicity.train(texts[:360], labels[:360], epochs=5)
+    net = toxicity.train(texts[:360], labels[:360])
     scorer = toxicity.Scorer(net)
     right = (scorer.scores(texts[360:]) >= toxicity.THRESHOLD) == (np.array(labels[360:]) == 1)
     assert right.mean() > 0.9
@@ -68,7 +68,7 @@ def test_gradient_is_the_slope():
 def test_held_out_rows_and_odd_cases(spark, odd, none):
     labels = spark.createDataFrame([(d, 1, int(d in (8, 9))) for d in range(1, 18)] + [(None, 1, 1), (4, None, None)],
                                    "doc_id bigint, quality int, toxic int")
-    net = toxicity.fit(odd, labels, epochs=1)
+    net = toxicity.fit(odd, labels, epochs=1, least_steps=1)
     got = toxicity.score(odd.drop("score"), net).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
     bare = [r["score"] for r in got if not (r["text"] or "").strip()]
@@ -100,7 +100,7 @@ def test_ids_are_the_librarys_and_decode_back(spark, odd, documents, dictionary)
 
 def test_relational_lattice_is_the_rule(spark, documents):
     model = lattice.default_model()
-    units = lattice.frequent_units(spark.createDataFrame(documents, "doc_id bigint, text string"), model, "text", 10 ** 9)
+    units = lattice.frequent_units(spark.createDataFrame(documents, "doc_id bigint, text string"), "text", 10 ** 9)
     for u, ids in lattice.encode_units(units, model).collect():
         assert list(ids) == model.encode_unit(u), u
 
