@@ -1,14 +1,15 @@
 """SentencePiece encoding and decoding over a relational lattice of pieces.
 
 The text gets its leading blank, blanks become U+2581, and it is split into
-units: blanks with the characters that follow them. A character that stands in
-no longer piece (a line feed, say) is a unit of its own. No piece reaches over
-the border of two units, so each unit is encoded alone, and a unit's ids are
-the same wherever it occurs.
-
-Dictionary (Spark): all units of all texts are counted; the most frequent ones
-- as many whole count levels as fit ``dictionary`` units - are encoded
-relationally. Their substrings up to the longest piece are exploded, joined to
+units: blanks with the characters that follow them, a word's letters apart from a
+stop after them. A character that stands in no longer piece (a line feed, say) is a
+unit of its own. No piece reaches over the border of two units (``Model`` looks at
+the whole vocabulary for that), so each unit is encoded alone, and a unit's ids
+are the same wherever it occurs.
+
+Dictionary (Spark): all words of letters in all texts are counted; the most frequent
+ones - as many whole count levels as fit ``dictionary`` units - are encoded
+relationally, with the blank before them. Their substrings up to the longest piece are exploded, joined to
 the piece table (bounded by the vocabulary), grouped by unit, and folded with
 the higher-order ``aggregate``:
 
@@ -52,7 +53,8 @@ from .common import arrow_rows, fresh
 
 BLANK = "▁"
 LONGEST = 62  # borders of a unit fit one bigint
-DICTIONARY, MEMORY = 150_000, 100_000
+DICTIONARY, MEMORY = 350_000, 200_000
+LETTERS, STOPS = "A-Za-z\u00c0-\u024f", ",.;:!?"
 
 
 class Model:
@@ -70,6 +72,10 @@ class Model:
         # with a unit for every other character the pattern stays short: only blanks and inner characters join
         alone = "".join(sorted(c for c in "\n\t\r" if c not in inside))
         self.pattern = f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" + (f"|[{alone}]" if alone else "")
+        letter = re.compile(f"[{LETTERS}]").match
+        joined = {b for p in self.ids for a, b in zip(p, p[1:]) if letter(a)}
+        if stops := "".join(c for c in STOPS if c not in joined):  # no piece has them after a letter
+            self.pattern = f"{BLANK}*[{LETTERS}]+(?=[{stops}{BLANK}{alone}]|$)|{self.pattern}"
         assert not any(BLANK in p.lstrip(BLANK) for p in self.ids), "a piece reaches over a unit's border"
         self.bytes_of = [b""] * (size or max([*self.ids.values(), *(byte_ids or []), unknown], default=0) + 1)
         for p, i in self.ids.items():
@@ -171,15 +177,11 @@ class Model:
 
 # ----------------------------------------------------------- the lattice fold
 
-def unit_text(text: Column) -> Column:
-    return F.when(F.length(text) > 0, F.concat(F.lit(BLANK), F.replace(text, F.lit(" "), F.lit(BLANK))))
-
-
-def frequent_units(docs: DataFrame, model: Model, text_col: str, most: int) -> DataFrame:
-    """(unit): the units of the highest count levels, at most ``most`` of them."""
-    units = docs.select(F.explode(F.regexp_extract_all(unit_text(F.col(text_col)), F.lit(f"({model.pattern})"), F.lit(1))).alias("unit"))
-    counts = materialize(units.where(F.length("unit") <= LONGEST).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-                         .select("unit", F.floor(F.log2("n") * 4).alias("level"))).df
+def frequent_units(docs: DataFrame, text_col: str, most: int) -> DataFrame:
+    """(unit): the words of the highest count levels, at most ``most`` of them, each after a blank."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"([{LETTERS}]+)"), F.lit(1))).alias("word"))
+    counts = materialize(words.where(F.length("word") < LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+                         .select(F.concat(F.lit(BLANK), "word").alias("unit"), F.floor(F.log2("n") * 4).alias("level"))).df
     # one row per quarter power of two: a few hundred at any size
     total, least = 0, None
     for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
@@ -275,7 +277,7 @@ def _viterbi_fold(grouped: DataFrame, model: Model) -> DataFrame:
 def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str = "ids",
            dictionary: int = DICTIONARY) -> DataFrame:
     """``docs`` with the ids of ``text_col`` in ``ids_col`` (array of int)."""
-    known = encode_units(frequent_units(docs, model, text_col, dictionary), model)
+    known = encode_units(frequent_units(docs, text_col, dictionary), model)
     # at most ``dictionary`` short rows
     table = {u: np.asarray(i, np.int32).tobytes() for u, i in known.collect()}
     sent = docs.sparkSession.sparkContext.broadcast((model, table))
@@ -327,11 +329,11 @@ def default_model() -> Model:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: the number of ids, the crc32 of the ids (decimal, joined by blanks), whether they decode to the text."""
+    """Per document: the number of ids, Spark's xxhash64 of the ids, whether they decode to the text."""
     docs, model = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), default_model()
     both = decode(encode(docs, model), model)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.crc32(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_crc32"),
+                       F.xxhash64("ids").alias("ids_xxhash64"),
                        F.col("decoded").eqNullSafe(F.replace("text", F.lit(BLANK), F.lit(" "))).alias("round_trip"))
 
 
