@@ -14,7 +14,8 @@ whom; they may let too much through, never too little:
    broadcast. When the corpus outgrows the bitmap more windows pass it.
 3. Runs of windows whose anchor's bit is set are the candidate passages (words
    and place). Their windows' hashes give the first document of each window and
-   so the routes (document, reference document).
+   so the routes (passage, reference document); passages that hold a first
+   occurrence are the reference passages.
 4. Reference documents are dealt into shards of about ``SHARD_WORDS`` candidate
    words. A shard's generalised suffix automaton is built over words, in
    ascending doc_id, and keeps the first document of every state. It goes to all
@@ -221,77 +222,72 @@ def _bitmap(rows: DataFrame, window: int):
     return rows.sparkSession.sparkContext.broadcast(bitmap)
 
 
-PASSAGES = "array<struct<start: int, text: string>>"
+PASSAGES = "array<struct<start: int, text: string, windows: array<bigint>>>"
 
 
 def _passages(rows: DataFrame, bitmap, window: int) -> DataFrame:
-    """Of every row: n_words, sha256 of its words, its candidate passages and their windows' hashes."""
+    """Of every row: n_words, sha256 of its words, and its candidate passages with their windows' hashes."""
     def work(batch):
         texts = batch.column(1).to_pylist()
         copies = batch.column(3).to_pylist()
         ids = batch.column(0).to_pylist()
-        out = {"n_words": [], "sha256": [], "passages": [], "windows": []}
+        out = {"n_words": [], "sha256": [], "passages": []}
         for words, h, copied, doc_id in zip(*hashed_words(texts), copies, ids):
-            runs, windows = [], np.zeros(0, np.uint64)
+            runs = []
             if not copied and doc_id is not None and len(words) >= window:
                 bit = bit_of(anchors(h, window))
                 on = (bitmap.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
                 edge = np.flatnonzero(np.diff(on, prepend=False, append=False))
-                runs = [{"start": a, "text": " ".join(words[a:b + window - 1])} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-                windows = np.unique(ngram_hashes(h, window)[on])
+                windows = ngram_hashes(h, window).view(np.int64)
+                runs = [{"start": a, "text": " ".join(words[a:b + window - 1]), "windows": windows[a:b]}
+                        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
             out["n_words"].append(len(words))
             out["sha256"].append(hashlib.sha256(" ".join(words).encode()).hexdigest())
             out["passages"].append(runs)
-            out["windows"].append(windows.view(np.int64))
         return {"doc_id": batch.column(0), "k1": batch.column(2), "copy": batch.column(3), **out}
 
     return materialize(arrow_rows(
         rows.select("doc_id", "text", "k1", "copy"),
-        f"doc_id bigint, k1 bigint, copy boolean, n_words bigint, sha256 string, passages {PASSAGES}, windows array<bigint>", work)).df
+        f"doc_id bigint, k1 bigint, copy boolean, n_words bigint, sha256 string, passages {PASSAGES}", work)).df
 
 
 def _match(found: DataFrame, window: int) -> DataFrame:
     """(doc_id, k1, spans): what each shard's automaton says about the passages routed to it."""
-    windows = found.select(F.explode("windows").alias("window"), "doc_id")
+    passages = found.select("doc_id", "k1", F.explode("passages").alias("p")).select("doc_id", "k1", "p.*")
+    windows = passages.select(F.explode("windows").alias("window"), "doc_id", "start")
     first = materialize(windows.groupBy("window").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"))
                         .where("ref < last").select("window", "ref")).df
-    routes = materialize(windows.join(first, "window").where("ref < doc_id").select("doc_id", "ref").distinct()).df
-    size = F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + F.length(p["text"])) / 6.5  # about a word
-    held = found.where(F.size("passages") > 0).select("doc_id", "k1", "passages", size.alias("words"))
-    refs = materialize(held.join(routes.select(F.col("ref").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    total = refs.df.agg(F.sum("words")).first()[0] or 0
+    routes = materialize(windows.join(first, "window").select("doc_id", "start", "ref").distinct()).df
+    texts = passages.select("doc_id", "k1", "start", "text", (F.length("text") / 6.5).alias("words"))  # about a word
+    # the words of passages that hold a first occurrence
+    total = (routes.where("ref = doc_id").join(texts, ["doc_id", "start"]).agg(F.sum("words")).first()[0] or 0)
     shards = max(1, int(total // SHARD_WORDS))
-
-    def shard(c: str):
-        return F.pmod(F.xxhash64(F.lit(29), c), F.lit(shards))
-
-    to = routes.select("doc_id", shard("ref").alias("shard")).distinct()
-    asked = held.join(to, "doc_id")
-    # as many tasks for a shard as its passages need
-    load = materialize(to.join(held.groupBy("doc_id").agg(F.sum("words").alias("words")), "doc_id").groupBy("shard")
-                       .agg(F.ceil(F.sum("words") / TASK_WORDS).cast("int").alias("parts"))).df
-    kept = refs.df.withColumn("shard", shard("doc_id")).join(load, "shard").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asked = asked.join(load, "shard").withColumn("part", F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.col("parts")).cast("int"))
-    columns = ["shard", "part", "is_ref", "doc_id", "k1", "passages"]
-    both = kept.withColumn("is_ref", F.lit(True)).select(*columns).union(asked.withColumn("is_ref", F.lit(False)).select(*columns))
+    to = routes.select("doc_id", "start", (F.col("ref") == F.col("doc_id")).alias("is_ref"),
+                       F.pmod(F.xxhash64(F.lit(29), "ref"), F.lit(shards)).alias("shard")).distinct()
+    routed = materialize(to.join(texts, ["doc_id", "start"])).df
+    # as many tasks for a shard as its passages need; each of them gets the shard's reference passages
+    load = materialize(routed.where("not is_ref").groupBy("shard").agg(
+        F.ceil(F.sum("words") / TASK_WORDS).cast("int").alias("parts"))).df
+    routed = routed.join(load, "shard")
+    kept = routed.where("is_ref").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = routed.where("not is_ref").withColumn("part", F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.col("parts")).cast("int"))
+    columns = ["shard", "part", "is_ref", "doc_id", "k1", "start", "text"]
+    both = kept.select(*columns).union(asked.select(*columns))
     ship(found.sparkSession.sparkContext)
     schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()),
                         ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def work(table: pa.Table) -> pa.Table:
         is_ref = np.array(table.column("is_ref").to_pylist(), bool)
-        refs_ = table.filter(pa.array(is_ref)).sort_by([("doc_id", "ascending"), ("k1", "ascending")])
+        refs_ = table.filter(pa.array(is_ref)).sort_by([("doc_id", "ascending"), ("k1", "ascending"), ("start", "ascending")])
         automaton = Automaton(window)
-        for doc_id, passages in zip(refs_.column("doc_id").to_pylist(), refs_.column("passages")):
-            for p in passages.as_py():
-                automaton.add(p["text"].split(" "), doc_id)
+        for doc_id, text in zip(refs_.column("doc_id").to_pylist(), refs_.column("text").to_pylist()):
+            automaton.add(text.split(" "), doc_id)
         automaton.finish()
         out: dict[str, list] = {"doc_id": [], "k1": [], "spans": []}
         asked_ = table.filter(pa.array(~is_ref))
-        for doc_id, k1, passages in zip(asked_.column("doc_id").to_pylist(), asked_.column("k1").to_pylist(), asked_.column("passages")):
-            spans = [{"start": p["start"] + a, "end": p["start"] + b}
-                     for p in passages.as_py() for a, b in automaton.spans(p["text"].split(" "), doc_id)]
+        for doc_id, k1, start, text in zip(*(asked_.column(c).to_pylist() for c in ("doc_id", "k1", "start", "text"))):
+            spans = [{"start": start + a, "end": start + b} for a, b in automaton.spans(text.split(" "), doc_id)]
             if spans:
                 out["doc_id"].append(doc_id)
                 out["k1"].append(k1)
