@@ -53,7 +53,7 @@ from .common import arrow_rows, fresh
 
 BLANK = "▁"
 LONGEST = 62  # borders of a unit fit one bigint
-DICTIONARY, MEMORY = 350_000, 200_000
+DICTIONARY, MEMORY = 250_000, 200_000
 LETTERS, STOPS = "A-Za-z\u00c0-\u024f", ",.;:!?"
 
 
@@ -278,9 +278,12 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
            dictionary: int = DICTIONARY) -> DataFrame:
     """``docs`` with the ids of ``text_col`` in ``ids_col`` (array of int)."""
     known = encode_units(frequent_units(docs, text_col, dictionary), model)
-    # at most ``dictionary`` short rows
-    table = {u: np.asarray(i, np.int32).tobytes() for u, i in known.collect()}
-    sent = docs.sparkSession.sparkContext.broadcast((model, table))
+    # at most ``dictionary`` short rows, kept as Arrow bytes on the driver
+    sink = pa.BufferOutputStream()
+    table = known.select("unit", F.col("ids").cast("array<int>").alias("ids")).toArrow()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    sent = docs.sparkSession.sparkContext.broadcast((model, sink.getvalue().to_pybytes()))
     names = docs.columns
     at = [n.lower() for n in names].index(text_col.lower())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{ids_col}` array<int>"
@@ -289,8 +292,8 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
     def work(batch):
         if not state:
             state["units"] = re.compile(sent.value[0].pattern).findall
-            state["memory"] = {}
-        (rule, frequent), memory, units = sent.value, state["memory"], state["units"]
+            state["memory"], state["frequent"] = {}, _dictionary(sent.value[1])
+        rule, frequent, memory, units = sent.value[0], state["frequent"], state["memory"], state["units"]
         if len(memory) > MEMORY:
             memory.clear()
         out, offsets, absent = [], [0], []
@@ -313,6 +316,17 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
     return arrow_rows(docs, schema, work)
 
 
+def _dictionary(data: bytes) -> dict[str, bytes]:
+    """unit -> its ids as little-endian 32-bit integers."""
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    if not table.num_rows:
+        return {}
+    ids = table.column("ids").combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    raw, ends = ids.values.to_numpy().astype("<i4").tobytes(), (4 * ids.offsets.to_numpy()).tolist()
+    return {u: raw[a:b] for u, a, b in zip(table.column("unit").to_pylist(), ends, ends[1:])}
+
+
 def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of ``ids_col`` in ``out_col``: the pieces' bytes, joined, without the leading blank."""
     # one constant array for the whole vocabulary; a piece may be part of a character, so bytes are joined in hex
