@@ -14,8 +14,9 @@ in two levels, so that neither a task nor the driver ever sees all groups:
    larger group is a parcel of its own.
 2. The parcels - at most about 2 * ``FINENESS`` * shards, and one more per
    partition, whatever the number of documents - are packed best fit decreasing
-   on the driver. The least capacity for which they fit the given number of
-   shards is found by bisection.
+   on the driver. A group larger than an equal share of what the larger groups
+   leave has a shard of its own. The least capacity for which the other parcels fit
+   the remaining shards is found by bisection.
 
 Slots are numbered without gathering a shard: documents are dealt into
 buckets by a hash of their doc_id within their shard, numbered inside the bucket,
@@ -145,10 +146,25 @@ def best_fit(sizes: list[int], capacity: int, most: int | None = None) -> list[i
     return out
 
 
+def lone(sizes: list[int], shards: int, rest: int) -> int:
+    """How many of the sizes (falling order), ``rest`` in all, exceed an equal share of what the larger ones leave."""
+    n = 0
+    while n < len(sizes) and sizes[n] * (shards - n) > rest:
+        rest, n = rest - sizes[n], n + 1
+    return n
+
+
 def pack(sizes: list[int], shards: int) -> list[int]:
-    """The shard of each size (falling order), at the least capacity for which best fit needs no more shards."""
+    """The shard of each size (falling order).
+
+    A size larger than an equal share of the rest has a shard of its own; the
+    others go to the remaining shards, at the least capacity for which best
+    fit needs no more of them.
+    """
+    own = lone(sizes, shards, sum(sizes))
+    sizes, shards = sizes[own:], shards - own
     if not sizes:
-        return []
+        return list(range(own))
     low, high = max(-(-sum(sizes) // shards), sizes[0]), sum(sizes)
     best, exact = [0] * len(sizes), sum(sizes) // shards // 20_000
     # to within a twenty-thousandth of a shard
@@ -161,7 +177,7 @@ def pack(sizes: list[int], shards: int) -> list[int]:
             low = mid + 1
         else:
             best, high = found, mid - 1
-    return best
+    return [*range(own), *(own + b for b in best)]
 
 
 # ------------------------------------------------------------------- on Spark
@@ -173,9 +189,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
                        (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
                        F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"))
     rows = materialize(rows)
-    total = rows.df.agg(F.sum("size")).first()[0] or 0
-    parcel = max(1, total // (shards * FINENESS))
-    parcels = materialize(_parcels(rows.df.groupBy("k1", "k2").agg(F.sum("size").alias("size")), parcel)).df
+    groups = materialize(rows.df.groupBy("k1", "k2").agg(F.sum("size").alias("size"))).df
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    # groups with a shard of their own (fewer than shards) don't count for the parcels' capacity
+    top = [r["size"] for r in groups.select("size").orderBy(F.desc("size")).limit(shards).collect()]
+    own = lone(top, shards, total)
+    parcel = max(1, (total - sum(top[:own])) // ((shards - own) * FINENESS))
+    parcels = materialize(_parcels(groups, parcel)).df
     # bounded: two parcels of one task together exceed the capacity, but for its last
     sums = (parcels.groupBy("task", "parcel").agg(F.sum("size").alias("size"))
             .orderBy(F.desc("size"), "task", "parcel").collect())

@@ -115,6 +115,31 @@ def test_pack_uses_no_more_shards_and_is_near_even():
     assert H.pack([], 24) == [] and H.pack([5], 24) == [0]
 
 
+@pytest.mark.parametrize("hot", [0.03, 0.05, 0.1, 1 / 3, 0.95])
+def test_pack_shares_the_rest_evenly_beside_large_groups(hot):
+    rest = sorted((int(random.Random(k).lognormvariate(8, 0.5)) + 1 for k in range(5000)), reverse=True)
+    large = int(sum(rest) * hot / (1 - hot))
+    sizes = sorted([large, large // 2, *rest], reverse=True)
+    load, of = [0] * 24, H.pack(sizes, 24)
+    for s, b in zip(sizes, of):
+        load[b] += s
+    own = H.lone(sizes, 24, sum(sizes))
+    assert [load[of[k]] for k in range(own)] == sizes[:own]
+    others = sorted(load, reverse=True)[own:]
+    assert min(others) > 0.99 * max(others)
+
+
+def test_shards_beside_a_group_of_a_third_of_all_bytes(spark):
+    rows = [(d, "copy " * 40) for d in range(6000)] + [(6000 + d, f"{d:06} " + "own " * 48) for d in range(12_000)]
+    got = H.shard(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    check_shards(rows, got)
+    load = defaultdict(int)
+    for r in got:
+        load[r["shard"]] += r["size"]
+    hot, *others = sorted(load.values(), reverse=True)
+    assert hot == 6000 * 208 and len(others) == 23 and min(others) > 0.98 * max(others)
+
+
 def check_shards(rows, got):
     want = sorted(repr((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))) for d, t in rows)
     assert sorted(repr((r["doc_id"], r["size"], r["text_crc32"])) for r in got) == want
