@@ -188,13 +188,12 @@ def linked_texts(banded: DataFrame, keyed: DataFrame, nodes: DataFrame, sketched
     ids = materialize(members.select(F.col("x").alias("doc_id")).distinct())
     known = (sketched.join(small(ids), "doc_id", "left_semi").join(nodes, ["doc_id", "k1", "k2"], "left_semi")
              .select("doc_id", "sig", "bands").dropDuplicates(["doc_id"])
-             .join(sets.select("doc_id", F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int")).alias("h"),
-                               F.col("counts").alias("c")), "doc_id").withColumnRenamed("doc_id", "x"))
+             .join(sets.select("doc_id", F.col("hashes").alias("h"), F.col("counts").alias("c")), "doc_id")
+             .withColumnRenamed("doc_id", "x"))
     more = materialize(_links_between(members.join(known, "x")))
     if not more.rows:
         return joined
-    verified = similarity(more.df, sets).where(F.col("s") >= THRESHOLD).select("x", "p")
-    return components(links.union(verified), "x", "p")
+    return components(links.union(more.df), "x", "p")
 
 
 def _links_between(members: DataFrame) -> DataFrame:
@@ -222,8 +221,8 @@ def _links_between(members: DataFrame) -> DataFrame:
 def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between different components in one block of a bucket.
 
-    Shingles are compared by the upper halves of their hashes here; the links
-    are verified once more afterwards.
+    Components are united by links only, verified here on the full shingle sets:
+    a pair just below the threshold must not hide a link that comes after it.
     """
     pivot = np.array(table.column("pivot").to_pylist(), bool)
     ids, component, s = (table.column(c).to_numpy() for c in ("x", "component", "s"))
@@ -257,7 +256,10 @@ def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     group, keep = component.tolist(), []
     for k, (i, j) in enumerate(zip(*pairs)):
         a, b = find(group[i]), find(group[j])
-        if a != b and probability_jaccard(used[i], used[j]) >= THRESHOLD - 1e-3:
+        if a == b:
+            continue
+        x, p = (i, j) if ids[i] > ids[j] else (j, i)  # in the order of similarity(), for the same sum
+        if probability_jaccard(used[x], used[p]) >= THRESHOLD:
             root[a] = b
             keep.append(k)
     return ids[pairs[0, keep]], ids[pairs[1, keep]]

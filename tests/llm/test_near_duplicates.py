@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortgraph.llm import embeddings as V
@@ -78,6 +79,29 @@ def test_clusters_match_brute_force(spark):
     assert got == want and len(set(want.values())) < len(texts)
 
 
+def test_a_pair_just_below_the_threshold_does_not_hide_a_link():
+    hashes = np.sort(np.random.default_rng(12).choice(2 ** 62, 20_000, replace=False))
+
+    def two_sets(at, common):
+        """Two sets of 2000 with so many hashes in common."""
+        return np.sort(hashes[at:at + 2000]), np.sort(hashes[at + 2000 - common:at + 4000 - common])
+
+    (a1, b1), (a2, b2) = two_sets(0, 1777), two_sets(10_000, 1800)  # 0.7994 and 0.818
+    one = np.ones(2000, np.int32)
+    assert 0.799 < M.probability_jaccard((a1, one), (b1, one)) < 0.8 <= M.probability_jaccard((a2, one), (b2, one))
+    near = np.full(M.BANDS * M.ROWS, 2, np.uint8)
+    near[::10] = 3
+    # the pair below the threshold looks more alike by its registers, and so comes first
+    sig = [np.ones_like(near), np.full_like(near, 2), np.ones_like(near), near]
+    rows = [0, 1, 0, 1, 2, 3]  # documents 0, 1 of one component as pivots, all four as members
+    table = pa.table({
+        "band": pa.array([7] * 6), "pivot": pa.array([True, True] + [False] * 4), "x": pa.array(rows),
+        "component": pa.array([[0, 0, 2, 2][r] for r in rows]), "s": pa.array([1.0] * 6),
+        "sig": pa.array([sig[r].tobytes() for r in rows]), "bands": pa.array([[7]] * 6),
+        "h": pa.array([[a1, a2, b1, b2][r] for r in rows]), "c": pa.array([one] * 6)})
+    assert [sorted(p) for p in zip(*M.compare(table))] == [[1, 3]]
+
+
 def test_cluster_odd_cases(spark, odd, none):
     got = [tuple(r) for r in M.clusters(odd).collect()]
     cluster = {d: c for d, _, c in got}
