@@ -41,10 +41,15 @@ def repo_features(act: DataFrame, repos: DataFrame | Sized, cfg: ExtractConfig,
     # rank narrow rows; the profile is fetched for the winners only, at most one per repository
     keys = restrict_to(ev.select("repo_id", "created_at", "event_id"), repos, "repo_id", cfg.broadcast_max_rows)
     newest = top_k_per_group(keys, ["repo_id"], [F.col("created_at").desc(), F.col("event_id").desc()], 1,
-                             fan_in=cfg.topk_fan_in).select("repo_id", "event_id")
-    return (ev.select("repo_id", "event_id", "repo_language", "repo_topics", "repo_description")
-            .join(newest, ["repo_id", "event_id"], "left_semi")
-            .select("repo_id", "repo_language", "repo_topics", "repo_description"))
+                             fan_in=cfg.topk_fan_in)
+    newest = newest.select(F.col("repo_id").alias("__repo"), F.col("created_at").alias("__at"), F.col("event_id").alias("__event"))
+    fetched = (ev.select("repo_id", "created_at", "event_id", "repo_language", "repo_topics", "repo_description")
+               .join(newest, (F.col("repo_id") == F.col("__repo")) & F.col("created_at").eqNullSafe(F.col("__at"))
+                     & F.col("event_id").eqNullSafe(F.col("__event")), "left_semi"))
+    # an event may be delivered twice, or several newest ones have no id: one row per repository
+    columns = ["repo_language", "repo_topics", "repo_description"]
+    return (fetched.groupBy("repo_id").agg(F.max(F.struct(*columns)).alias("profile"))
+            .select("repo_id", *[F.col(f"profile.{c}").alias(c) for c in columns]))
 
 
 def repo_feature_count(act: DataFrame, repos: DataFrame | Sized, cfg: ExtractConfig,

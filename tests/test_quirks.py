@@ -156,6 +156,20 @@ def test_repo_features_ignore_the_window(spark):
     assert (cnt["repos_with_features"], cnt["repos_with_topic_or_language"]) == (1, 1)
 
 
+def test_repo_features_of_repeated_and_missing_event_ids(spark):
+    def extra(x):
+        for _ in range(2):  # delivered twice
+            x.add(7, 1, ts(2022, 5), "PullRequestEvent", lang="Go", topics=["db"], desc="one", event_id=900)
+        x.add(7, 2, ts(2022, 4), "PullRequestEvent", lang="Go")
+        x.add(7, 2, ts(2022, 5), "PullRequestEvent", lang="Zig", desc="two", event_id=901)
+        x.rows[-1] = (None, *x.rows[-1][1:])
+    a, _ = _two_node_cohort(spark, extra)
+    repos = spark.createDataFrame([(1,), (2,)], "repo_id bigint")
+    for non_blank_only in (False, True):
+        got = FT.repo_features(a, repos, cfg(), non_blank_only=non_blank_only).orderBy("repo_id").collect()
+        assert [tuple(r) for r in got] == [(1, "Go", ["db"], "one"), (2, "Zig", [], "two")]
+
+
 def test_language_ties_and_feature_types(spark):
     # D11/D12: four languages with equal counts keep the three first by name;
     # a review event's language does not count (PullRequestEvent only)
