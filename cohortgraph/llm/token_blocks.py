@@ -27,7 +27,8 @@ Defined cases
     * null doc_ids come first; rows with equal doc_ids are ordered by a hash
       of their text and take consecutive places.
     * very long texts: one frame of many blocks.
-    * strings of special tokens in a text are ordinary text.
+    * strings of added tokens in a text have the token's id, as by the library's
+      default; such a text is encoded whole, without the memory.
     * an empty table writes no frame and reads as no rows; extra columns are
       not looked at.
 """
@@ -60,14 +61,20 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # ------------------------------------------------------------------ text to ids
 
 class Encoder:
-    """Ids of texts, remembering those of the units met before."""
+    """Ids of texts, remembering those of the units met before.
 
-    def __init__(self, path: str):
+    Strings of added tokens are ordinary text with ``added_as_text``, and else
+    have the token's id, the library's default.
+    """
+
+    def __init__(self, path: str, added_as_text: bool = True):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = added_as_text
+        added = [] if added_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.has_added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.split = regex.compile(PATTERN).findall
@@ -102,12 +109,16 @@ class Encoder:
         """The ids of each text as little-endian u32 values."""
         if len(self.memory) > MEMORY:
             self.memory.clear()
-        split = [self.units(t) if t else [] for t in texts]
+        # a text that holds an added token is encoded whole: its ids are not those of its units
+        whole = {k: self.tokenizer.encode(t, add_special_tokens=False).ids
+                 for k, t in enumerate(texts) if t and self.has_added(t)}
+        split = [self.units(t) if t and k not in whole else [] for k, t in enumerate(texts)]
         new = {u for units in split for u in units if u not in self.memory}
         if new:
             self.learn(new)
         get = self.memory.__getitem__
-        return [b"".join(map(get, units)) for units in split]
+        return [np.array(whole[k], "<u4").tobytes() if k in whole else b"".join(map(get, units))
+                for k, units in enumerate(split)]
 
 
 # ----------------------------------------------------------------------- frames
@@ -201,7 +212,7 @@ def _encoder(sent) -> Encoder:
         with tempfile.NamedTemporaryFile(suffix=".json") as f:
             f.write(data)
             f.flush()
-            _ENCODERS[key] = Encoder(f.name)
+            _ENCODERS[key] = Encoder(f.name, added_as_text=False)
     return _ENCODERS[key]
 
 

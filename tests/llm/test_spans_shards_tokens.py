@@ -190,6 +190,19 @@ TEXTS = ["", "  ", "a  b", "a   b", " \n x", "x \n y", "x\n y", "x \n", "\n\n a"
          "don't we'll 'S ''s x's 12½ ²a _a_ a_b", "日本 語　x", "a\xa0 b\xa0 \xa0c", "\x1c a\x1c b", "<|endoftext|> x"]
 
 
+def test_added_tokens_have_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = B.Encoder(path, added_as_text=False), Tokenizer.from_file(path)
+    texts = ["plain text", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y  z", "plain <|endoftex|> text",
+             "\u00a0 <|endoftext|> \u65e5\u672c", None, "", "a b"]
+    for _ in range(2):  # also with the memory filled
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got[2] == [50256]
+
+
 def tokenizer():
     from tokenizers import Tokenizer
 
@@ -220,6 +233,13 @@ def test_written_ids_are_read_back(spark, odd, tmp_path, monkeypatch, frame_ids)
     assert crc == {s: zlib.crc32(np.array(ids, "<u4").tobytes()) for _, s, _, ids in got}
 
 
+def test_written_added_token_has_its_id(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "c")], "doc_id bigint, text string")
+    B.write_tokens(docs, str(tmp_path / "ids"), public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: list(r["ids"]) for r in B.read_tokens(spark, str(tmp_path / "ids")).collect()}
+    assert 50256 in got[1] and 50256 not in got[2]
+
+
 def test_empty_table_of_tokens(spark, none, tmp_path):
     B.write_tokens(none, str(tmp_path / "ids"), public_tokenizers.path("byte_bpe_50k.json"))
     assert B.read_tokens(spark, str(tmp_path / "ids")).count() == 0
