@@ -100,14 +100,15 @@ class MultiIndex:
 
     def _visit(self, da: np.ndarray, db: np.ndarray, width: int) -> list[int]:
         """Multi-sequence traversal: pairs of ranks by rising sum, each next to one already visited."""
-        limit = da.min() + db.min() + self.margin
-        ia, ib = np.flatnonzero(da <= limit - db.min()), np.flatnonzero(db <= limit - da.min())
+        # each half by its own distance to its nearest centroid, so that rounding never shuts out the own cell
+        da, db = da - da.min(), db - db.min()
+        ia, ib = np.flatnonzero(da <= self.margin), np.flatnonzero(db <= self.margin)
         ia, ib = ia[np.argsort(da[ia], kind="stable")], ib[np.argsort(db[ib], kind="stable")]
         a, b = da[ia].tolist(), db[ib].tolist()
         heap, out = [(a[0] + b[0], 0, 0)], []
         while heap:
             total, i, j = heapq.heappop(heap)
-            if total > limit:
+            if total > self.margin:
                 break
             out.append(int(ia[i]) * width + int(ib[j]))
             if j + 1 < len(b):
