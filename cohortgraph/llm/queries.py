@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embeddings, lattice, line_dedup, minhash, sharding, substring_dedup, token_blocks, toxicity
+from . import (bpe, chat, decontaminate, embeddings, filter_audit, lattice, lexical, line_dedup, minhash, sharding,
+               substring_dedup, token_blocks, toxicity)
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_sentencepiece": lattice.op9_sentencepiece,
     "op10_embeddings": embeddings.op10_embeddings,
+    "op11_bpe": bpe.op11_bpe,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 
 ORACLES = {
@@ -22,4 +26,6 @@ ORACLES = {
     "op3_chat_rotation": chat.ORACLE,
     "op4_substring_dedup": substring_dedup.ORACLE,
     "op10_embeddings": embeddings.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
 }
