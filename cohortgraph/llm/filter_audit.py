@@ -145,7 +145,7 @@ def conditions(text: Column) -> dict[str, Column]:
     capitals = F.length(text) - F.length(F.translate(text, LETTERS, ""))
     return {
         "A": F.size(words) < 100,
-        "B": 100 * F.size(F.array_distinct(words)) < 80 * F.size(words),
+        "B": 100 * F.size(F.array_distinct(words)).cast("long") < 80 * F.size(words).cast("long"),
         "C": 100 * capitals.cast("long") > 10 * F.length(text).cast("long"),
         "D": text.rlike("[#$%&*|]"),
     }
@@ -172,9 +172,10 @@ def class_counts(docs: DataFrame, labels: DataFrame, part_col: str = "lang", id_
     classes = same.groupBy(*keys).agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "n")).alias("first"))
     # classes of one text: at most four a part and not more than the text's rows
     least = F.min("first.doc_id").over(Window.partitionBy("k1", "k2"))
-    fresh = F.when(F.col("first.doc_id") == least, F.col("first.n")).otherwise(F.lit(0))
-    split = classes.select("part", "mask", "good", "toxic", F.inline(F.array(
-        F.struct(F.lit(0).alias("again"), fresh.alias("n")), F.struct(F.lit(16).alias("again"), (F.col("n") - fresh).alias("n")))))
+    new = F.when(F.col("first.doc_id") == least, F.col("first.n")).otherwise(F.lit(0))
+    split = classes.withColumn("new", new).select("part", "mask", "good", "toxic", F.inline(F.array(
+        F.struct(F.lit(0).alias("again"), F.col("new").alias("n")),
+        F.struct(F.lit(16).alias("again"), (F.col("n") - F.col("new")).alias("n")))))
     plain = nameless.groupBy("part", "mask", "good", "toxic").agg(F.count(F.lit(1)).alias("n"))
     rows = split.select("part", (F.col("mask") + F.col("again")).alias("mask"), "good", "toxic", "n").union(
         plain.select("part", "mask", "good", "toxic", "n"))
@@ -219,8 +220,9 @@ w AS (
 ),
 m AS (
     SELECT part, doc_id,
-           [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words), 100 * capitals > 10 * length(text),
-            regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, false)] AS f,
+           CAST(len(words) < 100 AS INTEGER) + 2 * CAST(100 * len(list_distinct(words)) < 80 * len(words) AS INTEGER)
+             + 4 * CAST(100 * capitals > 10 * length(text) AS INTEGER) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER)
+             + 16 * CAST(coalesce(doc_id > least, false) AS INTEGER) AS f,
            doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) IS TRUE AS good,
            doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) IS TRUE AS toxic
     FROM w
@@ -233,14 +235,14 @@ o(p) AS (
     SELECT p || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(p, x)
 ),
 s AS (
-    SELECT p AS filter_order, k AS step, list_transform(string_split(left(p, CAST(k AS BIGINT) - 1), ''), x -> ascii(x) - 64) AS before,
-           ascii(substr(p, k, 1)) - 64 AS v
-    FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE length(p) = 5
+    SELECT p AS filter_order, k AS step,
+           sum(CASE WHEN j < k THEN 1 << (ascii(substr(p, j, 1)) - 65) ELSE 0 END) AS before,
+           max(CASE WHEN j = k THEN 1 << (ascii(substr(p, j, 1)) - 65) END) AS v
+    FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS k), (SELECT unnest([1, 2, 3, 4, 5]) AS j) WHERE length(p) = 5 GROUP BY p, k
 ),
 r AS (
-    SELECT part, filter_order, step, v, n, good, toxic, f[v] AS fails,
-           coalesce(list_bool_or(list_transform(before, x -> coalesce(f[x], false))), false) AS gone,
-           list_sum(list_transform(f, x -> CAST(x AS INTEGER))) AS n_fails
+    SELECT part, filter_order, step, v, n, good, toxic, (f & v) <> 0 AS fails, (f & CAST(before AS INTEGER)) <> 0 AS gone,
+           f = v AS only_this
     FROM s, c
 ),
 a AS (
@@ -248,7 +250,7 @@ a AS (
            sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept,
            sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
            sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant,
-           sum(CASE WHEN fails AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN only_this THEN n ELSE 0 END) AS unique_fails,
            sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END) AS good_lost,
            sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END) AS toxic_lost
     FROM r GROUP BY part, filter_order, step, v
