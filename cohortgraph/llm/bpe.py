@@ -11,7 +11,7 @@ Added tokens are cut out of a unit first, the rest is normalised and split into
 words by the tokenizer's own normaliser and pre-tokenizer, and each word is
 encoded by the heap. White space is a border for all these steps, so the ids of
 a text are those of its units, one after the other; a worker remembers the units
-and words it met (bounded). Documents are encoded where they lie: no shuffle.
+and words it met of late (two generations of at most ``MEMORY`` each). Documents are encoded where they lie: no shuffle.
 
 Decoding joins the vocabulary strings of the ids by blanks, which is what a
 tokenizer file without a decoder defines.
@@ -42,6 +42,15 @@ from .common import arrow_rows, fresh
 
 MEMORY = 300_000
 LONG_UNIT = 200  # longer units and words are not remembered
+BITS = 24  # of an id
+# The normaliser and pre-tokenizer whose words of printable ASCII PLAIN_WORD finds in a lower-cased text.
+PLAIN_NORMAL = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PLAIN_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+").findall
 #: These four split units for ``str.split``, but are no white space to the tokenizer.
 SEPARATORS = re.compile(r"[\x1c-\x1f]").search
 
@@ -65,50 +74,61 @@ class Bpe:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if self.added else None
         self.string = {i: t for t, i in [*self.vocabulary.items(), *self.added.items()]}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # pair of ids -> rank and merged id, each packed into one integer
+        self.merges: dict[int, int] = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges[self.vocabulary[a], self.vocabulary[b]] = rank, self.vocabulary[a + b]
+            self.merges[self.vocabulary[a] << BITS | self.vocabulary[b]] = rank << BITS | self.vocabulary[a + b]
+        # words of printable ASCII can be split here; other texts are left to the library
+        self.plain = spec["pre_tokenizer"] == PLAIN_SPLIT and spec["normalizer"] == PLAIN_NORMAL
         self.words: dict[str, list[int]] = {}
         self.units: dict[str, tuple[int, str, str]] = {}
+        self.older_words: dict[str, list[int]] = {}
+        self.older_units: dict[str, tuple[int, str, str]] = {}
 
     def symbols(self, word: str) -> list[int]:
-        parts = [*word[:-1], word[-1] + self.end] if word else []
-        ids = [self.vocabulary.get(p, self.unknown) for p in parts]
-        return [i for i in ids if i is not None]
+        get = self.vocabulary.get
+        ids = [get(c, self.unknown) for c in word[:-1]]
+        ids.append(get(word[-1] + self.end, self.unknown))
+        return [i for i in ids if i is not None] if None in ids else ids
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge pairs by rising rank, equal ranks from left to right, until none is left."""
-        n, merges = len(ids), self.merges
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = []
-        for at, pair in enumerate(zip(ids, ids[1:])):
-            if pair in merges:
-                heap.append((merges[pair][0], at, *pair))
+        n, get = len(ids), self.merges.get
+        shift = n.bit_length()
+        heap = [found << shift | at for at, (a, b) in enumerate(zip(ids, ids[1:])) if (found := get(a << BITS | b)) is not None]
+        if not heap:
+            return ids
         heapq.heapify(heap)
+        ids.append(-1)  # before the first and behind the last symbol: pairs with it are negative, so never merged
+        before, after = list(range(-1, n)), list(range(1, n + 2))
+        places, low = (1 << shift) - 1, (1 << BITS) - 1
         while heap:
-            _, at, a, b = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            at = entry & places
             right = after[at]
-            if ids[at] != a or right >= n or ids[right] != b:
+            if get(ids[at] << BITS | ids[right]) != entry >> shift:
                 continue  # one of its symbols has been merged meanwhile
-            new = ids[at] = merges[a, b][1]
+            new = ids[at] = entry >> shift & low
             ids[right] = -1
             after[at] = beyond = after[right]
-            if beyond < n:
-                before[beyond] = at
-                if (new, ids[beyond]) in merges:
-                    heapq.heappush(heap, (merges[new, ids[beyond]][0], at, new, ids[beyond]))
-            if (left := before[at]) >= 0 and (ids[left], new) in merges:
-                heapq.heappush(heap, (merges[ids[left], new][0], left, ids[left], new))
+            before[beyond] = at
+            if (found := get(new << BITS | ids[beyond])) is not None:
+                heapq.heappush(heap, found << shift | at)
+            left = before[at]
+            if (found := get(ids[left] << BITS | new)) is not None:
+                heapq.heappush(heap, found << shift | left)
         return [i for i in ids if i >= 0]
 
     def word(self, word: str) -> list[int]:
         ids = self.words.get(word)
         if ids is None:
-            ids = self.merge(self.symbols(word))
+            ids = self.older_words.get(word)
+            if ids is None:
+                ids = self.merge(self.symbols(word))
             if len(word) <= LONG_UNIT:
                 if len(self.words) >= MEMORY:
-                    self.words.clear()
+                    self.older_words, self.words = self.words, {}
                 self.words[word] = ids
         return ids
 
@@ -118,6 +138,9 @@ class Bpe:
         for part in self.cut(unit) if self.cut else [unit]:
             if part in self.added:
                 out.append(self.added[part])
+            elif self.plain and part.isascii() and part.isprintable():
+                for word in PLAIN_WORD(part.lower()):
+                    out += self.word(word)
             elif part:
                 for word, _ in self.split(self.normalise(part)):
                     out += self.word(word)
@@ -142,11 +165,13 @@ class Bpe:
     def cell(self, unit: str) -> tuple[int, str, str]:
         found = self.units.get(unit)
         if found is None:
-            ids = self.unit(unit)
-            found = len(ids), " ".join(map(str, ids)), self.decode(ids)
+            found = self.older_units.get(unit)
+            if found is None:
+                ids = self.unit(unit)
+                found = len(ids), " ".join(map(str, ids)), self.decode(ids)
             if len(unit) <= LONG_UNIT:
-                if len(self.units) >= MEMORY:
-                    self.units.clear()
+                if len(self.units) >= MEMORY:  # keep what was met of late
+                    self.older_units, self.units = self.units, {}
                 self.units[unit] = found
         return found
 
