@@ -5,7 +5,8 @@ A document is restricted to the words of the items, which leaves a vector of
 term counts; documents with the same vector and the same length norm ``m`` have
 the same score for every item, so they form a class. Classes are grouped by two
 64-bit hashes together with the vector itself: the hashes deal the rows, the
-vector decides (Spark compares grouping keys byte by byte).
+vector decides (Spark compares grouping keys byte by byte). Should two classes
+share both hashes and ``m``, all are hashed anew with other seeds.
 
 Each class is scored once, a batch of classes against all items through the
 items' posting lists, and a task keeps the best ``k`` classes of each item. A
@@ -39,6 +40,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 from math import floor, log
 
 import numpy as np
@@ -192,8 +194,8 @@ def best_classes(classes: DataFrame, items: Items, weights: np.ndarray, k: int)
     return classes.select(*columns).mapInArrow(work, "item bigint, score bigint, rep bigint, k1 bigint, k2 bigint, m bigint")
 
 
-def bag_hashes(bag: Column) -> list[Column]:
-    return [F.xxhash64(F.lit(23), bag).alias("k1"), F.xxhash64(F.lit(89), bag).alias("k2")]
+def bag_hashes(bag: Column, attempt: int) -> list[Column]:
+    return [F.xxhash64(F.lit(23), F.lit(attempt), bag).alias("k1"), F.xxhash64(F.lit(89), F.lit(attempt), bag).alias("k2")]
 
 
 def item_blocks(items: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str | None]]]:
@@ -234,23 +236,21 @@ def _search_block(docs: DataFrame, items: Items, id_col: str, text_col: str, k:
     if not n_docs:
         return None
     weights = np.array([weight(n_docs, int(df)) for df in document_frequencies(raw.df, len(items.terms))], np.int64)
-    keyed = raw.df.where(F.length("bag") > 0).select(
-        "doc_id", "bag", *hashes(F.col("bag")), F.expr(f"100 - 75 + ((75 * n * {n_docs}L) div {length}L)").alias("m"))
     rep = F.coalesce(F.min("doc_id"), F.lit(int(NO_ID))).alias("rep")
-    classes = materialize(keyed.groupBy("k1", "k2", "m", "bag").agg(rep))
-    # do the two hashes and m name a class by themselves? Then bags need not be carried along any more
-    distinct = classes.df.select("k1", "k2", "m").distinct().count()
-    exact = distinct == classes.rows or distinct == classes.df.count()
+    names = ["k1", "k2", "m"]
+    for attempt in count():
+        keyed = raw.df.where(F.length("bag") > 0).select(
+            "doc_id", "bag", *hashes(F.col("bag"), attempt), F.expr(f"100 - 75 + ((75 * n * {n_docs}L) div {length}L)").alias("m"))
+        classes = materialize(keyed.groupBy(*names, "bag").agg(rep))
+        # the two hashes and m must name one class each; else all bags are hashed anew
+        if classes.df.select(*names).distinct().count() == classes.df.count():
+            break
+        drop_materialized(spark, [classes])
     near = best_classes(classes.df, items, weights, k)
     order = [F.col("score").desc(), F.col("rep")]
     won = materialize(top_k_per_group(near, ["item"], order, k))
-    names = ["k1", "k2", "m"]
-    if not exact:  # classes that share both hashes are told apart by their bags
-        won = materialize(won.df.join(classes.df, [*names, "rep"]))
-        names = [*names, "bag"]
-    # at most k rows per item of the block and narrow, unless hashes collide
-    wanted = won.df.select(*names).distinct()
-    members = top_k_per_group(keyed.join(F.broadcast(wanted) if exact else wanted, names).select(*names, "doc_id"), names,
+    wanted = F.broadcast(won.df.select(*names).distinct())  # at most k narrow rows per item of the block
+    members = top_k_per_group(keyed.select(*names, "doc_id").join(wanted, names), names,
                               [F.col("doc_id").asc_nulls_last()], k, rank_col="nth").drop("nth")
     ranked = top_k_per_group(won.df.select("item", "score", *names).join(members, names), ["item"],
                              [F.col("score").desc(), F.col("doc_id").asc_nulls_last()], k, rank_col="rank")
