@@ -104,8 +104,24 @@ def read_scores(spark: SparkSession, path_or_table: str, fmt: str = "parquet", *
     return normalise_scores(spark.read.format(fmt).options(**options).load(path_or_table))
 
 
+#: Columns of single look-ups (one actor's history, one repository's newest profile); no folder or sort order serves them.
+LOOKUP_COLUMNS = ("actor_id", "repo_name")
+
+
+def bloom_options(columns, max_bytes: int) -> dict[str, str]:
+    """Parquet writer options for a Bloom filter per row group on each of ``columns``.
+
+    The writer fits the filter's size to the values that a row group holds (at
+    most ``max_bytes``); where a row group's dictionary lists its values, readers
+    use that instead, and no filter is stored.
+    """
+    options = {"parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(max_bytes)}
+    return options | {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
+
+
 def write_activity(act: DataFrame, path: str, num_partitions: int | None = None,
-                   mode: str = "error") -> None:
+                   mode: str = "error", lookup_columns=LOOKUP_COLUMNS, bloom_max_bytes: int = 1 << 20,
+                   row_group_bytes: int | None = None, **options) -> None:
     """Store the activity log in the layout the extraction reads fastest.
 
     Folders are ``platform`` / ``event_year`` / ``type``: every operator filters on
@@ -117,15 +133,28 @@ def write_activity(act: DataFrame, path: str, num_partitions: int | None = None,
     repositories, which row-group statistics can skip on. Pick
     ``num_partitions`` near the data size over the target file size (e.g.
     100 TB / 1 GB = 100k); the default is the session's shuffle partition count.
+
+    The folders and the order don't help a look-up by actor or repository name,
+    whose rows lie anywhere in its folders. Row groups therefore carry Bloom
+    filters on ``lookup_columns``: an equality on one of them is pushed into the
+    scan, which then reads only the row groups that may hold the value, at the
+    cost of at most ``bloom_max_bytes`` a column and row group. Smaller
+    ``row_group_bytes`` (default: Parquet's 128 MB) make a look-up read less and
+    the filters and footers larger. ``options`` go to the writer.
     """
     spark = act.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    extra = bloom_options(lookup_columns, bloom_max_bytes)
+    if row_group_bytes:
+        extra["parquet.block.size"] = str(row_group_bytes)
+    extra |= options
     folders = ["platform", YEAR_COLUMN, "type"]
     keys = [*folders, "repo_id", "created_at"]
     (normalise_activity(act).withColumn(YEAR_COLUMN, F.year("created_at"))
      .repartitionByRange(n, *keys)
      .sortWithinPartitions(*keys)
      .write.mode(mode)
+     .options(**extra)
      .partitionBy(*folders)
      .parquet(path))
 
