@@ -275,6 +275,8 @@ TAILS = {
     "graph_features": _graph_features(""),
     "graph_features_consistent": _graph_features("_w"),
 }
+# the same look-ups on the log as it is stored
+TAILS |= {f"{name}_stored": TAILS[name] for name in ("actor_history", "latest_repo_profile")}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,7 @@ checkpoint folder until the session's Python process ends.
 from __future__ import annotations
 
 import atexit
+import uuid
 from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
@@ -23,11 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import render_arrays
+from ..functions.joins import INTERMEDIATE_PREFIX
 from ..operators import cohort as C
 from ..operators import edges as E
 from ..operators import explore as X
 from ..operators import features as FT
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as FX
+from ..sources import read_activity, write_activity
 from .graph import extract_graph
 
 SCORE_DIGITS = 6
@@ -167,6 +171,23 @@ def latest_repo_profile(spark, sf_dir):
     return render_arrays(X.latest_repo_profile(act, FX.PROFILE_REPO_NAME, cfg), "repo_topics")
 
 
+def _stored(spark, act):
+    """``act`` as ``write_activity`` stores it, under the checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{INTERMEDIATE_PREFIX}/{uuid.uuid4().hex}"
+    write_activity(act, path)
+    return read_activity(spark, path)
+
+
+def actor_history_stored(spark, sf_dir):
+    _, act, cfg = FX.fixture_inputs(spark, sf_dir)
+    return render_arrays(FT.actor_history(_stored(spark, act), FX.HISTORY_ACTOR_ID, cfg), "repo_topics")
+
+
+def latest_repo_profile_stored(spark, sf_dir):
+    _, act, cfg = FX.fixture_inputs(spark, sf_dir)
+    return render_arrays(X.latest_repo_profile(_stored(spark, act), FX.PROFILE_REPO_NAME, cfg), "repo_topics")
+
+
 def latest_scores(spark, sf_dir):
     scores, _, _ = FX.fixture_inputs(spark, sf_dir)
     return X.latest_scores(scores, "Repo", 10)
@@ -268,6 +289,8 @@ QUERIES: dict[str, Query] = {
     "actor_features": actor_features,
     "actor_history": actor_history,
     "latest_repo_profile": latest_repo_profile,
+    "actor_history_stored": actor_history_stored,
+    "latest_repo_profile_stored": latest_repo_profile_stored,
     "latest_scores": latest_scores,
     "types_with_topics": types_with_topics,
     "stars_per_actor": stars_per_actor,
