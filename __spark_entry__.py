@@ -29,7 +29,9 @@ try:  # the training-data operators and their pipeline are an optional part
     import corpus_pipeline
     from cohortgraph.llm.queries import ORACLES as LLM_ORACLES
     from cohortgraph.llm.queries import QUERIES as LLM_QUERIES
-except ImportError:
+except ImportError as missing:
+    if missing.name not in ("corpus_pipeline", "cohortgraph.llm", "cohortgraph.llm.queries"):
+        raise  # the part is there, but something in it is broken
     LLM_ORACLES, LLM_QUERIES = {}, {}
 else:
     LLM_QUERIES = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
