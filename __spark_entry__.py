@@ -279,6 +279,8 @@ TAILS = {
 }
 # the same look-ups on the log as it is stored
 TAILS |= {f"{name}_stored": TAILS[name] for name in ("actor_history", "latest_repo_profile")}
+# the same samples from a stored state that took the log in parts
+TAILS |= {f"{name}_state": TAILS[name] for name in ("star_sample", "star_sample_windowed")}
 
 
 def oracle_sql() -> dict[str, str]:

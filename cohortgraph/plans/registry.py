@@ -33,6 +33,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as FX
 from ..sources import read_activity, write_activity
 from .graph import extract_graph
+from .newest_state import StarState
 
 SCORE_DIGITS = 6
 
@@ -84,6 +85,25 @@ def _star_sample(windowed: bool):
     return q
 
 
+def _run_folder(spark) -> str:
+    """A new folder of its own under the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{INTERMEDIATE_PREFIX}/{uuid.uuid4().hex}"
+
+
+def _star_sample_state(windowed: bool):
+    """The sample from a stored state that took the whole log in three deliveries, late events among them."""
+    def q(spark, sf_dir):
+        scores, act, cfg = FX.fixture_inputs(spark, sf_dir)
+        folder = _run_folder(spark)
+        state = StarState(spark, f"{folder}/state", cfg)
+        for delivery in range(3):
+            write_activity(act.where(F.col("event_id") % 3 == delivery), f"{folder}/log", mode="append")
+            state.ingest(f"{folder}/log")
+        sample = state.sample(C.candidates(scores, cfg), windowed)
+        return sample.select("actor_id", "repo_id", "created_at", "event_id", F.col("rn").cast("bigint"))
+    return q
+
+
 def actor_nodes(spark, sf_dir):
     _, _, co = _cohort(spark, sf_dir)
     return C.actor_nodes(co.sample)
@@ -173,7 +193,7 @@ def latest_repo_profile(spark, sf_dir):
 
 def _stored(spark, act):
     """``act`` as ``write_activity`` stores it, under the checkpoint folder."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{INTERMEDIATE_PREFIX}/{uuid.uuid4().hex}"
+    path = _run_folder(spark)
     write_activity(act, path)
     return read_activity(spark, path)
 
@@ -268,6 +288,8 @@ QUERIES: dict[str, Query] = {
     "candidates": candidates,
     "star_sample": _star_sample(False),
     "star_sample_windowed": _star_sample(True),
+    "star_sample_state": _star_sample_state(False),
+    "star_sample_windowed_state": _star_sample_state(True),
     "actor_nodes": actor_nodes,
     "repo_nodes": repo_nodes,
     "cohort_counts": cohort_counts,
