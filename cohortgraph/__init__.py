@@ -7,6 +7,6 @@ features as lazy DataFrames.
 """
 
 from .config import ExtractConfig
-from .plans.graph import build_cohort, extract_graph, write_graph
+from .plans.graph import build_cohort, extract_graph, publish_graph, read_graph, write_graph
 
-__all__ = ["ExtractConfig", "build_cohort", "extract_graph", "write_graph"]
+__all__ = ["ExtractConfig", "build_cohort", "extract_graph", "publish_graph", "read_graph", "write_graph"]

@@ -19,7 +19,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from cohortgraph.config import PINNED_NAMES, PINNED_ORGS, ExtractConfig
-from cohortgraph.plans.graph import checked_tables, extract_graph, write_graph
+from cohortgraph.plans.graph import checked_tables, extract_graph, publish_graph, write_graph
 from cohortgraph.session import DEFAULT_CONF
 from cohortgraph.sources.tables import read_activity, read_scores
 
@@ -46,6 +46,10 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--entity-type", default=None, help="keep only score rows of this type, e.g. Repo")
     p.add_argument("--consistent", action="store_true", help="use the in-window sample for every table")
     p.add_argument("--tables", default="", help="comma-separated subset of the tables; only what they need is computed")
+    p.add_argument("--run-dir", default=None,
+                   help="shared folder that keeps finished steps, so that the same call goes on after a failure")
+    p.add_argument("--publish", action="store_true",
+                   help="write a new folder in --out and make it the current graph by one commit (read_graph)")
     p.add_argument("--keep-intermediates", action="store_true")
     return p.parse_args(argv)
 
@@ -70,7 +74,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     options = dict(opt.split("=", 1) for opt in args.reader_option)
     scores = read_scores(spark, args.scores, args.scores_format, **options)
     act = read_activity(spark, args.activity, args.activity_format, **options)
-    graph = extract_graph(scores, act, cfg, consistent=args.consistent, tables=wanted)
+    graph = extract_graph(scores, act, cfg, consistent=args.consistent, tables=wanted,
+                          run_dir=args.run_dir)
+    if args.publish:
+        number = publish_graph(graph, args.out, fmt=args.format, release=not args.keep_intermediates)
+        print(json.dumps({"published": number}))
+        return {}
     paths = write_graph(graph, args.out, fmt=args.format, mode=args.mode, release=not args.keep_intermediates)
     print(json.dumps(paths))
     return paths

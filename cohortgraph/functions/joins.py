@@ -29,7 +29,7 @@ class Sized:
     path: str | None = None
 
 
-def materialize(df: DataFrame, partition_by: str | None = None) -> Sized:
+def materialize(df: DataFrame, partition_by: str | None = None, path: str | None = None) -> Sized:
     """Write ``df`` as a parquet table under the session's checkpoint folder, read it back, count it.
 
     This cuts the lineage the way a reliable checkpoint does - the files live
@@ -38,11 +38,12 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> Sized:
     columnar and giving the planner its real size. The count is an observed
     metric of the write itself; it only feeds size decisions, where an
     over-count (should a retried task ever be counted twice) errs on the safe
-    side. With ``partition_by`` each value of that column is a folder.
+    side. With ``partition_by`` each value of that column is a folder. ``path``
+    names another folder, which must not exist.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/{INTERMEDIATE_PREFIX}/{uuid.uuid4().hex}"
+    if path is None:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{INTERMEDIATE_PREFIX}/{uuid.uuid4().hex}"
     # the row count is observed while the write job runs: no second job
     seen = Observation(f"rows_{uuid.uuid4().hex[:8]}")
     writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("error")
@@ -52,17 +53,18 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> Sized:
     return Sized(saved, rows, path)
 
 
-def tighten(keys: Sized, key: str, max_rows: int) -> Sized:
+def tighten(keys: Sized, key: str, max_rows: int, store=materialize) -> Sized:
     """An exact count for a key set whose derived bound alone would block a broadcast.
 
     A bound such as "actors <= sampled events" can be several times the real
     number of distinct keys; when it exceeds ``max_rows`` the distinct keys
     are materialised and counted, so a key set that does fit is still
     broadcast. Key sets already under the limit (or already exact) are kept.
+    ``store`` writes and counts them.
     """
     if keys.rows <= max_rows or keys.path is not None:
         return keys
-    return materialize(keys.df.select(key).distinct())
+    return store(keys.df.select(key).distinct())
 
 
 def drop_materialized(spark, items) -> None:

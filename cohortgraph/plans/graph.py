@@ -22,25 +22,30 @@ item) and written; edges with and without the repository and the membership
 follow from that table.
 
 Intermediates are parquet tables under ``spark.checkpoint.dir`` (see
-``functions.joins.materialize``); they are released if a step fails.
+``functions.joins.materialize``); they are released if a step fails. A run with a
+``run_dir`` keeps them there instead and can be taken up again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ExtractConfig
+from ..functions import commits
 from ..functions.columns import windowed_rows
 from ..functions.joins import Sized, drop_materialized, key_side, materialize, tighten
 from ..operators import cohort as C
 from ..operators import edges as E
 from ..operators import features as FT
+from .resume import RunFolder, fingerprint
 
 EDGE, REPO, ACTOR = "edge", "repo", "actor"
 SLICE = "slice"
@@ -72,16 +77,22 @@ class Cohort:
         return [s for s in (self.sample, self.actors, self.repos) if s.path is not None]
 
 
-def make_cohort(cfg: ExtractConfig, cand: Sized, sample: Sized, windowed: bool) -> Cohort:
+def _unnamed(name: str, df: DataFrame, partition_by: str | None = None) -> Sized:
+    """A step's result as an intermediate of this run only."""
+    return materialize(df, partition_by)
+
+
+def make_cohort(cfg: ExtractConfig, cand: Sized, sample: Sized, windowed: bool, step=_unnamed) -> Cohort:
     """Node key sets of a materialised sample, with bounds tight enough to broadcast.
 
     Actors are at most the sampled events and repositories at most the
     candidates; when such a bound exceeds the broadcast limit the distinct
     keys are counted exactly (``tighten``).
     """
-    limit = cfg.broadcast_max_rows
-    actors = tighten(Sized(C.actor_set(sample), sample.rows), "actor_id", limit)
-    repos = tighten(Sized(C.repo_set(sample), min(sample.rows, cand.rows)), "repo_id", limit)
+    limit, which = cfg.broadcast_max_rows, "windowed" if windowed else "all_time"
+    actors = tighten(Sized(C.actor_set(sample), sample.rows), "actor_id", limit, partial(step, f"{which}_actors"))
+    repos = tighten(Sized(C.repo_set(sample), min(sample.rows, cand.rows)), "repo_id", limit,
+                    partial(step, f"{which}_repos"))
     return Cohort(cfg, cand, sample, windowed, actors, repos)
 
 
@@ -93,18 +104,19 @@ def build_cohort(scores: DataFrame, act: DataFrame, cfg: ExtractConfig, windowed
     return make_cohort(cfg, cand, sample, windowed)
 
 
-def _union_keys(a: Sized, b: Sized, key: str, limit: int) -> Sized:
+def _union_keys(a: Sized, b: Sized, key: str, limit: int, step=_unnamed) -> Sized:
     if a is b or a.df is b.df:
         return a
-    return tighten(Sized(a.df.select(key).union(b.df.select(key)).distinct(), a.rows + b.rows), key, limit)
+    return tighten(Sized(a.df.select(key).union(b.df.select(key)).distinct(), a.rows + b.rows), key, limit,
+                   partial(step, f"node_{key}"))
 
 
-def node_keys(cohorts: list[Cohort]) -> tuple[Sized, Sized]:
+def node_keys(cohorts: list[Cohort], step=_unnamed) -> tuple[Sized, Sized]:
     repos, actors = cohorts[0].repos, cohorts[0].actors
     limit = cohorts[0].cfg.broadcast_max_rows
     for c in cohorts[1:]:
-        repos = _union_keys(repos, c.repos, "repo_id", limit)
-        actors = _union_keys(actors, c.actors, "actor_id", limit)
+        repos = _union_keys(repos, c.repos, "repo_id", limit, step)
+        actors = _union_keys(actors, c.actors, "actor_id", limit, step)
     return repos, actors
 
 
@@ -149,12 +161,16 @@ def node_events_plan(act: DataFrame, repos: Sized, actors: Sized, cfg: ExtractCo
 class GraphTables(dict):
     """Table name -> DataFrame, plus the materialised intermediates the tables read."""
 
-    def __init__(self, tables: dict[str, DataFrame], intermediates: list[Sized]):
+    def __init__(self, tables: dict[str, DataFrame], intermediates: list[Sized], run: RunFolder | None = None):
         super().__init__(tables)
         self.intermediates = intermediates
+        self.run = run
 
     def release(self) -> None:
         """Delete the intermediate tables; the DataFrames are unusable afterwards."""
+        if self.run is not None:
+            self.run.release()  # with the record of its steps, or a later run would trust it
+            self.intermediates = []
         if self.intermediates:
             drop_materialized(self.intermediates[0].df.sparkSession, self.intermediates)
             self.intermediates = []
@@ -169,7 +185,8 @@ def checked_tables(tables: Iterable[str] | None) -> list[str]:
 
 
 def extract_graph(scores: DataFrame, act: DataFrame, cfg: ExtractConfig, consistent: bool = False,
-                  tables: Iterable[str] | None = None) -> GraphTables:
+                  tables: Iterable[str] | None = None, run_dir: str | None = None,
+                  inputs: str | None = None) -> GraphTables:
     """The graph tables (all, or those named), keyed by table name.
 
     With ``consistent=False`` the node sets, PR/issue edges and features use the
@@ -177,8 +194,20 @@ def extract_graph(scores: DataFrame, act: DataFrame, cfg: ExtractConfig, consist
     as the source scripts do; an edge endpoint can then be missing from the
     node list. ``consistent=True`` uses the in-window sample everywhere. Only the
     slices and aggregates that the named tables need are computed.
+
+    With ``run_dir`` the run can be taken up again: intermediates lie there, in a
+    folder of the fingerprint of the inputs' files and all parameters, each
+    recorded when it is whole. After a failure, or the loss of the driver, the
+    same call goes on behind the last recorded step; other inputs or parameters
+    have a folder of their own. ``inputs`` stands for the inputs' state where they
+    have no files (see ``resume.fingerprint``).
     """
     wanted = checked_tables(tables)
+    if run_dir is not None:
+        spark = act.sparkSession
+        key = fingerprint(spark, {"scores": scores, "activity": act}, [cfg, consistent, wanted], inputs)
+        run = RunFolder(spark, f"{run_dir.rstrip('/')}/{key}")
+        return GraphTables(_tables(scores, act, cfg, consistent, wanted, lambda s: s, run.step), [], run)
     kept: list[Sized] = []
 
     def keep(s: Sized) -> Sized:
@@ -194,12 +223,12 @@ def extract_graph(scores: DataFrame, act: DataFrame, cfg: ExtractConfig, consist
         raise
 
 
-def _tables(scores, act, cfg, consistent, wanted, keep) -> dict[str, DataFrame]:
-    cand = keep(materialize(C.candidates(scores, cfg)))
-    newest = keep(materialize(pass_one_plan(act, cand, cfg)))
+def _tables(scores, act, cfg, consistent, wanted, keep, step=_unnamed) -> dict[str, DataFrame]:
+    cand = keep(step("candidates", C.candidates(scores, cfg)))
+    newest = keep(step("newest", pass_one_plan(act, cand, cfg)))
     inside, all_time = samples(newest.df, cfg)
-    windowed = make_cohort(cfg, cand, keep(materialize(inside)), True)
-    base = windowed if consistent else make_cohort(cfg, cand, keep(materialize(all_time)), False)
+    windowed = make_cohort(cfg, cand, keep(step("windowed_sample", inside)), True, step)
+    base = windowed if consistent else make_cohort(cfg, cand, keep(step("all_time_sample", all_time)), False, step)
     cohorts = [base] if consistent else [base, windowed]
     for c in cohorts:
         for s in c.materialized:
@@ -208,15 +237,17 @@ def _tables(scores, act, cfg, consistent, wanted, keep) -> dict[str, DataFrame]:
     slices = {s for t in wanted for s in TABLES[t]}
     of: dict[str, DataFrame] = {}
     if slices:
-        node_repos, node_actors = (keep(k) for k in node_keys(cohorts))
-        written = keep(materialize(node_events_plan(act, node_repos, node_actors, cfg, slices), partition_by=SLICE))
+        node_repos, node_actors = (keep(k) for k in node_keys(cohorts, step))
+        plan = node_events_plan(act, node_repos, node_actors, cfg, slices)
+        written = keep(step("node_events", plan, partition_by=SLICE))
         of = {s: written.df.where(F.col(SLICE) == s).drop(SLICE) for s in slices}
 
     def weights(kind: str) -> DataFrame:
         """The family's events per (actor, repository, item), aggregated and written once."""
         if kind not in of:
             events, key = (E.pr_events, E.PR_KEY) if kind == "pr" else (E.issue_events, E.ISSUE_KEY)
-            of[kind] = keep(materialize(E.item_weights(events(of[EDGE], base.actors, base.repos, cfg), key))).df
+            plan = E.item_weights(events(of[EDGE], base.actors, base.repos, cfg), key)
+            of[kind] = keep(step(f"{kind}_weights", plan)).df
         return of[kind]
 
     make = {
@@ -269,3 +300,38 @@ def write_graph(graph: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
     finally:
         if release and isinstance(graph, GraphTables):
             graph.release()
+
+
+def publish_graph(graph: dict[str, DataFrame], out_dir: str, fmt: str = "parquet", release: bool = False,
+                  parallel_jobs: int = 4) -> int:
+    """Write every table to a new folder and make it the current graph of ``out_dir``; returns its number.
+
+    The tables become visible together, by one commit that is put in place when
+    all are whole: ``read_graph`` gives the former graph until then. A failed run
+    leaves no commit, and its folder is deleted.
+    """
+    spark = next(iter(graph.values())).sparkSession
+    base, folder = out_dir.rstrip("/"), f"graphs/{uuid.uuid4().hex}"
+    try:
+        # taken now: of two runs that start from the same graph, the slower one fails
+        number = commits.latest(spark, base)[0] + 1
+        schemas = {t: (_csv_ready(df) if fmt == "csv" else df).schema.jsonValue() for t, df in graph.items()}
+        write_graph(graph, f"{base}/{folder}", fmt, parallel_jobs=parallel_jobs)
+        commits.commit(spark, base, number, {"folder": folder, "format": fmt, "schemas": schemas})
+    except BaseException:
+        commits.delete(spark, f"{base}/{folder}")
+        raise
+    if release and isinstance(graph, GraphTables):
+        graph.release()  # after a failure they stay: the run can be taken up again
+    return number
+
+
+def read_graph(spark, out_dir: str) -> dict[str, DataFrame]:
+    """The current graph of ``out_dir`` as ``publish_graph`` wrote it (csv: arrays as JSON text); empty when there is none."""
+    base = out_dir.rstrip("/")
+    _, content = commits.latest(spark, base)
+    if content is None:
+        return {}
+    reader = spark.read.format(content["format"]).options(**({"header": "true"} if content["format"] == "csv" else {}))
+    return {t: reader.schema(T.StructType.fromJson(s)).load(f"{base}/{content['folder']}/{t}")
+            for t, s in content["schemas"].items()}
