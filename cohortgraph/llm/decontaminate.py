@@ -14,8 +14,9 @@ block. Documents are never shuffled with one block.
 
 Defined cases
     * null or empty documents and items match nothing.
-    * items shorter than ``min_chars`` after normalisation match nothing: they
-      are too short to tell a leak from chance.
+    * items shorter than ``min_chars`` after normalisation have no error budget and
+      must stand between word borders, so that a short answer is found where it
+      is a word of its own and not inside other words.
     * rows that share a doc_id are judged row by row; the same item twice in
       the benchmark is reported once per row; an item without id has a null id.
     * ties: the leftmost end with the least distance is reported.
@@ -78,18 +79,19 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int):
         import ahocorasick
 
-        self.items: list[tuple[int, str, int, dict[str, int]]] = []
+        self.items: list[tuple[int, str, int, dict[str, int], bool]] = []
         of: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             item = normal(text)
-            if len(item) < min_chars:
+            if not item:
                 continue
-            budget, bits = int(len(item) * rate), {}
+            short = len(item) < min_chars
+            budget, bits = 0 if short else int(len(item) * rate), {}
             for i, ch in enumerate(item):
                 bits[ch] = bits.get(ch, 0) | 1 << i
             for offset, piece in pieces(item, budget):
                 of.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((item_id, item, budget, bits))
+            self.items.append((item_id, item, budget, bits, short))
         self.automaton = ahocorasick.Automaton()
         for piece, where in of.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -106,8 +108,13 @@ class Matcher:
                 hits.setdefault(k, []).append(end + 1 - length - offset)
         found = []
         for k, starts in hits.items():
-            item_id, item, budget, bits = self.items[k]
+            item_id, item, budget, bits, short = self.items[k]
             best = None
+            if short:  # one piece, the whole item: the hits are its occurrences
+                at = next((s for s in starts if self.stands_alone(doc, s, s + len(item))), None)
+                if at is not None:
+                    found.append({"item_id": item_id, "distance": 0, "end": at + len(item)})
+                continue
             for a, b in self.spans(starts, len(item), budget, len(doc)):
                 distance, end = myers(bits, len(item), doc[a:b])
                 if distance <= budget and (best is None or distance < best[0]):
@@ -116,6 +123,13 @@ class Matcher:
                 found.append({"item_id": item_id, "distance": best[0], "end": best[1]})
         return sorted(found, key=lambda x: (x["item_id"] is None, x["item_id"] or 0))
 
+    @staticmethod
+    def stands_alone(doc: str, start: int, end: int) -> bool:
+        """Whether no word goes on across either end of a part of ``doc``."""
+        before = start > 0 and doc[start - 1].isalnum() and doc[start].isalnum()
+        after = end < len(doc) and doc[end - 1].isalnum() and doc[end].isalnum()
+        return not before and not after
+
     @staticmethod
     def spans(starts: list[int], m: int, budget: int, length: int):
         """Merged windows around the expected starts; each holds every occurrence near its hits."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from cohortgraph.llm import decontaminate as D
 
 
@@ -77,11 +79,31 @@ def test_odd_cases(spark, odd, none):
     for r in found.collect():
         leaks.setdefault(r["doc_id"], set()).update(x["item_id"] for x in r["leaks"])
     assert {d for d, x in leaks.items() if 1 in x} == {8, 9, 16, None}  # also in capitals
-    assert all(2 not in x and 3 not in x and 4 not in x for x in leaks.values())
+    assert all(2 not in x and 3 not in x for x in leaks.values())
+    assert {d for d, x in leaks.items() if 4 in x} == {4, 5}  # a short item, word for word
     assert found.count() == odd.count() and D.find_leaks(none, bench).count() == 0
     assert D.find_leaks(odd, bench.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_short_items_are_found_as_words_of_their_own(spark):
+    items = ["7", "Paris", "what is 7 times 8?", "  ", "c++", "日本"]
+    texts = ["It is 7.", "It is 77", "In PARIS, of course", "parish comparison", "Q: What  is 7\ntimes 8?", "what is 7 times 8x",
+             "what is 17 times 8?", "(c++)", "c+", "paris", "出日本語", "日本"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = {(r["doc_id"], x["item_id"]): (x["distance"], x["end"]) for r in D.find_leaks(docs, bench).collect() for x in r["leaks"]}
+    assert set(found) == {(0, 0), (4, 0), (5, 0), (2, 1), (9, 1), (4, 2), (7, 4), (11, 5)}
+    assert found[4, 2] == (0, len("q: what is 7 times 8?")) and found[9, 1] == (0, 5)
+
+
+@pytest.mark.parametrize("length", [1, 5, 23, 24, 40])
+def test_items_of_any_length_are_found_verbatim(spark, length):
+    item = ("abcdefg hijklmn opqrstu vwxyz 0123456789 rest")[:length].strip()
+    docs = spark.createDataFrame([(1, f"so: {item}!"), (2, item), (3, "nothing of it")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert {r["doc_id"] for r in D.find_leaks(docs, bench).where("size(leaks) > 0").collect()} == {1, 2}
+
+
 def test_stage_keeps_clean_rows_whole(spark, odd, tmp_path):
     spark.createDataFrame([(1, " ".join(f"shared{i}" for i in range(60)))], "item_id bigint, text string").write.parquet(
         str(tmp_path / "benchmark.parquet"))
