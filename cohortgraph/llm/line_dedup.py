@@ -69,7 +69,10 @@ def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
                 lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text_col``, and two counts (None: no such column)."""
+    """``docs`` with repeated lines taken out of ``text_col``, and two counts (None: no such column).
+
+    Where ``docs`` has a column of a count's name, the count's own is lengthened by "_".
+    """
     marks, lines, kept = (fresh(x, docs.columns) for x in ("__marks", "__lines", "__kept"))
     gone = (later_windows(docs, id_col, text_col, size).groupBy("id").agg(F.collect_list("pos").alias(marks))
             .withColumnRenamed("id", fresh("__id", docs.columns)))
@@ -85,8 +88,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).cast("long")
     cols = [text.alias(text_col) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in docs.columns]
     if lines_col:
+        lines_col = fresh(lines_col, docs.columns)
         cols.append(total.alias(lines_col))
     if removed_col:
+        removed_col = fresh(removed_col, [*docs.columns, lines_col or ""])
         cols.append(F.when(F.col(kept).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
                     .alias(removed_col))
     return out.select(*cols)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortgraph.llm import chat, line_dedup
 from cohortgraph.llm.queries import ORACLES, QUERIES
@@ -33,7 +34,7 @@ def test_sql_oracle(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_line_dedup_odd_cases(odd):
@@ -45,6 +46,15 @@ def test_line_dedup_odd_cases(odd):
     assert [r["ids"] for r in kept.limit(1).collect()] == [[1]]
 
 
+def test_line_dedup_counts_beside_columns_of_their_names(spark, odd):
+    taken = odd.withColumn("n_lines", F.lit("mine")).withColumn("N_REMOVED", F.lit(7))
+    out = line_dedup.dedup_lines(taken)
+    assert out.columns == [*taken.columns, "n_lines_", "n_removed_"]
+    got = out.select("doc_id", F.col("n_lines_"), F.col("n_removed_"), "text").collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute_lines([tuple(r) for r in odd.select("doc_id", "text").collect()])
+    assert {(r["n_lines"], r["N_REMOVED"]) for r in out.collect()} == {("mine", 7)}
+
+
 def test_line_dedup_empty_table_and_stage(spark, none, odd):
     assert line_dedup.dedup_lines(none).count() == 0
     out = line_dedup.stage(spark, odd, "")
