@@ -13,7 +13,7 @@ whom; they may let too much through, never too little:
    documents, and those found twice set bits in a bitmap of fixed size, which is
    broadcast. When the corpus outgrows the bitmap more windows pass it.
 3. Runs of windows whose anchor's bit is set are the candidate passages (words
-   and place). Their windows' hashes give the first document of each window and
+   and place). Their windows' 128-bit hashes give the first document of each window and
    so the routes (passage, reference document); passages that hold a first
    occurrence are the reference passages.
 4. Reference documents are dealt into shards of about ``SHARD_WORDS`` candidate
@@ -27,7 +27,9 @@ whom; they may let too much through, never too little:
    merge into maximal spans.
 6. Documents with spans lose them; all others keep their text.
 
-All words are compared as words; hashes only choose candidates.
+All words are compared as words; hashes only choose candidates. No automaton is
+broadcast: a shard's reference passages and the passages routed to it meet in a
+group of their own, and whole documents are not streamed.
 
 Defined cases
     * null and empty texts have no words; fewer than ``WINDOW`` words: nothing removed.
@@ -40,6 +42,7 @@ Defined cases
 from __future__ import annotations
 
 import hashlib
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +56,7 @@ WINDOW, GRAM = 13, 5
 BITMAP_BITS = 27  # 16 MB
 SHARD_WORDS, TASK_WORDS = 60_000, 400_000
 BROADCAST_ROWS = 1_000_000
+SECOND = np.uint64(0x5851F42D4C957F2D)  # sets the second hash of a window apart from the first
 SEGMENT = 1 << 16  # bits of the bitmap that are gathered in one row
 
 
@@ -180,12 +184,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     found = _passages(copy, _bitmap(copy, window), window)
     spans = materialize(_match(found, window).groupBy("doc_id", "k1").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    cut = materialize(_cut(rows.select("doc_id", "k1", "text").join(_small(spans), ["doc_id", "k1"]))
-                      .dropDuplicates(["doc_id", "k1"]))
+    # the ids are sent, not the spans: texts without spans stay where they are
+    named = _small(replace(spans, df=spans.df.select("doc_id", "k1")))
+    texts = rows.select("doc_id", "k1", "text").join(named, ["doc_id", "k1"], "left_semi")
+    cut = materialize(_cut(texts.join(spans.df, ["doc_id", "k1"])).dropDuplicates(["doc_id", "k1"]))
     whole = found.select("doc_id", "k1", "n_words", "sha256", "copy")
     gone = F.col("copy") & (F.col("n_words") >= window)  # an earlier copy has all its windows
     nothing = hashlib.sha256(b"").hexdigest()
-    return whole.join(_small(cut), ["doc_id", "k1"], "left").select(
+    return whole.join(cut.df, ["doc_id", "k1"], "left").select(
         "doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
         F.when(gone, F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))))
@@ -193,7 +199,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _small(table) -> DataFrame:
-    """Broadcast a counted table if it is small; else the join shuffles."""
+    """Broadcast a counted table of a few numbers a row if it has few rows; else the join shuffles."""
     return F.broadcast(table.df) if table.rows <= BROADCAST_ROWS else table.df
 
 
@@ -222,7 +228,7 @@ def _bitmap(rows: DataFrame, window: int):
     return rows.sparkSession.sparkContext.broadcast(bitmap)
 
 
-PASSAGES = "array<struct<start: int, text: string, windows: array<bigint>>>"
+PASSAGES = "array<struct<start: int, text: string, one: array<bigint>, two: array<bigint>>>"
 
 
 def _passages(rows: DataFrame, bitmap, window: int) -> DataFrame:
@@ -238,9 +244,11 @@ def _passages(rows: DataFrame, bitmap, window: int) -> DataFrame:
                 bit = bit_of(anchors(h, window))
                 on = (bitmap.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
                 edge = np.flatnonzero(np.diff(on, prepend=False, append=False))
-                windows = ngram_hashes(h, window).view(np.int64)
-                runs = [{"start": a, "text": " ".join(words[a:b + window - 1]), "windows": windows[a:b]}
-                        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    part = h[a:b + window - 1]
+                    runs.append({"start": a, "text": " ".join(words[a:b + window - 1]),
+                                 "one": ngram_hashes(part, window).view(np.int64),
+                                 "two": ngram_hashes(mix64(part ^ SECOND), window).view(np.int64)})
             out["n_words"].append(len(words))
             out["sha256"].append(hashlib.sha256(" ".join(words).encode()).hexdigest())
             out["passages"].append(runs)
@@ -254,10 +262,10 @@ def _passages(rows: DataFrame, bitmap, window: int) -> DataFrame:
 def _match(found: DataFrame, window: int) -> DataFrame:
     """(doc_id, k1, spans): what each shard's automaton says about the passages routed to it."""
     passages = found.select("doc_id", "k1", F.explode("passages").alias("p")).select("doc_id", "k1", "p.*")
-    windows = passages.select(F.explode("windows").alias("window"), "doc_id", "start")
-    first = materialize(windows.groupBy("window").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"))
-                        .where("ref < last").select("window", "ref")).df
-    routes = materialize(windows.join(first, "window").select("doc_id", "start", "ref").distinct()).df
+    windows = passages.select(F.explode(F.arrays_zip("one", "two")).alias("w"), "doc_id", "start").select("w.*", "doc_id", "start")
+    first = materialize(windows.groupBy("one", "two").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"))
+                        .where("ref < last").select("one", "two", "ref")).df
+    routes = materialize(windows.join(first, ["one", "two"]).select("doc_id", "start", "ref").distinct()).df
     texts = passages.select("doc_id", "k1", "start", "text", (F.length("text") / 6.5).alias("words"))  # about a word
     # the words of passages that hold a first occurrence
     total = (routes.where("ref = doc_id").join(texts, ["doc_id", "start"]).agg(F.sum("words")).first()[0] or 0)
