@@ -12,14 +12,18 @@ atomically, a lost executor only repeats its tasks, and any store works that
 Spark can write to. Reading decodes the frames where they lie; the only
 shuffle in the whole way is the sort by doc_id.
 
-Frame layout (little-endian): magic "IDS1", vocabulary u32, documents u32, ids
+Frame layout (little-endian): magic "IDS2", vocabulary u32, documents u32, ids
 u64, ids of the partition's frames before it u64; per document: doc_id i64, 1 byte
 (0 where doc_id is null), ids u32; crc32 of all before it; then the blocks.
 
 Encoding uses the tokenizers library. Its pre-tokenizer never joins characters
 over a blank between two words, so a text is the concatenation of its
 blank-delimited units, and ids of units met before are remembered (a bounded
-memory); texts where blanks touch other white space are split by the
+memory; when it is full, units that were not met again are forgotten). A line feed
+that touches no other white space divides units as well. Arrow cuts the texts of a
+batch and numbers their different units; new ones are cut at borders between
+letters, digits and punctuation, so that the library encodes a word once, whatever
+follows it. Texts where blanks touch other white space are split by the
 pre-tokenizer's own pattern instead.
 
 Defined cases
@@ -28,7 +32,8 @@ Defined cases
       of their text and take consecutive places.
     * very long texts: one frame of many blocks.
     * strings of added tokens in a text have the token's id, as by the library's
-      default; such a text is encoded whole, without the memory.
+      default; such a text, and one with the control character 1, is encoded whole,
+      without the memory.
     * an empty table writes no frame and reads as no rows; extra columns are
       not looked at.
 """
@@ -43,6 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,15 +57,49 @@ from .common import arrow_rows, cut, ship
 from .rangecoder import decode_block, encode_block
 
 END_ID = 2
-FRAME_IDS = BLOCK_IDS = 1 << 19
+FRAME_IDS = BLOCK_IDS = 1 << 21
 FRAME = struct.Struct("<4sIIQQ")
-MEMORY = 300_000
+PIECE = 10_000_000  # bytes of text encoded together
+UNITS, UNIT_BYTES = 800_000, 100_000_000  # most units, and bytes of them and their ids, before those not met again are forgotten
 # Fixed value: the pre-tokenizer's pattern, which must be the tokenizer's own.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: White space of any Unicode version.
+SPACE = "\t-\r\x1c- \x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Characters that are letters, or ASCII punctuation, in every Unicode version. The pattern always parts runs of
+# these and of digits, but for letters after an apostrophe, and a line feed at the start of a unit from what follows.
+_L, _P = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\x{24f}\x{391}-\x{3a1}\x{3a3}-\x{3ce}\x{400}-\x{481}\x{4e00}-\x{9fa5}", r"!-&(-/:-@\[-`{-~"
+WORD = f"^ ?[{_L}]+$"
+BORDERS = f"([{_L}])([{_P}0-9])", f"([0-9])([{_P}{_L}])", f"([{_P}])([{_L}0-9])", f"^(\n)([{_P}{_L}0-9])"
+MARK = "\x01"  # set where texts and units are cut; a text that holds it is encoded whole
+TOGETHER = 100  # words that the library gets at once
+
+
 # ------------------------------------------------------------------ text to ids
 
+class Ids:
+    """Ids of many units, one after another."""
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray):
+        self.data, self.sizes = data, sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+    def __add__(self, other: Ids) -> Ids:
+        return Ids(np.concatenate([self.data, other.data]), np.concatenate([self.sizes, other.sizes]))
+
+    def of(self, numbers: np.ndarray) -> Ids:
+        """Those of the units ``numbers``."""
+        n = self.sizes.take(numbers)
+        at = np.repeat(self.starts.take(numbers) - np.cumsum(n) + n, n)
+        at += np.arange(len(at))
+        return Ids(self.data.take(at), n)
+
+
+def _holds(texts: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+
+
 class Encoder:
     """Ids of texts, remembering those of the units met before.
 
@@ -69,56 +109,127 @@ class Encoder:
 
     def __init__(self, path: str, added_as_text: bool = True):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = added_as_text
-        added = [] if added_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.has_added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
+        self.added = [] if added_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        # for words of letters, one a line: needs no pattern
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.split = regex.compile(PATTERN).findall
-        self.unclear = re.compile(r"\s \s").search
-        self.inner_space = re.compile(r"\S\s|^\s\s|^[^\S ]").search
-        self.memory: dict[str, bytes] = {}
-
-    def units(self, text: str) -> list[str]:
-        if self.unclear(text):
-            return self.split(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
-
-    def learn(self, units: set[str]) -> None:
-        """Encode new units: those without inner white space many at a time, between line feeds."""
-        memory, encode = self.memory, self.tokenizer.encode_batch_fast
-        plain, other = [], []
-        for u in units:
-            (other if self.inner_space(u) or u == " " else plain).append(u)
-        for u, e in zip(other, encode(other, add_special_tokens=False)):
-            memory[u] = np.array(e.ids, "<u4").tobytes()
-        chunks = [plain[k:k + 20] for k in range(0, len(plain), 20)]
-        for chunk, e in zip(chunks, encode(["\n".join(c) for c in chunks], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(ids == self.line_feed[0])
-            whole, at = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
-            to = [*(4 * ends).tolist(), len(whole)]
-            for u, a, b in zip(chunk, at, to):
-                memory[u] = whole[a:b]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        self.forget(np.zeros(0, np.int64))
+
+    # the units met before, their ids one after another, and which units were met again
+
+    def forget(self, kept: np.ndarray) -> None:
+        """Remember the units ``kept`` only."""
+        if len(kept):
+            units, ids = self.units.take(pa.array(kept)), self.ids.of(kept)
+        else:
+            units, ids = pa.array([], pa.large_string()), Ids(np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        self.units, self.ids, self.again = units, ids, np.zeros(len(units), bool)
+
+    def full(self, share: float = 1) -> bool:
+        return len(self.units) > share * UNITS or self.units.nbytes + self.ids.data.nbytes > share * UNIT_BYTES
+
+    def number(self, units: pa.Array) -> np.ndarray:
+        """Each unit's place among the remembered ones; new ones are learnt."""
+        numbered = units.dictionary_encode()
+        units = numbered.dictionary
+        at = pc.fill_null(pc.index_in(units, value_set=self.units), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
+        if len(new):
+            at[new] = len(self.units) + np.arange(len(new))
+            units = units.take(pa.array(new))
+            self.ids = self.ids + self.learn(units)
+            self.units = pa.concat_arrays([self.units, units])
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+        return at.take(numbered.indices.to_numpy())
+
+    def learn(self, units: pa.Array) -> Ids:
+        """The ids of new units, cut where the pattern does first, so that parts are encoded once."""
+        bounds, parts = np.arange(len(units) + 1), units
+        unlike = ~_holds(units, WORD)
+        odd = np.flatnonzero(unlike)
+        if len(odd):
+            marked = units.take(pa.array(odd))
+            for border in BORDERS:
+                marked = pc.replace_substring_regex(marked, border, rf"\1{MARK}\2")
+            cut = pc.split_pattern(marked, MARK)
+            # the parts of the units in their order: one of each word, and those of the others
+            n = np.ones(len(units), np.int64)
+            n[odd] = np.diff(cut.offsets.to_numpy())
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            at = np.repeat(np.arange(len(units)) - bounds[:-1], n) + np.arange(bounds[-1])
+            of_odd = np.repeat(unlike, n)
+            at[of_odd] = len(units) + np.arange(of_odd.sum())
+            parts = pa.concat_arrays([units, cut.flatten()]).take(pa.array(at))
+        numbered = parts.dictionary_encode()
+        parts = numbered.dictionary
+        word = _holds(parts, WORD)
+        words, others = np.flatnonzero(word), np.flatnonzero(~word)
+        ids = self.ask_words(parts.take(pa.array(words))) + self.ask_others(parts.take(pa.array(others)).to_pylist())
+        place = np.empty(len(parts), np.int64)
+        place[np.concatenate([words, others])] = np.arange(len(parts))
+        codes = place.take(numbered.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(ids.sizes.take(codes))])
+        return Ids(ids.of(codes).data, np.diff(ends[bounds]))
+
+    def ask_words(self, words: pa.Array) -> Ids:
+        """Have the library encode words of letters, many at a time, between line feeds."""
+        lines = pa.ListArray.from_arrays(pa.array([*range(0, len(words), TOGETHER), len(words)], pa.int32()), words)
+        found = self.words.encode_batch_fast(pc.binary_join(lines, pa.scalar("\n", words.type)).to_pylist(), add_special_tokens=False)
+        feed = self.line_feed
+        data = np.array([i for e in found for i in (*e.ids, *feed)], "<u4")
+        ends = np.flatnonzero(data == feed[0])
+        return Ids(data[data != feed[0]], np.diff(ends, prepend=-1) - 1)
+
+    def ask_others(self, units: list[str]) -> Ids:
+        """Have the library encode units one by one."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return Ids(np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian u32 values."""
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
+        if self.full():
+            self.forget(np.flatnonzero(self.again))
+            if self.full(0.5):
+                self.forget(np.zeros(0, np.int64))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+
+        out, whole = [b""] * len(texts), _holds(texts, MARK)
+        for token in self.added:
+            whole |= _holds(texts, re.escape(token))
         # a text that holds an added token is encoded whole: its ids are not those of its units
-        whole = {k: self.tokenizer.encode(t, add_special_tokens=False).ids
-                 for k, t in enumerate(texts) if t and self.has_added(t)}
-        split = [self.units(t) if t and k not in whole else [] for k, t in enumerate(texts)]
-        new = {u for units in split for u in units if u not in self.memory}
-        if new:
-            self.learn(new)
-        get = self.memory.__getitem__
-        return [np.array(whole[k], "<u4").tobytes() if k in whole else b"".join(map(get, units))
-                for k, units in enumerate(split)]
+        for k in np.flatnonzero(whole):
+            out[k] = np.array(self.tokenizer.encode(texts[int(k)].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        runs = _holds(texts, f"[{SPACE}]{{2}}")
+        unclear = runs & _holds(texts, f"[{SPACE}] [{SPACE}]")
+        for marked, group in (" \n", ~runs), (" ", runs & ~unclear), ("", unclear):
+            at = np.flatnonzero(group & ~whole)
+            if not len(at):
+                continue
+            units = texts.take(pa.array(at))
+            if marked:
+                # every blank begins a unit; where no white space touches other, a line feed does as well
+                for c in marked:
+                    units = pc.replace_substring(units, c, MARK + c)
+                units = pc.split_pattern(units, MARK)
+            else:
+                units = pa.array(map(self.split, units.to_pylist()), pa.list_(pa.large_string()))
+            bounds, numbers = units.offsets.to_numpy(), self.number(units.flatten())
+            ids = self.ids.of(numbers)
+            edge = (4 * np.concatenate([[0], np.cumsum(ids.sizes)])[bounds]).tolist()
+            data = ids.data.tobytes()
+            for k, a, b in zip(at, edge, edge[1:]):
+                out[k] = data[a:b]
+        return out
 
 
 # ----------------------------------------------------------------------- frames
@@ -126,7 +237,7 @@ class Encoder:
 def pack_frame(docs: list[tuple[int | None, bytes]], before: int, vocabulary: int) -> tuple[bytes, int]:
     """(frame, ids) of documents given as (doc_id, ids with the end id)."""
     total = sum(len(ids) for _, ids in docs) // 4
-    head = FRAME.pack(b"IDS1", vocabulary, len(docs), total, before)
+    head = FRAME.pack(b"IDS2", vocabulary, len(docs), total, before)
     head += np.array([d or 0 for d, _ in docs], "<i8").tobytes()
     head += bytes(d is not None for d, _ in docs)
     head += np.array([len(ids) // 4 for _, ids in docs], "<u4").tobytes()
@@ -139,7 +250,7 @@ def unpack_frame(data: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """(doc_id, ids of the partition before it, ids with the end id) of each document of a frame."""
     magic, vocabulary, n, total, before = FRAME.unpack_from(data)
     at = FRAME.size + 13 * n
-    if magic != b"IDS1" or struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
+    if magic != b"IDS2" or struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
         raise ValueError("a frame's head is damaged")
     doc_ids = np.frombuffer(data, "<i8", n, FRAME.size).tolist()
     known = data[FRAME.size + 8 * n:FRAME.size + 9 * n]
@@ -184,8 +295,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             return out
 
         for batch in batches:
-            for piece in cut(batch, 1_000_000):
-                encoded = encoder.encode(piece.column(1).to_pylist())
+            for piece in cut(batch, PIECE):
+                encoded = encoder.encode(piece.column(1))
                 for doc_id, ids in zip(piece.column(0).to_pylist(), encoded):
                     docs_.append((doc_id, ids + end))
                     size += len(ids) // 4 + 1

@@ -218,6 +218,52 @@ def test_units_encode_as_whole_texts_do(documents):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t[:50]
 
 
+def odd_texts(n, seed=12):
+    rng = random.Random(seed)
+    bits = [" ", " ", " ", "\n", "\n", "\t", "\r\n", "\xa0", "\u3000", "\u180e", "\x1c", "\x01", "'", "'s", "'ve", ".", ",", "!?", "(", "##", "-",
+            "_", "7", "2024", "\u00b2", "\u00bd", "\u0660", "the", "Word", "x", "S", "\u00e9", "\u00d7", "e\u0301", "\u0416\u0434", "\u65e5\u672c", "\ufb01",
+            "\u03b1\u03b2", "\U0001f600", "\U00031350", "\ua7dc", "\u0d3d", "\u200b", "\ufeff", "<|endoftext|>", "<|endof", "\x00", "\x85"]
+    return ["".join(rng.choices(bits[:rng.choice([3, 5, 30, len(bits)])] + ["ab", "Cd"], k=rng.randint(0, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("units", [B.UNITS, 40])
+def test_odd_texts_have_the_ids_of_the_library(monkeypatch, units):
+    """Also with a memory that is full after every call."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(B, "UNITS", units)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = B.Encoder(path, added_as_text=False), Tokenizer.from_file(path)
+    texts = odd_texts(6000)
+    for k in range(0, len(texts), 150):
+        for t, ids in zip(texts[k:k + 150], encoder.encode(texts[k:k + 150])):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_library_encodes_a_word_once_whatever_follows_it(monkeypatch):
+    asked = []
+    for name in ("ask_words", "ask_others"):
+        def ask(self, units, _ask=getattr(B.Encoder, name)):
+            asked.extend(units if isinstance(units, list) else units.to_pylist())
+            return _ask(self, units)
+        monkeypatch.setattr(B.Encoder, name, ask)
+    encoder = B.Encoder(public_tokenizers.path("byte_bpe_50k.json"), added_as_text=False)
+    words = ["w" + "abcdefghij"[k // 10] + "abcdefghij"[k % 10] for k in range(100)]
+    text = " ".join(w + end for w in words for end in ("", ",", ".", "!", "?\nEnd", ".\nEnd"))
+    for _ in range(2):
+        encoder.encode([text, text[1:]])
+    assert len(asked) == len(set(asked)) < 110
+
+
+def test_units_met_again_stay_when_the_memory_is_full(monkeypatch):
+    monkeypatch.setattr(B, "UNITS", 100)
+    encoder = B.Encoder(public_tokenizers.path("byte_bpe_50k.json"), added_as_text=False)
+    for k in range(40):
+        encoder.encode(["of old " + " ".join(f"new{k}x{i}" for i in range(20))])
+        assert len(encoder.units) <= 130
+    assert {"of", " old"} <= set(encoder.units.to_pylist())
+
+
 @pytest.mark.parametrize("frame_ids", [B.FRAME_IDS, 100])
 def test_written_ids_are_read_back(spark, odd, tmp_path, monkeypatch, frame_ids):
     monkeypatch.setattr(B, "FRAME_IDS", frame_ids)
